@@ -377,10 +377,14 @@ def map_groups(spark, sf):
     return mapping.map_groups(_points(spark, sf), WORD)
 
 
+def _stats(spark: SparkSession, sf: str, term: str) -> DataFrame:
+    return stage(mapping.group_stats(_points(spark, sf), term), "groups")
+
+
 @query
 def map_groups_norm(spark, sf):
-    groups = mapping.map_groups(
-        _points(spark, sf), WORD, metric="key_term_frequency", normalize=True
+    groups = mapping.with_values(
+        _stats(spark, sf, WORD), metric="key_term_frequency", normalize=True
     )
     return groups.select(
         "group_id",
@@ -391,7 +395,7 @@ def map_groups_norm(spark, sf):
 
 @query
 def map_groups_no_hit(spark, sf):
-    groups = mapping.map_groups(_points(spark, sf), "zqxj", metric="key_term_frequency")
+    groups = mapping.with_values(_stats(spark, sf, "zqxj"), metric="key_term_frequency")
     return mapping.graduated_radii(groups).select("group_id", "key_term_frequency", "value", "radius")
 
 
@@ -402,7 +406,7 @@ def map_summary(spark, sf):
 
 @query
 def map_radii(spark, sf):
-    groups = mapping.map_groups(_points(spark, sf), WORD, metric="key_term_frequency")
+    groups = mapping.with_values(_stats(spark, sf, WORD), metric="key_term_frequency")
     radii = mapping.graduated_radii(groups, 4, 30).select(
         "group_id", "article_count", "value", F.round("radius", 9).alias("graduated")
     )

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions.text import strip
 
-# Spellings accepted for a date, besides full ISO timestamps.
-DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "yyyyMMdd")
+# A date is year, month and day with one separator (-, /, . or none) throughout, with
+# or without a time after a "T"; anything else must be a full ISO date.
+DATE_SPELLING = r"^(\d{4})([-/.]?)(\d{1,2})\2(\d{1,2})(T.*)?$"
 UNITS = ("day", "week", "month", "year")
 
 
@@ -22,10 +23,9 @@ def day_text(raw: Column) -> Column:
 
 def parse_date(raw: Column) -> Column:
     """Date from any accepted spelling; anything else is null."""
-    text = day_text(raw)
-    plain = [F.try_to_date(text, f) for f in DATE_FORMATS]
-    with_time = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2} "), text.try_cast("date"))
-    return F.coalesce(*plain, with_time)
+    iso = F.regexp_replace(strip(raw.cast("string")), DATE_SPELLING, "$1-$3-$4")
+    # Shorter text is a year or a month, which a cast would take for its first day.
+    return F.when(F.length(iso) >= 8, iso.try_cast("date"))
 
 
 def format_date(raw: Column) -> Column:

@@ -36,7 +36,9 @@ def rank_by_frequency(
     )
     return (
         keyed.withColumn("_place", F.row_number().over(inside))
-        .join(shifts, bucket)
+        # A left join, as an inner one would filter this side for nulls and so stop Spark from
+        # sharing the shuffled counts between the two sides.
+        .join(shifts, bucket, "left")
         .withColumn(out, (F.col("_place") + F.col("_shift")).cast("long"))
         .drop("_lead", "_place", "_shift")
     )

@@ -69,9 +69,14 @@ def phrase_pattern(phrase: Sequence[str], stopwords: Sequence[str] = ()) -> str:
     return f"(?i)(?<!{TOKEN[:-1]})" + gap.join(re.escape(p) for p in phrase) + f"(?!{TOKEN[:-1]})"
 
 
+def may_have_phrase(text: Column, phrase: Sequence[str]) -> Column:
+    """Cheap test that every row with the phrase passes."""
+    return F.lower(text).contains(phrase[0])
+
+
 def has_phrase(text: Column, phrase: Sequence[str], stopwords: Sequence[str] = ()) -> Column:
     """Token-phrase test; the plain substring test in front skips most rows cheaply."""
-    return F.lower(text).contains(phrase[0]) & text.rlike(phrase_pattern(phrase, stopwords))
+    return may_have_phrase(text, phrase) & text.rlike(phrase_pattern(phrase, stopwords))
 
 
 def phrase_starts(toks: Column, phrase: Sequence[str]) -> Column:

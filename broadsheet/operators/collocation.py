@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from broadsheet.functions.dates import as_day, parse_date
 from broadsheet.functions.text import SPACE_CHARS
@@ -16,7 +17,9 @@ from broadsheet.functions.tokens import (
     STOPWORDS,
     has_phrase,
     is_number,
+    may_have_phrase,
     neighbours,
+    phrase_pattern,
     phrase_tokens,
     tokens,
 )
@@ -69,11 +72,9 @@ def filter_articles(
         keep = keep & _same_text("City", city)
     if state:
         keep = keep & _same_text("State", state)
-    return (
-        articles.withColumn("date", parse_date(F.col("date")))
-        .where(keep)
-        .dropna(subset=["article", "date"])
-    )
+    if articles.schema["date"].dataType != DateType():
+        articles = articles.withColumn("date", parse_date(F.col("date")))
+    return articles.where(keep).dropna(subset=["article", "date"])
 
 
 def with_phrase(articles: DataFrame, term: str, options: Options = Options()) -> DataFrame:
@@ -96,81 +97,115 @@ def context_terms(
     term: str,
     options: Options = Options(),
     carry: Sequence[str] = (),
+    *,
+    mark_articles: bool = False,
 ) -> DataFrame:
     """One row per neighbour of each hit: ``collocate_term``, ``rel`` if asked, carried columns.
 
     Text is tokenized once, in rows with a hit only; the exploded rows hold the term and the
-    carried columns and neither text nor token arrays.
+    carried columns and neither text nor token arrays. ``mark_articles`` adds one row with a null
+    term per article with a hit.
     """
     phrase = phrase_tokens(term, options.dropped)
+    text = F.col("article")
     near = neighbours(
-        tokens(F.col("article"), options.dropped),
+        tokens(text, options.dropped),
         phrase,
         options.window,
         with_position=options.relative_position,
     )
-    exploded = with_phrase(articles, term, options).select(*carry, F.explode(near).alias("n"))
+    if mark_articles:
+        kind = "struct<term:string,rel:int>" if options.relative_position else "string"
+        near = F.concat(near, F.array(F.lit(None).cast(kind)))
+    # Only the cheap test is a filter, which may move below a shuffle; the exact one stays here.
+    hit = F.when(text.rlike(phrase_pattern(phrase, options.dropped)), near)
+    exploded = articles.where(may_have_phrase(text, phrase)).select(
+        *carry, F.explode(hit).alias("n")
+    )
     if options.relative_position:
         exploded = exploded.select(*carry, F.col("n.term").alias("collocate_term"), "n.rel")
     else:
         exploded = exploded.withColumnRenamed("n", "collocate_term")
-    return exploded.where(~is_number(F.col("collocate_term")))
+    return exploded.where(~F.coalesce(is_number(F.col("collocate_term")), F.lit(False)))
+
+
+def _counts(articles: DataFrame, term: str, options: Options) -> DataFrame:
+    """Measures per collocate and, if rates are asked for, under the null term the article marks."""
+    sets = {}
+    if options.page_count:
+        sets["page"] = F.nullif(F.col("page").cast("string"), F.lit(""))
+    if options.cooccurrence_rate:
+        sets["article_key"] = _article_key()
+    carry = [c.alias(name) for name, c in sets.items()]
+    if options.first_last_date:
+        carry.append(F.col("date"))
+    kept = articles.select("article", *carry)
+    rows = context_terms(
+        kept,
+        term,
+        options,
+        [c for c in kept.columns if c != "article"],
+        mark_articles=options.cooccurrence_rate,
+    )
+
+    # Counts non-null terms, hence 0 for the group of article marks.
+    parts = {"n": F.count("collocate_term")}
+    whole = {"frequency": F.sum("n")}
+    if options.page_count:
+        whole["page_count"] = F.count("page")
+    if options.first_last_date:
+        parts |= {"lo": F.min("date"), "hi": F.max("date")}
+        whole["first_date"] = F.date_format(F.min("lo"), "yyyy-MM-dd")
+        whole["last_date"] = F.date_format(F.max("hi"), "yyyy-MM-dd")
+    if options.cooccurrence_rate:
+        parts["rows"] = F.count("*")
+        whole |= {"article_count": F.count("article_key"), "_rows": F.sum("rows")}
+    if options.relative_position:
+        parts |= {"rel_sum": F.sum("rel"), "rel_n": F.count("rel")}
+        whole["mean_relative_position"] = F.sum("rel_sum") / F.sum("rel_n")
+
+    named = [c.alias(name) for name, c in parts.items()]
+    if sets:
+        keys = ["collocate_term", *sets]
+        groups = [["collocate_term"], *[["collocate_term", k] for k in sets]]
+        level = rows.groupingSets(groups, *keys).agg(F.grouping_id().alias("_set"), *named)
+        # Every measure but the distinct counts comes from the (term) groups alone.
+        alone = F.col("_set") == 2 ** len(sets) - 1
+        level = level.withColumns({p: F.when(alone, F.col(p)) for p in parts})
+    else:
+        level = rows.groupBy("collocate_term").agg(*named)
+    return level.groupBy("collocate_term").agg(*[c.alias(name) for name, c in whole.items()])
 
 
 def collocate_metrics(
-    articles: DataFrame,
-    term: str,
-    options: Options = Options(),
-    *,
-    total_articles: int | Column | None = None,
+    articles: DataFrame, term: str, options: Options = Options()
 ) -> DataFrame:
     """Frequency and the chosen metrics per collocate.
 
-    One aggregation: Spark merges (term, page) and (term, article) pairs before the shuffle and
-    spreads them by the whole pair, so a term that holds a third of the rows is no hot key.
-    The rate divides by the number of articles with a hit, a scalar subquery unless given.
+    Distinct pages and articles are counted through grouping sets: one pass forms the groups
+    (term), (term, page) and (term, article), merged before the shuffle and spread by the whole
+    group, so a term that holds a third of the rows is no hot key. A second, small step counts the
+    groups per term.
+
+    The rate divides by the number of articles with a hit. Those are counted in the same pass, as
+    the group of the null term. The total is read from the shuffled counts by a scalar subquery
+    that Spark runs on the same shuffle, so the text is not read a second time.
     """
     wide = ensure_columns(articles, ("article_id", "filename", "page"))
-    carry, extra = [], []
-    aggregates = [F.count("*").alias("frequency")]
-    if options.page_count:
-        carry.append(F.nullif(F.col("page").cast("string"), F.lit("")).alias("page"))
-        aggregates.append(F.count_distinct("page").alias("page_count"))
-    if options.first_last_date:
-        carry.append("date")
-        aggregates += [
-            F.date_format(F.min("date"), "yyyy-MM-dd").alias("first_date"),
-            F.date_format(F.max("date"), "yyyy-MM-dd").alias("last_date"),
-        ]
-    if options.cooccurrence_rate:
-        carry.append(_article_key().alias("article_key"))
-        aggregates.append(F.count_distinct("article_key").alias("article_count"))
-        total = total_articles
-        if total is None:
-            total = scalar(with_phrase(articles, term, options), F.count("*"))
-        elif not isinstance(total, Column):
-            total = F.lit(int(total))
-        extra.append(
-            (F.col("article_count") / F.greatest(F.lit(1), total)).alias("cooccurrence_rate")
-        )
-    if options.relative_position:
-        aggregates.append(F.avg("rel").alias("mean_relative_position"))
-
-    hits = with_phrase(wide, term, options).select("article", *carry)
-    names = [c for c in hits.columns if c != "article"]
-    counted = context_terms(hits, term, options, names).groupBy("collocate_term").agg(*aggregates)
-    order = (
-        "collocate_term",
-        "frequency",
-        "page_count",
-        "first_date",
-        "last_date",
-        "article_count",
-        "cooccurrence_rate",
-        "mean_relative_position",
+    counted = _counts(wide, term, options)
+    if not options.cooccurrence_rate:
+        return counted
+    # Spark shares the shuffle of equal plans. The subquery's plan is built anew, as a second use
+    # of one plan gets new column ids inside the grouping sets and is no longer equal.
+    marks = F.max(F.when(F.col("frequency") == 0, F.col("_rows")))
+    total = scalar(_counts(wide, term, options), marks, keep=counted.columns)
+    shown = [c for c in counted.columns if c not in ("_rows", "mean_relative_position")]
+    # Naming _rows keeps it in this side's aggregate too.
+    return counted.where((F.col("frequency") > 0) & (F.col("_rows") > 0)).select(
+        *shown,
+        (F.col("article_count") / F.greatest(F.lit(1), total)).alias("cooccurrence_rate"),
+        *[c for c in ("mean_relative_position",) if options.relative_position],
     )
-    full = counted.select("*", *extra)
-    return full.select(*[c for c in order if c in full.columns])
 
 
 def by_frequency(metrics: DataFrame) -> DataFrame:

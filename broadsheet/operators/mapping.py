@@ -104,31 +104,39 @@ def metric_value(metric: str, denominator: str | None) -> Column:
     return F.greatest(value, F.lit(0.0))
 
 
-def map_groups(
-    points: DataFrame,
-    term: str | None = None,
+def with_values(
+    stats: DataFrame,
     *,
     metric: str = "article_count",
     normalize: bool = False,
     denominator: str | None = None,
 ) -> DataFrame:
-    """Location groups with their stats and ``value``.
+    """Add ``value``: the metric, divided by its denominator if normalized.
 
     Normalizing divides by the metric's own denominator unless one is named. If no group has a
-    positive value, every value is 1.0; only the term metric can come to that, so only it pays
-    for the check.
+    positive value, every value is 1.0; counts are positive by themselves, so only term hits and
+    word counts are checked for that.
     """
     metric = metric_name(metric)
     if denominator is not None and denominator not in DENOMINATORS:
         raise ValueError(f"denominator must be one of {', '.join(DENOMINATORS)}")
     below = (denominator or METRICS[metric][0]) if normalize else None
-    groups = group_stats(points, term).withColumn("value", metric_value(metric, below))
+    groups = stats.withColumn("value", metric_value(metric, below))
     if metric == "key_term_frequency" or below == "word_count":
         top = scalar(groups, F.max("value"))
         groups = groups.withColumn("value", F.when(top > 0, F.col("value")).otherwise(1.0))
     return groups
 
 
+def map_groups(points: DataFrame, term: str | None = None, **choice) -> DataFrame:
+    """Location groups with their stats and ``value`` (see ``with_values``).
+
+    What follows from groups (fallback, radii, heat weights) reads them again. Stage the stats
+    first, as ``plans.runs.map_tables`` does, and the text is counted once for all of it.
+    """
+    return with_values(group_stats(points, term), **choice)
+
+
 def graduated_radii(
     groups: DataFrame, min_radius: int | None = None, max_radius: int | None = None
 ) -> DataFrame:

@@ -12,7 +12,7 @@ from broadsheet.operators import collocation, locations, mapping, search
 from broadsheet.operators.collocation import Options
 from broadsheet.operators.timebins import collocates_by_time
 from broadsheet.plans.naming import collocation_paths, search_path
-from broadsheet.runtime import scalar, stage
+from broadsheet.runtime import stage
 from broadsheet.sinks.features import write_features
 from broadsheet.sinks.results import (
     manifest,
@@ -113,9 +113,7 @@ def collocation_run(
         ),
         "hits",
     )
-    metrics = collocation.collocate_metrics(
-        hits, term, options, total_articles=scalar(hits, F.count("*"))
-    )
+    metrics = collocation.collocate_metrics(hits, term, options)
     metrics = collocation.drop_collocates(metrics, drop_terms)
     write_table(collocation.by_frequency(metrics), paths["metrics"], mode)
     if paths["by_time"]:
@@ -156,15 +154,19 @@ def map_tables(
     start: str | None = None,
     end: str | None = None,
 ) -> dict[str, DataFrame]:
-    """All tables behind one map, each lazy: groups, layer, entries, titles, summary, attributes.
+    """All tables behind one map: groups, layer, entries, titles, summary, attributes.
+
+    Only the stats per location are computed at once, and staged, because groups and layer both
+    start from them; everything else is lazy.
 
     ``mode`` is ``points``, ``cluster``, ``heatmap`` or ``graduated``; anything else means
     ``points``. The layer of a heat map is framed in time if any point has a date.
     """
     pts = as_points(located)
-    groups = mapping.map_groups(
-        pts, term, metric=metric, normalize=normalize, denominator=denominator
-    )
+    groups = mapping.with_values(
+        stage(mapping.group_stats(pts, term), "groups"),
+        metric=metric, normalize=normalize, denominator=denominator,
+    )
     mode = (mode or "points").strip().lower()
     if mode == "heatmap":
         timed = not disable_time and not pts.where(pts.day.isNotNull()).isEmpty()

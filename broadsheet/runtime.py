@@ -71,9 +71,14 @@ def local_table(spark: SparkSession, rows: Iterable[tuple], **types: pa.DataType
     return spark.createDataFrame(pa.table(arrays, names=list(types)))
 
 
-def scalar(df: DataFrame, expression: Column) -> Column:
-    """One aggregate over ``df`` as a scalar subquery: no join, no one-task window."""
-    return df.agg(expression.alias("v")).scalar()
+def scalar(df: DataFrame, expression: Column, *, keep: Iterable[str] = ()) -> Column:
+    """One aggregate over ``df`` as a scalar subquery: no join, no one-task window.
+
+    A subquery that reads fewer columns than the main query has a plan of its own and computes
+    ``df`` again. Columns named in ``keep`` stay in its plan, so that both share one shuffle.
+    """
+    alive = [F.max(F.struct(*keep)).alias("alive")] if keep else []
+    return df.agg(F.struct(expression.alias("v"), *alive).alias("s")).scalar()["v"]
 
 
 def let(value: Column, body) -> Column:
