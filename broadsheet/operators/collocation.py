@@ -47,8 +47,8 @@ ALL_METRICS = Options(
 )
 
 
-def _same_text(column: str, wanted: str) -> Column:
-    return F.lower(F.col(column)) == F.lower(F.lit(wanted))
+def _same_text(column: Column, wanted: str) -> Column:
+    return F.lower(column) == F.lower(F.lit(wanted))
 
 
 def filter_articles(
@@ -69,9 +69,9 @@ def filter_articles(
     if end:
         keep = keep & (F.col("date") <= F.lit(as_day(end)))
     if city:
-        keep = keep & _same_text("City", city)
+        keep = keep & _same_text(F.col("City"), city)
     if state:
-        keep = keep & _same_text("State", state)
+        keep = keep & _same_text(F.col("State"), state)
     if articles.schema["date"].dataType != DateType():
         articles = articles.withColumn("date", parse_date(F.col("date")))
     return articles.where(keep).dropna(subset=["article", "date"])
@@ -84,7 +84,10 @@ def with_phrase(articles: DataFrame, term: str, options: Options = Options()) ->
 
 
 def _article_key() -> Column:
-    """Article id, else file name, else the row itself."""
+    """Article id, else file name, else the row itself.
+
+    Row numbers are stable where rows come straight from files, as search results do.
+    """
     return F.coalesce(
         F.nullif(F.col("article_id").cast("string"), F.lit("")),
         F.nullif(F.col("filename").cast("string"), F.lit("")),
@@ -239,16 +242,24 @@ def occurrences(
     end: str | None = None,
     city: str | None = None,
     state: str | None = None,
+    properties: str | None = None,
 ) -> DataFrame:
-    """Located rows that contain the phrase, stopwords counting as words; undated rows stay."""
-    keep = has_phrase(F.col("article"), phrase_tokens(term))
-    day = parse_date(F.col("date"))
+    """Located rows that contain the phrase, stopwords counting as words; undated rows stay.
+
+    ``properties`` names a map column to look in, so that raw features pass through untouched.
+    """
+
+    def field(name: str) -> Column:
+        return F.col(properties)[name] if properties else F.col(name)
+
+    keep = has_phrase(field("article"), phrase_tokens(term))
+    day = parse_date(field("date"))
     if start:
         keep = keep & F.coalesce(day >= F.lit(as_day(start)), F.lit(True))
     if end:
         keep = keep & F.coalesce(day <= F.lit(as_day(end)), F.lit(True))
     if city:
-        keep = keep & _same_text("City", city)
+        keep = keep & _same_text(field("City"), city)
     if state:
-        keep = keep & _same_text("State", state)
+        keep = keep & _same_text(field("State"), state)
     return located.where(keep)

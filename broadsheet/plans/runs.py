@@ -13,7 +13,7 @@ from broadsheet.operators.collocation import Options
 from broadsheet.operators.timebins import collocates_by_time
 from broadsheet.plans.naming import collocation_paths, search_path
 from broadsheet.runtime import stage
-from broadsheet.sinks.features import write_features
+from broadsheet.sinks.features import write_collection_header, write_features
 from broadsheet.sinks.results import (
     manifest,
     write_manifest,
@@ -126,11 +126,36 @@ def collocation_run(
             articles, term, start=start, end=end, city=city, state=state
         )
         write_features(found, paths["occurrences"], mode)
+        name = paths["occurrences"].rsplit("/", 1)[-1]
+        write_collection_header(articles.sparkSession, f"{paths['occurrences']}_header", name, mode)
     else:
         paths["occurrences"] = None
     return paths
 
 
+def coordinates_run(
+    places: DataFrame,
+    fetched: DataFrame,
+    out: str,
+    *,
+    newspapers: Sequence[str] | None = None,
+    keep_existing: bool = False,
+    mode: str = "errorifexists",
+) -> dict[str, str]:
+    """List the newspapers to locate, and write the locations with fetched coordinates applied.
+
+    ``fetched`` has ``SN, Lat, Long`` and replaces the web look-up; rows for newspapers that were
+    not to be looked up are ignored.
+    """
+    wanted = locations.newspapers_to_locate(places, newspapers)
+    paths = {"wanted": f"{out}/newspapers_to_locate", "updated": f"{out}/locations_updated"}
+    wanted.write.mode(mode).json(paths["wanted"])
+    asked = fetched.join(wanted.select("SN"), "SN", "left_semi")
+    updated = locations.apply_coordinates(places, asked, keep_existing=keep_existing)
+    write_table(updated, paths["updated"], mode)
+    return paths
+
+
 def map_tables(
     located: DataFrame,
     term: str | None = None,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.schemas import FEATURE_PROPERTIES
@@ -34,6 +36,28 @@ def feature_json(located: DataFrame, properties: tuple[str, ...] = FEATURE_PROPE
     )
 
 
+def write_raw_features(features: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Features as they were read, all properties included; coordinates become numbers again."""
+    numbers = F.transform("geometry.coordinates", lambda c: c.try_cast("double"))
+    geometry = F.when(
+        F.col("geometry").isNotNull(),
+        F.struct(F.col("geometry.type").alias("type"), numbers.alias("coordinates")),
+    )
+    line = F.to_json(
+        F.struct("type", geometry.alias("geometry"), "properties"), {"ignoreNullFields": "false"}
+    )
+    features.select(line.alias("value")).write.mode(mode).text(path)
+
+
+def write_collection_header(
+    spark: SparkSession, path: str, name: str, mode: str = "errorifexists"
+) -> None:
+    """What a feature collection states once: its type, name and coordinate system."""
+    crs = {"type": "name", "properties": {"name": CRS}}
+    header = json.dumps({"type": "FeatureCollection", "name": name, "crs": crs})
+    spark.range(1).select(F.lit(header).alias("value")).write.mode(mode).text(path)
+
+
 def write_features(located: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Newline-delimited features, written by all tasks in parallel."""
     feature_json(located).write.mode(mode).text(path)

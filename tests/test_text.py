@@ -1,0 +1,130 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from broadsheet.functions import text, tokens
+from broadsheet.runtime import let
+
+
+def value(rows, content, column):
+    return rows([(content,)], "t string").select(column(F.col("t")).alias("v")).first().v
+
+
+@pytest.mark.parametrize(
+    "content, expected",
+    [
+        ("don't ' ''", ["don't", "'", "''"]),
+        ("été K", ["t"]),
+        ("A-b_C1", ["a", "b", "c1"]),
+        ("", []),
+        (None, None),
+    ],
+)
+def test_tokens(rows, content, expected):
+    assert value(rows, content, tokens.tokens) == expected
+
+
+def test_stopwords_are_the_fixed_list():
+    assert len(tokens.STOPWORDS) == len(set(tokens.STOPWORDS)) == 149
+
+
+@pytest.mark.parametrize(
+    "content, phrase, expected",
+    [
+        ("a a a b", "a a", [0, 1]),
+        ("the cat", "dog", []),
+        ("x y", "x y z", []),
+        ("Of--THE of the", "of the", [0, 2]),
+    ],
+)
+def test_phrase_starts_overlap(rows, content, phrase, expected):
+    words = tokens.phrase_tokens(phrase)
+    starts = value(rows, content, lambda t: let(tokens.tokens(t), lambda k: tokens.phrase_starts(k, words)))
+    assert starts == expected
+
+
+def test_phrase_of_stopwords_only_is_an_error():
+    with pytest.raises(ValueError):
+        tokens.phrase_tokens("of the", tokens.STOPWORDS)
+
+
+@pytest.mark.parametrize("drop", [(), tokens.STOPWORDS])
+@pytest.mark.parametrize("phrase", ["bank", "bank river", "don't go"])
+def test_phrase_pattern_agrees_with_tokens(rows, phrase, drop):
+    """The row test on raw text and the test on tokens accept the same rows."""
+    texts = [
+        "bank of the river", "Bank, river", "bankriver", "river bank", "embank ment", "bank-river",
+        "bank 's river", "bank ' '' river", "don't  GO", "dont go", "do n't go", "don't you go", "",
+        "the the bank the river the", "bank of gold river", "'bank river'", "bankKriver",
+    ]
+    words = tokens.phrase_tokens(phrase, drop)
+    df = rows([(t,) for t in texts], "t string").select(
+        "t",
+        tokens.has_phrase(F.col("t"), words, drop).alias("by_text"),
+        (F.size(let(tokens.tokens(F.col("t"), drop), lambda k: tokens.phrase_starts(k, words))) > 0).alias("by_tokens"),
+    )
+    found = df.collect()
+    assert [r.t for r in found if r.by_text != r.by_tokens] == []
+
+
+def test_cleaning(rows):
+    assert value(rows, "rail-\n  road a-b", text.join_hyphen_breaks) == "railroad a-b"
+    for url, expected in {
+        "x/seq.JP2": "x/seq.pdf",
+        "x.jp2?y=.jp2x": "x.pdf?y=.jp2x",
+        "x.jp2#p": "x.pdf#p",
+        "x.jp2.txt": "x.jp2.txt",
+    }.items():
+        assert value(rows, url, text.page_image_to_pdf) == expected
+
+
+def test_first_line(rows):
+    cut = lambda t: text.first_line(t, 10)
+    assert value(rows, "  Head \r\nbody", cut) == "Head"
+    assert value(rows, "0123456789", cut) == "0123456789"
+    assert value(rows, "01234567 9xx", cut) == "01234567…"
+    assert value(rows, None, cut) == ""
+
+
+def test_plain_excerpt(rows):
+    cut = lambda t: text.plain_excerpt(t, 5)
+    assert value(rows, " a \n b ", cut) == "a b"
+    assert value(rows, "abcd efg", cut) == "abcd…"
+
+
+def python_context(content, term, window=60):
+    hit = re.search(re.escape(term), content, re.IGNORECASE)
+    if not hit:
+        return ""
+    lo, hi = max(0, hit.start() - window), min(len(content), hit.end() + window)
+    core = " ".join(content[lo:hi].split())
+    return ("…" if lo else "") + core + ("…" if hi < len(content) else "") if core else ""
+
+
+@pytest.mark.parametrize(
+    "content",
+    ["x" * 70 + " The RAIL road " + "y" * 70, "rail", "no hit", "\U0001f600 " * 40 + "Rail" + " z" * 9, "rail " * 30],
+)
+def test_keyword_context(rows, content):
+    plain = value(rows, content, lambda t: text.keyword_context(t, "rail", highlight=False))
+    assert plain == python_context(content, "rail")
+
+
+def test_marks_survive_escaping(rows):
+    marked = value(rows, "Amp & <amp> {x} 'q'", lambda t: text.mark_term(t, "amp"))
+    assert marked == "<mark>Amp</mark> &amp; &lt;<mark>amp</mark>&gt; &#123;x&#125; &#x27;q&#x27;"
+
+
+@pytest.mark.parametrize("term", ["a.b", r"x\Ey", "(", "$1", "\\"])
+def test_terms_are_literal(rows, term):
+    content = f"{term}-{term.upper()}-ab"
+    assert value(rows, content, lambda t: text.term_count(t, term)) == 2
+    assert term in value(rows, content, lambda t: text.keyword_context(t, term, highlight=False))
+
+
+def test_counts(rows):
+    assert value(rows, "aaaa", lambda t: text.term_count(t, "aa")) == 2
+    assert value(rows, "aaaa", lambda t: text.term_count(t, "  ")) == 0
+    assert value(rows, "Été d'or_1, x-y", text.word_count) == 5
+    assert value(rows, None, text.word_count) == 0
