@@ -385,7 +385,8 @@ def map_titles(
 
 
 def format_coordinate(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.6f", value.try_cast("double")), F.lit(""))
+    number = value.try_cast("double")
+    return F.when(number.isNull(), "").otherwise(F.format_string("%.6f", number))
 
 
 def format_metric(value: Column, metric: str, normalized: bool = False) -> Column:
@@ -445,16 +446,21 @@ def attribute_table(
 ) -> DataFrame:
     """Table of the points: coordinates as text, then the columns of the mode.
 
-    ``full`` shows every property; pass ``properties`` for fixed ones. Long text is cut to 420
-    characters. The optional row limit takes the first rows in ``order``.
+    ``full`` shows every property: those of the ``properties`` map if there is one, else all
+    columns, unless ``properties`` lists them. Article text is cut to 420 characters. The optional
+    row limit takes the first rows in ``order``.
     """
     mode = (mode or "full").strip().lower()
     if mode in ("article", "minimal"):
         columns = TABLE_COLUMNS[mode]
     elif lightweight:
         columns = TABLE_COLUMNS["lightweight"]
+    elif properties:
+        columns = tuple(properties)
+    elif "properties" in points.columns:
+        columns = tuple(property_names(points))
     else:
-        columns = tuple(properties) if properties else tuple(property_names(points))
+        columns = tuple(c for c in points.columns if c not in ("lat", "lon", "day"))
 
     def cell(name: str) -> Column:
         if name in points.columns:

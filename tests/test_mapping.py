@@ -186,7 +186,7 @@ def test_attribute_tables(rows):
 @pytest.mark.parametrize("mode, columns", [("points", "radius"), ("graduated", "radius"), ("cluster", "size_class"), ("heatmap", "frame_no")])
 def test_map_tables(rows, mode, columns):
     data = located(rows, [(1.0, 1.0, "1900-01-01"), (2.0, 2.0, "1900-02-01")])
-    tables = map_tables(data, "gold", mode=mode, table_mode="minimal")
+    tables = map_tables(data, "gold", mode=mode)
     assert columns in tables["layer"].columns
     assert {k: t.count() > 0 for k, t in tables.items()} == dict.fromkeys(tables, True)
     flat = map_tables(data, "gold", mode="heatmap", disable_time=True, table_mode="article")["layer"]
