@@ -9,6 +9,7 @@ from broadsheet.plans.runs import (
     coordinates_run,
     locate_run,
     map_tables,
+    run_term,
     search_run,
 )
 from broadsheet.streaming.search import stream_search, stream_search_capped
@@ -25,6 +26,7 @@ __all__ = [
     "map_tables",
     "missing_coordinates",
     "rank_matrix",
+    "run_term",
     "search_run",
     "stream_search",
     "stream_search_capped",

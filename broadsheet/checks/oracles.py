@@ -284,7 +284,7 @@ entered AS (
             FROM (SELECT year, year - row_number() OVER (ORDER BY year) AS island
                   FROM (SELECT DISTINCT CAST(1700 + n_chars % 300 AS INTEGER) AS year FROM documents))
             GROUP BY island""",
-        "run_metadata_from_names": f"""WITH {ARTICLES}, runs AS (
+        "run_metadata": f"""WITH {ARTICLES}, runs AS (
                 SELECT lccn, page, min(date) AS lo, max(date) AS hi FROM articles
                 GROUP BY lccn, page, substr(date, 1, 4)),
             facts AS (
@@ -446,7 +446,7 @@ entered AS (
             FROM points ORDER BY day NULLS FIRST, article_id LIMIT 300""",
         "attribute_table_open": f"""{points} SELECT printf('%.6f', lat) AS Latitude,
                 printf('%.6f', lon) AS Longitude, State, Title, article_id, page FROM points""",
-        "stream_search_all": f"{found} SELECT article_id, date, page, url, year FROM found",
+        "stream_search": f"{found} SELECT article_id, date, page, url, year FROM found",
         "stream_search_cap": f"""{found}
             SELECT year, least(count(*), {CAP}) AS kept FROM found GROUP BY year""",
     }

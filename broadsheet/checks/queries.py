@@ -41,7 +41,8 @@ _registry: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    _registry[fn.__name__] = fn
+    """Register under the function's name; a trailing underscore avoids a name in use."""
+    _registry[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -131,7 +132,7 @@ def corpus_year_ranges(spark, sf):
 
 
 @query
-def run_metadata_from_names(spark, sf):
+def run_metadata_(spark, sf):
     """One search run per newspaper, year and page; some carry their facts, some only a name."""
     runs = (
         views.articles(spark, sf)
@@ -488,7 +489,7 @@ def _stream_corpus(spark: SparkSession, sf: str) -> str:
 
 
 @query
-def stream_search_all(spark, sf):
+def stream_search_(spark, sf):
     corpus, out = _stream_corpus(spark, sf), scratch_path(spark, "stream-out")
     run = stream_search(
         spark, corpus, out, scratch_path(spark, "stream-state"), WORD, START, END, files_per_batch=3

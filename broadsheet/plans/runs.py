@@ -23,6 +23,7 @@ from broadsheet.sinks.results import (
 )
 from broadsheet.sources.corpus import read_corpus
 from broadsheet.sources.features import points as as_points
+from broadsheet.sources.payloads import run_metadata
 
 
 def search_run(
@@ -60,6 +61,18 @@ def search_run(
     return path
 
 
+def run_term(runs: DataFrame) -> str:
+    """Search term of the run behind some results: its own field, else its file name.
+
+    ``runs`` is what ``read_envelopes`` or ``collection_metadata`` returns; only the distinct term
+    comes to the driver.
+    """
+    terms = run_metadata(runs).select("search_term").distinct().limit(2).collect()
+    if len(terms) != 1:
+        raise ValueError("the results do not belong to exactly one search term")
+    return terms[0].search_term
+
+
 def locate_run(
     articles: DataFrame, places: DataFrame, path: str, *, key: str = "auto", mode: str = "errorifexists"
 ) -> str:

@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local-mode session without that setting gets a temporary folder; on a cluster a
     missing setting is an error, because a machine-local folder would lose data with its machine.
     """
-    named = spark.conf.get(_SCRATCH, None)
+    named = spark.conf.get(_SCRATCH, None) or spark.sparkContext.getConf().get(_SCRATCH)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

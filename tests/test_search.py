@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from broadsheet.operators import search
-from broadsheet.plans.runs import search_run
+from broadsheet.plans.runs import run_term, search_run
 from broadsheet.sources.corpus import available_years, read_corpus, year_ranges
 from broadsheet.sources.payloads import envelope_articles, read_envelopes, read_results, run_metadata
 from broadsheet.sources.tables import last_titles, read_locations, read_table, read_titles
@@ -59,6 +59,36 @@ def test_range_is_inclusive_and_years_prune(spark, corpus_dir):
         search.search(corpus, "x", "1902-01-01", "1901-01-01")
 
 
+def scan_facts(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return next(line for line in plan.splitlines() if "FileScan" in line)
+
+
+def test_the_scan_prunes_years_columns_and_dates(spark, corpus_dir, tmp_path):
+    corpus = read_corpus(spark, corpus_dir)
+    corpus.write.partitionBy("year").parquet(str(tmp_path / "c"))
+    laid_out = read_corpus(spark, str(tmp_path / "c"), 1902, 1902)
+    # A shuffle keeps the plan adaptive.
+    found = search.search(laid_out, "a_b", "1902-01-01", "1902-08-01").groupBy("lccn").count()
+    scan = scan_facts(found)
+    assert "year" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(date,1902-01-01)" in scan and "full_article_id" not in scan
+
+
+def test_files_of_other_years_stay_closed(spark, corpus_dir):
+    def count(*years):
+        return read_corpus(spark, corpus_dir, *years).select("article_id")
+
+    def opened(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        return plan.collectLeaves().head().metrics().apply("numFiles").value()
+
+    assert opened(count()) == 2
+    assert opened(count(1902, 1902)) == 1
+
+
 def test_narrower_search_of_a_search_is_the_narrower_search(spark, corpus_dir):
     corpus = read_corpus(spark, corpus_dir)
     wide = search.search(corpus, "a_b", "1900-01-01", "1902-12-31")
@@ -139,7 +169,7 @@ def test_envelopes(spark, tmp_path):
 
     one, two = {"article_id": "1", "date": "1900-01-01"}, {"article_id": "2", "lccn": None}
     put("gold_rush_1900-01-01_1900-12-31.json", search_term="gold rush", articles=[one, two], match_count=2)
-    put("gold_1900.json", records=[two])
+    put("gold_1900.json", search_term="gold", year="1900", records=[two])
     put("gold_1901.json", articles=[], records=[one])
     put("iron_1900.json", articles=[one])
 
@@ -151,6 +181,9 @@ def test_envelopes(spark, tmp_path):
     assert [r.file_name for r in gold.collect()] == ["gold_1900.json"]
     facts = {r.file_name: r for r in run_metadata(read_envelopes(spark, str(tmp_path), "gold")).collect()}
     assert len(facts) == 3
+    assert run_term(gold) == "gold"
+    with pytest.raises(ValueError):
+        run_term(read_envelopes(spark, str(tmp_path)))
     assert facts["gold_rush_1900-01-01_1900-12-31.json"].search_term == "gold rush"
     assert facts["gold_rush_1900-01-01_1900-12-31.json"].end_date == "1900-12-31"
     put("bad_1.json", articles={"no": "list"})
