@@ -414,23 +414,29 @@ def map_radii(spark, sf):
     return mapping.point_radii(radii).withColumnRenamed("radius", "plain")
 
 
+def _counted(pts: DataFrame) -> DataFrame:
+    """Groups valued by their articles, staged; no text is read for them."""
+    stats = mapping.group_stats(pts).select("group_id", "lat", "lon", "article_count")
+    return mapping.with_values(stage(stats, "groups"))
+
+
 @query
 def heat_static(spark, sf):
     pts = _points(spark, sf)
-    return mapping.heat_points(pts, mapping.map_groups(pts), 2.5)
+    return mapping.heat_points(pts, _counted(pts), 2.5)
 
 
 @query
 def heat_frames(spark, sf):
     pts = _points(spark, sf)
-    return mapping.heat_frames(pts, mapping.map_groups(pts), linger_unit="week", linger=6)
+    return mapping.heat_frames(pts, _counted(pts), linger_unit="week", linger=6)
 
 
 @query
 def heat_frames_places(spark, sf):
     pts = _points(spark, sf)
     return mapping.heat_frames(
-        pts, mapping.map_groups(pts), unit="week", size=2, multiplier=0.5, per_point=False
+        pts, _counted(pts), unit="week", size=2, multiplier=0.5, per_point=False
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.runtime import scalar
+from broadsheet.runtime import scalar, stage
 from broadsheet.schemas import LOCATIONS, ensure_columns
 from broadsheet.sources.tables import last_titles
 
@@ -38,7 +38,7 @@ def locate_articles(
 
     ``key`` is ``lccn``, ``title`` or ``auto``: by id if any article has one, else by newspaper
     name if any has one, else nothing joins. With ``run`` that choice is made per run, for all
-    runs in one job. Null keys meet null keys and a repeated location repeats the article. A
+    runs at once, from a small table computed beforehand. Null keys meet null keys and a repeated location repeats the article. A
     missing title falls back on ``newspaper_name``, which is then dropped.
 
     No broadcast is forced: Spark broadcasts the locations when their size allows it, and
@@ -57,8 +57,13 @@ def locate_articles(
         if run is None:
             by_id, by_name = scalar(articles, has_id), scalar(articles, has_name)
         else:
-            flags = articles.groupBy(F.col(run).alias("_run")).agg(
-                has_id.alias("_id"), has_name.alias("_name")
+            # Staged, one row per run: Spark then knows its size before it plans the join, and
+            # does not shuffle article text by run where the runs fit a broadcast.
+            flags = stage(
+                articles.groupBy(F.col(run).alias("_run")).agg(
+                    has_id.alias("_id"), has_name.alias("_name")
+                ),
+                "runs",
             )
             articles = articles.join(flags, F.col(run) == F.col("_run"), "left")
             by_id, by_name = F.col("_id"), F.col("_name")

@@ -164,8 +164,8 @@ def _weighted(points: DataFrame, groups: DataFrame, multiplier: float | None) ->
     """Narrow rows ``lat, lon, day, weight``; each point weighs what its group is worth.
 
     The text stays behind, so the join on the location moves a few numbers per point. Whether the
-    groups are small enough to broadcast is Spark's decision; an over-full location is split by
-    adaptive skew handling.
+    groups are small enough to broadcast is Spark's decision, taken before any shuffle if they are
+    staged; an over-full location is split by adaptive skew handling.
     """
     factor = heat_multiplier(multiplier)
     worth = groups.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "value")

@@ -5,57 +5,32 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterable
-
 
 def safe_name(text: str | None, default: str = "term") -> str:
-    """Text as a path part: blanks become ``_``, anything else unusual goes."""
-    return re.sub(r"[^\w.-]", "", re.sub(r"\s+", "_", text or ""), flags=re.ASCII) or default
-
-
-def collocation_name(
-    term: str,
-    *,
-    start: str | None = None,
-    end: str | None = None,
-    city: str | None = None,
-    state: str | None = None,
-    time_bin: str | None = None,
-    options: dict[str, bool] | None = None,
-    drop_terms: Iterable[str] = (),
-) -> str:
-    """Name that tells runs apart: readable parts and a digest over all parameters."""
-    facts = {
-        "city": city or "all",
-        "state": state or "all",
-        "start": start or "all",
-        "end": end or "all",
-        "time_bin_unit": time_bin or None,
-        "options": options or {},
-    }
-    digest = hashlib.sha1(json.dumps(facts, sort_keys=True).encode()).hexdigest()[:8]
-    dropped = "drop" if any(str(t).strip() for t in drop_terms) else "nodrop"
-    parts = (
-        safe_name(term),
-        safe_name(start, "all"),
-        safe_name(end, "all"),
-        safe_name(city, "allcities"),
-        safe_name(state, "allstates"),
-        safe_name((time_bin or "").replace(" ", ""), "nobin"),
-        digest,
-        dropped,
-    )
-    return "_".join(parts)
+    """Text as a path part: ASCII letters, digits, ``.``, ``-``; runs of blanks become ``_``."""
+    words = ("".join(re.findall(r"[\w.-]", word, re.ASCII)) for word in (text or "").split())
+    return "_".join(filter(None, words)) or default
+
+
+def run_name(term: str, **params) -> str:
+    """Readable head and a digest over the term and all parameters that are set.
+
+    Equal parameters give equal names in whatever order they come; ``start`` and ``end`` are shown.
+    """
+    told = {k: v for k, v in params.items() if v not in (None, "", (), [], {}, False)}
+    text = json.dumps({"term": term, **told}, sort_keys=True, default=list)
+    digest = hashlib.sha1(text.encode()).hexdigest()[:8]
+    head = (safe_name(str(told.get(k, "")), "all") for k in ("start", "end"))
+    return "_".join((safe_name(term), *head, digest))
 
 
 def collocation_paths(out: str, term: str, **params) -> dict[str, str | None]:
     """Paths of a collocation run, known before it starts."""
-    name = collocation_name(term, **params)
-    return {
-        "metrics": f"{out}/collocates_metrics_{name}",
-        "by_time": f"{out}/collocates_by_time_{name}" if params.get("time_bin") else None,
-        "occurrences": f"{out}/occurrences_{name}",
-    }
+    name = run_name(term, **params)
+    paths = {kind: f"{out}/{kind}_{name}" for kind in ("metrics", "by_time", "occurrences")}
+    if not params.get("time_bin"):
+        paths["by_time"] = None
+    return paths
 
 
 def search_path(out: str, term: str, start: str, end: str) -> str:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.functions.dates import day_range, parse_bin
@@ -101,25 +102,19 @@ def collocation_run(
     The articles with a hit are staged once; metrics, their total and the by-time counts read
     that table. Empty inputs leave header-only tables.
     """
-    flags = {
-        "include_page_count": options.page_count,
-        "include_first_last_date": options.first_last_date,
-        "include_cooccurrence_rate": options.cooccurrence_rate,
-        "include_relative_position": options.relative_position,
-        "drop_stopwords": options.drop_stopwords,
-    }
     paths = collocation_paths(
         out, term, start=start, end=end, city=city, state=state, time_bin=time_bin,
-        options=flags, drop_terms=drop_terms,
+        options=asdict(options), drop_terms=sorted(drop_terms), located=located,
     )
     if not located:
         city = state = None
     chosen = collocation.filter_articles(articles, start=start, end=end, city=city, state=state)
-    edges = {"start": start, "end": end}
+    # Bins span all chosen articles, also those without a hit; their bounds are observed while the
+    # hits are written, without another pass over the text.
+    dates = Observation("dates")
+    bounds = (F.min("date").alias("start"), F.max("date").alias("end"))
     if time_bin and not (start and end):
-        # Bins span all chosen articles, also those without a hit.
-        row = chosen.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
-        edges = {k: v or (d and d.isoformat()) for (k, v), d in zip(edges.items(), (row.lo, row.hi))}
+        chosen = chosen.observe(dates, *bounds)
     hits = stage(
         collocation.with_phrase(chosen, term, options).select(
             *[c for c in ("article_id", "filename", "page", "date", "article") if c in chosen.columns]
@@ -131,7 +126,10 @@ def collocation_run(
     write_table(collocation.by_frequency(metrics), paths["metrics"], mode)
     if paths["by_time"]:
         size, unit = parse_bin(time_bin)
-        by_time = collocates_by_time(hits, term, size, unit, options, **edges)
+        seen = {} if start and end else dates.get
+        by_time = collocates_by_time(
+            hits, term, size, unit, options, start=start or seen["start"], end=end or seen["end"]
+        )
         by_time = collocation.drop_collocates(by_time, drop_terms)
         write_table(by_time.orderBy("time_bin", "ordinal_rank"), paths["by_time"], mode)
     if located:

@@ -21,7 +21,7 @@ _ENVELOPE = T.StructType(
     ]
 )
 # Heads of derived files, put before the term, and the date shape at the end.
-DERIVED_PREFIX = r"^(merged|occurrences|collocates_metrics|collocates_by_time|collocates)_"
+DERIVED_PREFIX = r"^(merged|occurrences|metrics|by_time|collocates_metrics|collocates_by_time|collocates)_"
 NAME_WITH_DATES = r"^(.*)_([^_]+)_([^_]+)$"
 
 

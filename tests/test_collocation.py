@@ -224,10 +224,11 @@ def test_empty_run_leaves_headers(rows, spark, tmp_path):
 
 
 def test_paths_tell_runs_apart():
-    one = collocation_paths("o", "gold rush!", start="1900-01-01", time_bin="1 months")
-    assert one["metrics"].startswith("o/collocates_metrics_gold_rush_1900-01-01_all_allcities_allstates_1months_")
-    assert one["metrics"].endswith("_nodrop")
-    assert collocation_paths("o", "gold rush!", options={"x": True})["metrics"] != collocation_paths("o", "gold rush!")["metrics"]
+    one = collocation_paths("o", "gold  rush!", start="1900-01-01", time_bin="1 months", city=None)
+    assert one["metrics"].startswith("o/metrics_gold_rush_1900-01-01_all_")
+    assert one == collocation_paths("o", "gold  rush!", time_bin="1 months", start="1900-01-01")
+    names = {collocation_paths("o", "gold", **p)["metrics"] for p in ({}, {"city": "a"}, {"state": "a"}, {"drop_terms": ["x"]})}
+    assert len(names) == 4
     assert collocation_paths("o", "x")["by_time"] is None
 
 

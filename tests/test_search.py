@@ -8,7 +8,7 @@ from broadsheet.plans.runs import run_term, search_run
 from broadsheet.sources.corpus import available_years, read_corpus, year_ranges
 from broadsheet.sources.payloads import envelope_articles, read_envelopes, read_results, run_metadata
 from broadsheet.sources.tables import last_titles, read_locations, read_table, read_titles
-from broadsheet.streaming.search import read_capped, stream_search, stream_search_capped
+from broadsheet.streaming.search import progress, read_capped, stream_search, stream_search_capped
 
 SCHEMA = (
     "full_article_id bigint, article_id string, lccn string, date string, page string, "
@@ -211,9 +211,11 @@ def test_read_table_kinds(spark, rows, tmp_path):
 
 def test_stream_equals_batch(spark, corpus_dir, tmp_path):
     args = ("a_b", "1900-01-01", "1902-12-31")
-    stream_search(
+    run = stream_search(
         spark, corpus_dir, str(tmp_path / "out"), str(tmp_path / "state"), *args, files_per_batch=1
-    ).awaitTermination()
+    )
+    run.awaitTermination()
+    assert sum(p["rows"] for p in progress(run)) == len(CORPUS)
     assert ids(spark.read.parquet(str(tmp_path / "out"))) == ids(search.search(read_corpus(spark, corpus_dir), *args))
 
 
