@@ -338,6 +338,15 @@ entered AS (
         "occurrences": f"""WITH {POINTS},{_near(['of', 'the'], source='located')}
             SELECT article_id, lccn, date, Title, City, State, Long, Lat FROM hit_rows
             WHERE day IS NULL OR day BETWEEN DATE '{START}' AND DATE '{END}'""",
+        "occurrence_features": f"""WITH {PLACED},{_near(['of', 'the'], source='placed')}
+            SELECT article_id, date, page, Title, State, CASE WHEN Lat IS NOT NULL THEN Long END AS Long,
+                   CASE WHEN Long IS NOT NULL THEN Lat END AS Lat
+            FROM hit_rows WHERE date <= '{END}' AND lower(City) = 'nation_8'""",
+        "collocation_tables": f"""WITH RECURSIVE {PLACED}, chosen AS (
+                SELECT * FROM placed WHERE date BETWEEN '{START}' AND '{END}' AND lower(City) = 'nation_8'),
+            {_near(['of', 'the'], source='chosen')},
+            {_edges(START, END, '3 MONTH')},{_BY_TIME}
+            SELECT * FROM by_time WHERE collocate_term NOT IN ('the', 'in', 'and', 'zzz')""",
         "top_collocates": f"{metrics} SELECT collocate_term, frequency FROM ranked WHERE rank <= 20",
         "rank_home_bin": f"""{monthly}, top AS (
                 SELECT collocate_term, row_number() OVER (ORDER BY ordinal_rank) AS term_order FROM by_time
@@ -377,6 +386,12 @@ entered AS (
                    CASE WHEN f.SN IS NOT NULL THEN f.Long ELSE l.Long END AS Long,
                    CASE WHEN f.SN IS NOT NULL THEN f.Lat ELSE l.Lat END AS Lat
             FROM locations l LEFT JOIN fetched f ON l.SN = f.SN""",
+        "locations_csv": f"WITH {LOCATIONS} SELECT SN, Title, City, State, Long, Lat FROM locations",
+        "titles_csv": f"WITH {SUPPLIERS},{TITLES} SELECT SN, Title FROM titles",
+        "coordinates_updated": f"""WITH {LOCATIONS}
+            SELECT SN, Title, City, State, -77.5 - CAST(s_suppkey % 8 AS DOUBLE) / 4 AS Long,
+                   37.75 + CAST(s_suppkey % 8 AS DOUBLE) / 4 AS Lat
+            FROM locations JOIN (SELECT SN, s_suppkey FROM suppliers WHERE s_nationkey = 7) USING (SN)""",
         "features_roundtrip": f"""WITH {PLACED}
             SELECT {result}, Title, City, State, Lat AS lat, Long AS lon, date AS day FROM placed
             WHERE Lat IS NOT NULL AND Long IS NOT NULL""",

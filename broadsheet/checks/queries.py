@@ -13,9 +13,10 @@ from broadsheet.functions.tokens import is_number, phrase_starts, tokens
 from broadsheet.operators import collocation, locations, mapping, ranks, search
 from broadsheet.operators.collocation import ALL_METRICS, Options
 from broadsheet.operators.timebins import collocates_by_time
+from broadsheet.plans.runs import collocation_run, coordinates_run
 from broadsheet.runtime import let, scratch_path, stage
-from broadsheet.schemas import RUNS
-from broadsheet.sinks.features import write_features
+from broadsheet.schemas import BY_TIME, RUNS
+from broadsheet.sinks.features import write_features, write_raw_features
 from broadsheet.sinks.results import (
     run_id,
     write_manifest,
@@ -26,7 +27,7 @@ from broadsheet.sinks.results import (
 from broadsheet.sources.corpus import available_years, read_corpus, year_ranges
 from broadsheet.sources.features import feature_rows, points, read_features
 from broadsheet.sources.payloads import read_results, run_metadata
-from broadsheet.sources.tables import read_table
+from broadsheet.sources.tables import last_titles, read_locations, read_table, read_titles
 from broadsheet.streaming.search import read_capped, stream_search, stream_search_capped
 
 START, END = "1900-06-01", "1902-05-31"
@@ -70,17 +71,17 @@ def _placed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def search_keyword(spark, sf):
-    return search.search(views.articles(spark, sf), WORD, START, END)
+    return search.search(views.articles(spark, sf, heavy=False), WORD, START, END)
 
 
 @query
 def search_symbol(spark, sf):
-    return search.search(views.articles(spark, sf), "%", START, END).select("article_id", "date")
+    return search.search(views.articles(spark, sf, heavy=False), "%", START, END).select("article_id", "date")
 
 
 @query
 def search_clean(spark, sf):
-    broken = views.articles(spark, sf).withColumns(
+    broken = views.articles(spark, sf, heavy=False).withColumns(
         {
             "article": F.replace("article", F.lit(", "), F.lit("- \n")),
             "url": F.concat(F.upper("url"), F.lit("?size=.jp2x")),
@@ -95,20 +96,20 @@ def search_clean(spark, sf):
 @query
 def search_titles(spark, sf):
     found = search.search(
-        views.articles(spark, sf), WORD, START, END, titles=views.titles(spark, sf)
+        views.articles(spark, sf, heavy=False), WORD, START, END, titles=views.titles(spark, sf)
     )
     return found.select("article_id", "lccn", "newspaper_name")
 
 
 @query
 def search_cap_per_year(spark, sf):
-    found = search.search(views.articles(spark, sf), WORD, START, END, cap=CAP)
+    found = search.search(views.articles(spark, sf, heavy=False), WORD, START, END, cap=CAP)
     return found.select("article_id", "date", "year")
 
 
 @query
 def search_counts_by_year(spark, sf):
-    found = search.search(views.articles(spark, sf), WORD, "1899-01-01", "1903-12-31")
+    found = search.search(views.articles(spark, sf, heavy=False), WORD, "1899-01-01", "1903-12-31")
     return search.counts_by_year(found, "1899-01-01", "1903-12-31")
 
 
@@ -116,7 +117,7 @@ def search_counts_by_year(spark, sf):
 def corpus_years_read(spark, sf):
     """Yearly folders, then a read of two years: files of the third are never opened."""
     path = scratch_path(spark, "corpus")
-    rows = views.articles(spark, sf).drop("newspaper_name")
+    rows = views.articles(spark, sf, heavy=False).drop("newspaper_name")
     rows.withColumn("year", F.substring("date", 1, 4).cast("int")).write.partitionBy("year").parquet(path)
     corpus = read_corpus(spark, path, 1902, 1901)
     per_year = corpus.groupBy("year").agg(
@@ -135,7 +136,7 @@ def corpus_year_ranges(spark, sf):
 def run_metadata_(spark, sf):
     """One search run per newspaper, year and page; some carry their facts, some only a name."""
     runs = (
-        views.articles(spark, sf)
+        views.articles(spark, sf, heavy=False)
         .groupBy("lccn", "page", F.substring("date", 1, 4).alias("y"))
         .agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     )
@@ -161,7 +162,7 @@ def run_metadata_(spark, sf):
 def payload_roundtrip(spark, sf):
     path = scratch_path(spark, "results")
     found = search.search(
-        views.articles(spark, sf), WORD, START, END, titles=views.titles(spark, sf)
+        views.articles(spark, sf, heavy=False), WORD, START, END, titles=views.titles(spark, sf)
     )
     write_results(search.in_date_order(found), path)
     return read_results(spark, path).select(
@@ -172,7 +173,7 @@ def payload_roundtrip(spark, sf):
 @query
 def payload_manifest(spark, sf):
     path = scratch_path(spark, "runs")
-    found = search.search(views.articles(spark, sf), WORD, "1899-01-01", "1903-12-31")
+    found = search.search(views.articles(spark, sf, heavy=False), WORD, "1899-01-01", "1903-12-31")
     write_manifest(yearly_manifest(found, WORD, "1899-01-01", "1903-12-31"), path)
     return spark.read.schema(RUNS).json(path).drop("run_id")
 
@@ -262,6 +263,30 @@ def occurrences(spark, sf):
     return found.select("article_id", "lccn", "date", "Title", "City", "State", "Long", "Lat")
 
 
+@query
+def occurrence_features(spark, sf):
+    """Raw features filtered by their properties, written untouched and read again."""
+    path, kept = scratch_path(spark, "features"), scratch_path(spark, "occurrences")
+    write_features(_placed(spark, sf), path)
+    found = collocation.occurrences(
+        read_features(spark, path), PHRASE, end=END, city="Nation_8", properties="properties"
+    )
+    write_raw_features(found, kept)
+    rows = feature_rows(read_features(spark, kept))
+    return rows.select("article_id", "date", "page", "Title", "State", "Long", "Lat")
+
+
+@query
+def collocation_tables(spark, sf):
+    """A whole run on located articles; its by-time table read back."""
+    paths = collocation_run(
+        _placed(spark, sf), scratch_path(spark, "run"), PHRASE, start=START, end=END,
+        time_bin="3 months", options=Options(page_count=True), drop_terms=DROPPED,
+        city="NATION_8", located=True,
+    )
+    return spark.read.schema(BY_TIME).option("header", True).csv(paths["by_time"])
+
+
 # --- ranks --------------------------------------------------------------------------------
 
 
@@ -351,6 +376,34 @@ def apply_coordinates(spark, sf):
     return locations.apply_coordinates(views.locations(spark, sf), views.fetched(spark, sf))
 
 
+@query
+def locations_csv(spark, sf):
+    path = scratch_path(spark, "locations")
+    write_table(views.locations(spark, sf), path)
+    return read_locations(spark, path)
+
+
+@query
+def titles_csv(spark, sf):
+    """A lookup under other headings, in a folder of files, read as the last title per key."""
+    path = scratch_path(spark, "titles")
+    named = views.titles(spark, sf).select(
+        F.col("SN").alias(" LCCN"), F.col("Title").alias("Newspaper"), "ordinal"
+    )
+    write_table(named, path)
+    return last_titles(read_titles(spark, path))
+
+
+@query
+def coordinates_updated(spark, sf):
+    out = scratch_path(spark, "coordinates")
+    paths = coordinates_run(
+        views.locations(spark, sf), views.fetched(spark, sf), out, keep_existing=True
+    )
+    wanted = spark.read.schema("SN string, Title string").json(paths["wanted"])
+    return read_locations(spark, paths["updated"]).join(wanted.select("SN"), "SN")
+
+
 @query
 def features_roundtrip(spark, sf):
     path = scratch_path(spark, "features")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broadsheet.runtime import local_table
 from broadsheet.schemas import LOCATIONS, ensure_columns, require_columns
 
 # Headings under which a lookup may keep its key and its title.
@@ -33,7 +35,8 @@ def title_lookup(df: DataFrame) -> DataFrame:
 
     key, title = pick(KEY_HEADINGS), pick(TITLE_HEADINGS)
     if key is None or title is None:
-        return df.sparkSession.createDataFrame([], "SN string, Title string, ordinal bigint")
+        empty = {"SN": pa.string(), "Title": pa.string(), "ordinal": pa.int64()}
+        return local_table(df.sparkSession, [], **empty)
     ordinal = (
         F.col("ordinal").cast("long") if "ordinal" in df.columns else F.monotonically_increasing_id()
     )

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from broadsheet.functions.ranking import first_rows
 from broadsheet.operators.search import article_columns, matching
+from broadsheet.runtime import local_table
 from broadsheet.schemas import ARTICLE_COLUMNS
 from broadsheet.sources.corpus import stream_corpus
 
@@ -59,10 +61,9 @@ class YearlyCap:
         return f"{self.out}/counts/batch={batch}"
 
     def _taken(self, spark: SparkSession, batch: int) -> DataFrame:
-        schema = "year int, taken bigint"
         if batch == 0:
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(self.counts_path(batch - 1))
+            return local_table(spark, [], year=pa.int32(), taken=pa.int64())
+        return spark.read.schema("year int, taken bigint").parquet(self.counts_path(batch - 1))
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession

@@ -89,6 +89,12 @@ def test_one_date_has_two_frames(rows):
     assert frames_of(rows, ["1900-01-05"], linger_unit="year", linger=1) == [(0, "1900-01-05"), (1, "1900-02-05")]
 
 
+def test_undated_points_are_in_no_frame(rows):
+    assert frames_of(rows, [None, "soon"]) == []
+    assert frames_of(rows, [None, "soon"], linger=2) == []
+    assert len(frames_of(rows, [None, "1900-01-01"])) == 1
+
+
 def loop_frames(dates, unit, size, linger_unit, linger):
     """Frames by loops, from the definition."""
     from broadsheet.functions.dates import step
