@@ -467,6 +467,11 @@ def map_radii(spark, sf):
     return mapping.point_radii(radii).withColumnRenamed("radius", "plain")
 
 
+def _slim(spark: SparkSession, sf: str) -> DataFrame:
+    """Places and days only, written once: heat layers read them several times."""
+    return stage(_points(spark, sf).select("lat", "lon", "day"), "points")
+
+
 def _counted(pts: DataFrame) -> DataFrame:
     """Groups valued by their articles, staged; no text is read for them."""
     stats = mapping.group_stats(pts).select("group_id", "lat", "lon", "article_count")
@@ -475,19 +480,19 @@ def _counted(pts: DataFrame) -> DataFrame:
 
 @query
 def heat_static(spark, sf):
-    pts = _points(spark, sf)
+    pts = _slim(spark, sf)
     return mapping.heat_points(pts, _counted(pts), 2.5)
 
 
 @query
 def heat_frames(spark, sf):
-    pts = _points(spark, sf)
+    pts = _slim(spark, sf)
     return mapping.heat_frames(pts, _counted(pts), linger_unit="week", linger=6)
 
 
 @query
 def heat_frames_places(spark, sf):
-    pts = _points(spark, sf)
+    pts = _slim(spark, sf)
     return mapping.heat_frames(
         pts, _counted(pts), unit="week", size=2, multiplier=0.5, per_point=False
     )

@@ -75,10 +75,21 @@ def run_term(runs: DataFrame) -> str:
 
 
 def locate_run(
-    articles: DataFrame, places: DataFrame, path: str, *, key: str = "auto", mode: str = "errorifexists"
+    articles: DataFrame,
+    places: DataFrame,
+    path: str,
+    *,
+    key: str = "auto",
+    run: str | None = None,
+    mode: str = "errorifexists",
 ) -> str:
-    """Join articles to locations and write point features."""
-    write_features(locations.locate_articles(articles, places, key=key), path, mode)
+    """Join articles to locations and write point features.
+
+    With ``run``, the column that tells result files apart (see ``envelope_articles``), all files
+    are located by one job, each by its own best key, into one folder each.
+    """
+    located = locations.locate_articles(articles, places, key=key, run=run)
+    write_features(located, path, mode, run)
     return path
 
 
@@ -192,8 +203,8 @@ def map_tables(
 ) -> dict[str, DataFrame]:
     """All tables behind one map: groups, layer, entries, titles, summary, attributes.
 
-    Only the stats per location are computed at once, and staged, because groups and layer both
-    start from them; everything else is lazy.
+    Only the stats per location and, for heat maps, the places and days are computed at once, and
+    staged, because several tables start from them; everything else is lazy.
 
     ``mode`` is ``points``, ``cluster``, ``heatmap`` or ``graduated``; anything else means
     ``points``. The layer of a heat map is framed in time if any point has a date.
@@ -205,14 +216,16 @@ def map_tables(
     )
     mode = (mode or "points").strip().lower()
     if mode == "heatmap":
-        timed = not disable_time and not pts.where(pts.day.isNotNull()).isEmpty()
+        # Read several times, so the articles are not parsed again for each.
+        slim = stage(pts.select("lat", "lon", "day"), "points")
+        timed = not disable_time and not slim.where(slim.day.isNotNull()).isEmpty()
         layer = (
             mapping.heat_frames(
-                pts, groups, unit=unit, size=size, linger_unit=linger_unit, linger=linger,
+                slim, groups, unit=unit, size=size, linger_unit=linger_unit, linger=linger,
                 multiplier=heat_value,
             )
             if timed
-            else mapping.heat_points(pts, groups, heat_value)
+            else mapping.heat_points(slim, groups, heat_value)
         )
     elif mode == "graduated":
         layer = mapping.graduated_radii(groups, min_radius, max_radius)

@@ -21,10 +21,15 @@ def point_geometry(lon: Column, lat: Column) -> Column:
     )
 
 
-def feature_json(located: DataFrame, properties: tuple[str, ...] = FEATURE_PROPERTIES) -> DataFrame:
+def feature_json(
+    located: DataFrame,
+    properties: tuple[str, ...] = FEATURE_PROPERTIES,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
     """One JSON feature per row in column ``value``; dates and pages become text."""
     kept = [F.col(c).cast("string").alias(c) for c in properties if c in located.columns]
     return located.select(
+        *carry,
         F.to_json(
             F.struct(
                 F.lit("Feature").alias("type"),
@@ -32,7 +37,7 @@ def feature_json(located: DataFrame, properties: tuple[str, ...] = FEATURE_PROPE
                 F.struct(*kept).alias("properties"),
             ),
             {"ignoreNullFields": "false"},
-        ).alias("value")
+        ).alias("value"),
     )
 
 
@@ -58,6 +63,12 @@ def write_collection_header(
     spark.range(1).select(F.lit(header).alias("value")).write.mode(mode).text(path)
 
 
-def write_features(located: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Newline-delimited features, written by all tasks in parallel."""
-    feature_json(located).write.mode(mode).text(path)
+def write_features(
+    located: DataFrame, path: str, mode: str = "errorifexists", run: str | None = None
+) -> None:
+    """Newline-delimited features, written by all tasks in parallel; one folder per ``run``."""
+    lines = feature_json(located, carry=(run,) if run else ())
+    writer = lines.write.mode(mode)
+    if run:
+        writer = writer.partitionBy(run)
+    writer.text(path)

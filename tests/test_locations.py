@@ -70,6 +70,17 @@ def test_key_is_chosen_per_run(rows, places):
         locations.locate_articles(articles, places, key="city")
 
 
+def test_runs_are_written_apart(rows, spark, places, tmp_path):
+    data = [("1", "s2", None, "a.json"), ("2", None, "Two", "b.json"), ("3", None, None, "b.json")]
+    articles = rows(data, ARTICLES + ", run string")
+    path = locate_run(articles, places, str(tmp_path / "f"), run="run")
+    back = read_features(spark, path)
+    rows_back = feature_rows(back.select("type", "geometry", "properties"))
+    assert got(rows_back, "article_id", "Title") == [("1", "Two"), ("2", "Two"), ("3", None)]
+    one = spark.read.text(f"{path}/run=b.json")
+    assert one.count() == 2
+
+
 def test_one_newspaper_may_hold_most_articles(spark, places):
     many = spark.range(20_000).select(
         F.col("id").cast("string").alias("article_id"),
