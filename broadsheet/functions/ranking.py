@@ -47,20 +47,20 @@ def rank_by_frequency(
 def first_rows(
     df: DataFrame,
     group: list[str],
-    order: list,
+    order: list[str],
     n: int,
-    key: str,
     *,
-    salts: int = 32,
+    slices: int = 32,
     number: str | None = None,
 ) -> DataFrame:
-    """The first ``n`` rows of each group in the given order.
+    """The first ``n`` rows of each group by the columns in ``order``.
 
-    Taken first inside ``salts`` slices of each group and then among the slices' winners, so a
-    group that holds most of the rows is still sorted by many tasks. Both steps compile to a group
-    limit that runs before the shuffle. ``number`` names a column to keep the place in.
+    Taken first inside slices of each group, by a hash of the order columns, and then among the
+    slices' winners, so a group that holds most of the rows is still sorted by many tasks. Both
+    steps compile to a group limit that runs before the shuffle. ``number`` names a column to keep
+    the place in.
     """
-    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(salts)))
+    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
     near = Window.partitionBy(*group, "_slice").orderBy(*order)
     final = Window.partitionBy(*group).orderBy(*order)
     first = (

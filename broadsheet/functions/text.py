@@ -119,7 +119,7 @@ def keyword_context(
     halves = F.split(F.coalesce(text, F.lit("")), literal_pattern(word), 2)
 
     def snippet(parts: Column) -> Column:
-        before, after = parts[0], parts[1]
+        before, after = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
         hit = F.substring(
             text,
             F.length(before) + 1,

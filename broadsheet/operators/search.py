@@ -38,7 +38,7 @@ def cap_per_year(matches: DataFrame, cap: int | None) -> DataFrame:
     """The first ``cap`` matches of each year by date, then id; 0 or None keeps all."""
     if not cap:
         return matches
-    return first_rows(matches, ["year"], ["date", "article_id"], int(cap), "article_id")
+    return first_rows(matches, ["year"], ["date", "article_id"], int(cap))
 
 
 def clean(

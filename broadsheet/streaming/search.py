@@ -69,7 +69,7 @@ class YearlyCap:
         spark = batch.sparkSession
         taken = self._taken(spark, number)
         # At most cap rows per year survive the first step, so what is ranked again stays small.
-        firsts = first_rows(batch, ["year"], ["date", "article_id"], self.cap, "article_id", number="place")
+        firsts = first_rows(batch, ["year"], ["date", "article_id"], self.cap, number="place")
         room = F.lit(self.cap) - F.coalesce("taken", F.lit(0))
         kept = (
             firsts.join(taken, "year", "left").where(F.col("place") <= room).drop("taken", "place")
