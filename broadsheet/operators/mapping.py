@@ -68,6 +68,11 @@ def metric_name(metric: str | None) -> str:
     return name if name in METRICS else "article_count"
 
 
+def metric_label(metric: str | None, normalize: bool = False) -> str:
+    """Display name of a metric."""
+    return METRICS[metric_name(metric)][2 if normalize else 1]
+
+
 def group_stats(points: DataFrame, term: str | None = None) -> DataFrame:
     """Counts per location; text is counted where it lies and only numbers are shuffled."""
     points = ensure_columns(points, ("page", "article"))

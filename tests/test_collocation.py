@@ -1,6 +1,6 @@
 import random
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F

@@ -177,6 +177,11 @@ def test_formats(rows):
     assert [tuple(r) for r in shown] == [("1,234", "176.2857", "1234.000000"), ("n/a", "n/a", "")]
 
 
+def test_metric_labels():
+    assert mapping.metric_label(None) == mapping.metric_label("unknown") == "Articles"
+    assert mapping.metric_label("KEY_TERM_FREQUENCY", True) == "Term Frequency / Total Words"
+
+
 def test_attribute_tables(rows):
     pts = points(located(rows, [(1.0, float(i), f"1900-01-0{1 + i}") for i in range(5)]))
     minimal = mapping.attribute_table(pts, "minimal", limit=2)
