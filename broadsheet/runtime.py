@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -17,13 +18,14 @@ _local_scratch: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a temporary folder; on a cluster a
-    missing setting is an error, because a machine-local folder would lose data with its machine.
+    A session without that setting gets a temporary folder only in local mode, where driver and tasks
+    are one process; anywhere else a missing setting is an error, because a machine-local folder would
+    be unseen by other machines and lost with its own.
     """
     named = spark.conf.get(_SCRATCH, None) or spark.sparkContext.getConf().get(_SCRATCH)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError(f"set {_SCRATCH} to a folder shared by all executors")
     app = spark.sparkContext.applicationId
     if app not in _local_scratch:
