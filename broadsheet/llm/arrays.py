@@ -62,6 +62,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    return _SPACE[data]
+
+
 def words(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of bytes that are no ASCII white space, inside one text each."""
     inside = ~_SPACE[texts.data]

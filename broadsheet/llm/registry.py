@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import packing, token_counts
+from broadsheet.llm import packing, quality_rules, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,10 +22,24 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose text is trusted: those labelled to be of good quality."""
+    return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.score_quality(docs, trusted(spark, sf_dir), keep=["doc_id"])
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
