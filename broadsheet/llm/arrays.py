@@ -29,8 +29,8 @@ class Texts(NamedTuple):
     rows: slice
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
-    """Cut a text column into runs of rows of about ``limit`` bytes, at least one row each."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[Texts]:
+    """Cut a text column into runs of about ``limit`` bytes and at most ``rows`` rows, at least one row each."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):
@@ -41,7 +41,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
     first = 0
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
-        last = min(last, len(column))
+        last = min(last, first + rows, len(column))
         yield Texts(whole[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], slice(first, last))
         first = last
 

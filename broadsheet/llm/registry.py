@@ -2,18 +2,50 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable
+from functools import partial
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import packing, quality_rules, simhash, token_counts
+from broadsheet.llm import (
+    byte_network,
+    decontamination,
+    language,
+    packing,
+    quality_rules,
+    sharding,
+    simhash,
+    token_counts,
+    token_files,
+    toxicity,
+)
+from broadsheet.runtime import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        source = Path(__file__).resolve().parents[2]
+        archive = Path(tempfile.mkdtemp(prefix="broadsheet-")) / "broadsheet.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted((source / "broadsheet").rglob("*.py")):
+                out.write(file, file.relative_to(source))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
+
+
+_shipped: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,6 +54,10 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose text is trusted: those labelled to be of good quality."""
     return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -32,16 +68,44 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_quality(docs, trusted(spark, sf_dir), keep=["doc_id"])
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the shards, then reads every record back and gives its place and checksum."""
+    path = scratch_path(spark, "tokens")
+    layout = token_files.write_token_shards(table(spark, sf_dir, "documents"), BYTE_BPE, path)
+    return token_files.read_token_shards(spark, path, layout)
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_network.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    def shipped(query: Query, spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return {name: partial(shipped, f) for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
