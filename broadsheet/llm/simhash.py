@@ -87,7 +87,8 @@ def variants(fingerprint_: Column, parts: int) -> Column:
         keep = F.lit(_long(sum(1 << b for b in kept)))
         apart = (0x9E3779B97F4A7C15 * (p + 1)) % (1 << BITS)  # keys of different choices do not mix
         masks = F.array(*[F.lit(_long(m ^ apart)) for m in _ball(kept, -(-share // 2))])
-        keys.append(F.transform(masks, lambda m, keep=keep: fingerprint_.bitwiseAND(keep).bitwiseXOR(m)))
+        kept_bits = fingerprint_.bitwiseAND(keep)
+        keys.append(F.transform(masks, kept_bits.bitwiseXOR))
     return F.concat(*keys)
 
 
