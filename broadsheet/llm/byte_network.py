@@ -16,25 +16,30 @@ from broadsheet.llm.folds import held_out, labelled_sample
 
 #: Bytes per chunk, and how many of them the next chunk has again.
 CHUNK, OVERLAP = 512, 64
-#: Bytes a filter sees, numbers per byte, filters.
-WIDTH, DEPTH, FILTERS = 8, 6, 16
+#: Bytes a filter sees, numbers per byte, filters, units that combine the pooled features.
+WIDTH, DEPTH, FILTERS, UNITS = 8, 6, 16, 16
 #: Learning rows per class, and times they are seen.
-SAMPLE, EPOCHS = 1500, 6
+SAMPLE, EPOCHS = 2500, 8
 #: Scores from here on are predicted to be of label 1.
 THRESHOLD = 0.3
 _PAD = 256
 _STEP = CHUNK - OVERLAP
 _PLACES = CHUNK - WIDTH + 1
 _AT_ONCE = 128
+#: Mean, greatest and least of each filter's response, and how full the chunks are.
+_POOLED = 3 * FILTERS + 1
+_SHAPES = [(257, DEPTH), (WIDTH * DEPTH, FILTERS), (FILTERS,), (_POOLED, UNITS), (UNITS,), (UNITS,), (1,)]
 
 
 class Network(NamedTuple):
-    """Byte embedding, filters and their offsets, and the weights of the pooled features."""
+    """Byte embedding, filters and their offsets, and the two layers over the pooled features."""
 
     bytes_: np.ndarray  # (257, DEPTH); the last row stands for no byte and stays zero
     filters: np.ndarray  # (WIDTH * DEPTH, FILTERS)
     offsets: np.ndarray  # (FILTERS,)
-    weights: np.ndarray  # (3 * FILTERS,)
+    mixing: np.ndarray  # (_POOLED, UNITS)
+    shifts: np.ndarray  # (UNITS,)
+    weights: np.ndarray  # (UNITS,)
     bias: np.ndarray  # (1,)
 
 
@@ -59,11 +64,12 @@ def _responses(net: Network, rows: np.ndarray) -> np.ndarray:
     return (flat @ net.filters).reshape(len(rows), _PLACES, FILTERS)
 
 
-def _pooled(features: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """Mean, greatest and least of each feature over the chunks of a text."""
-    first = np.searchsorted(owner, np.arange(n))
-    mean = np.add.reduceat(features, first) / np.bincount(owner, minlength=n)[:, None]
-    return np.concatenate((mean, np.maximum.reduceat(features, first), np.minimum.reduceat(features, first)), axis=1)
+def _pooled(features: np.ndarray, rows: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Mean, greatest and least of each feature over the chunks of a text, and the mean share of bytes in them."""
+    first, counts = np.searchsorted(owner, np.arange(n)), np.bincount(owner, minlength=n)[:, None]
+    full = np.add.reduceat((rows != _PAD).mean(1), first)[:, None] / counts
+    ends = np.maximum.reduceat(features, first), np.minimum.reduceat(features, first)
+    return np.concatenate((np.add.reduceat(features, first) / counts, *ends, full), axis=1).astype(np.float32)
 
 
 def probabilities(net: Network, texts: Texts) -> np.ndarray:
@@ -71,7 +77,8 @@ def probabilities(net: Network, texts: Texts) -> np.ndarray:
     rows, owner = chunks(texts)
     peaks = [_responses(net, rows[i : i + _AT_ONCE]).max(1) for i in range(0, len(rows), _AT_ONCE)]
     features = np.tanh(np.concatenate(peaks) + net.offsets)
-    logits = _pooled(features, owner, len(texts.at) - 1) @ net.weights + net.bias
+    units = np.tanh(_pooled(features, rows, owner, len(texts.at) - 1) @ net.mixing + net.shifts)
+    logits = units @ net.weights + net.bias
     return 1 / (1 + np.exp(-np.clip(logits, -30, 30).astype(np.float64)))
 
 
@@ -80,14 +87,16 @@ def _gradients(net: Network, rows: np.ndarray, owner: np.ndarray, labels: np.nda
     responses = _responses(net, rows)
     peak = responses.argmax(1)
     features = np.tanh(np.take_along_axis(responses, peak[:, None], 1)[:, 0] + net.offsets)
-    pooled = _pooled(features, owner, n)
-    logits = np.clip(pooled @ net.weights + net.bias, -30, 30)
+    pooled = _pooled(features, rows, owner, n)
+    units = np.tanh(pooled @ net.mixing + net.shifts)
+    logits = np.clip(units @ net.weights + net.bias, -30, 30)
     error = ((1 / (1 + np.exp(-logits)) - labels) / n).astype(np.float32)
-    spread = error[:, None] * net.weights  # to the pooled features
+    to_units = error[:, None] * net.weights * (1 - units**2)
+    spread = to_units @ net.mixing.T  # to the pooled features
     mean, most, least = (spread[owner, k * FILTERS : (k + 1) * FILTERS] for k in range(3))
     back = mean / np.bincount(owner, minlength=n)[owner, None]
     back = back + most * (features == pooled[owner, FILTERS : 2 * FILTERS])
-    back = back + least * (features == pooled[owner, 2 * FILTERS :])
+    back = back + least * (features == pooled[owner, 2 * FILTERS : 3 * FILTERS])
     back = back * (1 - features**2)
     seen = rows[each[:, :, None], peak[:, :, None] + np.arange(WIDTH)]  # bytes under each filter's peak
     to_filters = np.einsum("cf,cfk->kf", back, net.bytes_[seen].reshape(len(rows), FILTERS, -1))
@@ -95,14 +104,15 @@ def _gradients(net: Network, rows: np.ndarray, owner: np.ndarray, labels: np.nda
     shares = back[:, :, None, None] * net.filters.T.reshape(FILTERS, WIDTH, DEPTH)
     np.add.at(to_bytes, seen.reshape(-1), shares.reshape(-1, DEPTH))
     to_bytes[_PAD] = 0
-    return [to_bytes, to_filters, back.sum(0), pooled.T @ error, error.sum(keepdims=True)]
+    layers = [pooled.T @ to_units, to_units.sum(0), units.T @ error, error.sum(keepdims=True)]
+    return [to_bytes, to_filters, back.sum(0), *layers]
 
 
 def train(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> Network:
-    """Learn all weights by Adam on batches of texts of like length."""
+    """Learn all weights by Adam on small batches of whole texts."""
     rng = np.random.default_rng(seed)
-    shapes = [(257, DEPTH), (WIDTH * DEPTH, FILTERS), (FILTERS,), (3 * FILTERS,), (1,)]
-    net = Network(*(rng.normal(0, s, shape).astype(np.float32) for s, shape in zip((0.5, 0.15, 0.1, 0.1, 0.0), shapes)))
+    scales = (0.5, 0.15, 0.1, 0.2, 0.1, 0.3, 0.0)
+    net = Network(*(rng.normal(0, s, shape).astype(np.float32) for s, shape in zip(scales, _SHAPES)))
     net.bytes_[_PAD] = 0
     parts = list(slices(texts, limit=96 << 10, rows=32))
     m, v, step = [np.zeros_like(w) for w in net], [np.zeros_like(w) for w in net], 0
@@ -129,16 +139,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", *, text: str
         shuffled = table.take(pa.array(order))
         targets = shuffled["label"].to_numpy().astype(np.float32)
         net = train(shuffled["text"].combine_chunks(), targets)
-        return pa.table({"weights": pa.array([w.ravel().tolist() for w in net], pa.list_(pa.float32())), "i": range(5)})
+        return pa.table({"weights": pa.array([w.ravel().tolist() for w in net], pa.list_(pa.float32())), "i": range(len(net))})
 
     sample = labelled_sample(docs, labels, label, SAMPLE, text=text)
     sample = sample.select(F.col(label).cast("int").alias("label"), F.col(text).alias("text"), F.lit(1).alias("one"))
     found = sample.groupBy("one").applyInArrow(learn, "weights array<float>, i long").collect()
-    shapes = [(257, DEPTH), (WIDTH * DEPTH, FILTERS), (FILTERS,), (3 * FILTERS,), (1,)]
     if not found:
-        return Network(*(np.zeros(shape, np.float32) for shape in shapes))
+        return Network(*(np.zeros(shape, np.float32) for shape in _SHAPES))
     weights = {r.i: np.array(r.weights, np.float32) for r in found}
-    return Network(*(weights[i].reshape(shape) for i, shape in enumerate(shapes)))
+    return Network(*(weights[i].reshape(shape) for i, shape in enumerate(_SHAPES)))
 
 
 def score(docs: DataFrame, net: Network, *, text: str = "text", name: str = "score") -> DataFrame:

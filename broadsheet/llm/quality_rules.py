@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from broadsheet.llm.arrays import RangeHashes, Texts, fold, is_space, per_text, slices, text_of, words
 from broadsheet.llm.columns import free_names, small_side
@@ -139,12 +140,8 @@ def score_quality(
     results = [*_COUNTS, "base_failed", "log_ratio", "kept"]
     taken = {name.lower() for name in results}
     others = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(
-        [f"`{c}` {kinds[c]}" for c in others]
-        + [f"{c} long" for c in _COUNTS]
-        + ["base_failed boolean", "log_ratio double", "kept boolean"]
-    )
+    schema = StructType([docs.schema[c] for c in others] + [StructField(c, LongType()) for c in _COUNTS])
+    schema = schema.add("base_failed", "boolean").add("log_ratio", "double").add("kept", "boolean")
     source = [*others, text].index(text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,3 +158,10 @@ def score_quality(
                 yield pa.RecordBatch.from_arrays(old + [pa.array(x) for x in new], others + results)
 
     return docs.select(*others, *([] if text in others else [text])).mapInArrow(score, schema)
+
+
+def of_good_shape(docs: DataFrame, trusted: DataFrame, *, text: str = "text") -> DataFrame:
+    """Rows that ``score_quality`` keeps; columns stay as they are, whatever their names."""
+    inner = [c if c in ("doc_id", text) else f"column_{i}" for i, c in enumerate(docs.columns)]
+    scored = score_quality(docs.toDF(*inner), trusted, text=text).where("kept")
+    return scored.select([F.col(i).alias(c) for i, c in zip(inner, docs.columns)])
