@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from broadsheet.llm import registry
+from broadsheet.runtime import stage
 
-STAGES = [("packing", lambda spark, docs, sf_dir: registry.packing.pack(docs, registry.BYTE_BPE))]
+#: Each takes (spark, docs, sf_dir); all but the last return rows of ``docs`` with its columns.
+STAGES = [
+    ("quality_classifier", registry.good_quality),
+    ("quality_rules", registry.good_shape),
+    ("near_duplicates", registry.one_of_each),
+    ("decontamination", registry.without_benchmark),
+    ("packing", registry.packed),
+]
 
-#: Tokenizing and the trained stages have no SQL form; tests compare them with brute force.
+#: Trained weights, hashes and token ids have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage keeps is written to the shared folder for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
