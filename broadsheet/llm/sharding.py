@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from broadsheet.runtime import stage
 
 SHARDS = 40
-#: Rounds of moves; the links of a shard change little after the second.
-ROUNDS = 4
+#: Rounds of moves at most; few parts are left split after the third.
+ROUNDS = 8
 #: Bytes that a row takes in a shard besides its text.
 ROW_BYTES = 16
 #: Ranks are counted in so many buckets first, so that no task sorts a whole shard.
@@ -35,15 +35,15 @@ def _ranked(df: DataFrame, group: str, order: list[Column], size: Column | None
     )
 
 
-def _moves(state: DataFrame, room: Column) -> DataFrame:
-    """Where the members of each (part, shard) want to go: the shard with room that has most neighbours,
-    if it has more of them than their own; equal counts are told apart by hash."""
+def _wishes(state: DataFrame, room: Column) -> DataFrame:
+    """Where each part wants to meet: of the shards its members are in, the one with most of them that
+    has room for the others; equal counts are told apart by hash. ``n`` is how many would move."""
     counts = state.groupBy("part", "shard").agg(F.sum("n").alias("n"))
-    weight = F.struct("n", F.xxhash64("part", "shard").alias("tie"), "shard")
-    counts = counts.withColumn("weight", weight)
-    best = counts.where(room > 0).groupBy("part").agg(F.max("weight").alias("best"))
-    wish = counts.join(best, "part").where(F.col("weight") < F.col("best"))
-    return wish.select("part", "shard", "n", F.col("best.shard").alias("target"))
+    totals = counts.groupBy("part").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("places"))
+    split = counts.join(totals.where("places > 1"), "part").withColumn("n_others", F.col("total") - F.col("n"))
+    weight = F.struct("n", F.xxhash64("part", "shard").alias("tie"), F.col("shard").alias("target"), "n_others")
+    best = split.where(F.col("n_others") <= room).groupBy("part").agg(F.max(weight).alias("best"))
+    return best.select("part", "best.target", F.col("best.n_others").alias("n"))
 
 
 def _by_shard(values: dict[int, int], shard: Column) -> Column:
@@ -56,17 +56,20 @@ def propagate(linked: DataFrame, quota: dict[int, int]) -> DataFrame:
 
     ``linked`` has part (rows with equal part are neighbours), shard (where they start) and n (how many).
     Members of a part that sit in one shard move together, so the state is one row per part and start.
-    A round joins each of them with the counts of its part, proposes the fullest shard that has room, and
-    takes proposals in hash order up to the room the target shard has. Returns part, start and shard.
+    In a round every part that is split proposes the shard where most of its members are and the others
+    fit. Proposals are taken in hash order up to the room their target has. It ends when no part is split
+    or none has such a shard. Returns part, start and shard.
     """
     state = stage(linked.withColumn("start", F.col("shard")), "labels")
     for _ in range(ROUNDS):
         loads = {r.shard: r.n for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one per shard
         room = {s: max(0, quota[s] - loads.get(s, 0)) for s in range(SHARDS)}
-        wishes = _moves(state, _by_shard(room, F.col("shard")))
-        queued = _ranked(wishes, "target", [F.col("part"), F.col("shard")], F.col("n"))
+        wishes = stage(_wishes(state, _by_shard(room, F.col("shard"))), "wishes")
+        if wishes.isEmpty():
+            break
+        queued = _ranked(wishes, "target", [F.col("part")], F.col("n"))
         taken = queued.where(F.col("rank") + F.col("n") <= _by_shard(room, F.col("target")))
-        moved = state.join(taken.select("part", "shard", "target"), ["part", "shard"], "left")
+        moved = state.join(taken.select("part", "target"), "part", "left")
         state = stage(moved.select("part", "start", F.coalesce("target", "shard").alias("shard"), "n"), "labels")
     return state.select("part", "start", "shard")
 

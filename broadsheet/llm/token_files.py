@@ -91,12 +91,12 @@ def write_token_shards(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, encoder = 0, opened(tokenizer)
         for batch in batches:
-            for part in slices(batch.column(0)):
+            for part in slices(batch.column(1)):
                 total += int((-(-(encoder.counts(part, whole) + 1) // length)).sum())
         columns = [pa.array([TaskContext.get().partitionId()]), pa.array([total])]
         yield pa.RecordBatch.from_arrays(columns, ["part", "n"])
 
-    counted = {r.part: r.n for r in rows.select(text).mapInArrow(count, "part long, n long").collect()}
+    counted = {r.part: r.n for r in rows.mapInArrow(count, "part long, n long").collect()}
     first, total = {}, 0
     for part in sorted(counted):
         first[part] = total
