@@ -314,6 +314,21 @@ entered AS (
                    round(count(DISTINCT article_id) / (SELECT count(*) FROM hit_rows), 9) AS cooccurrence_rate,
                    round(avg(rel), 9) AS mean_relative_position
             FROM near GROUP BY collocate_term""",
+        "colloc_metrics_stopword_phrase": f"""WITH {ARTICLES},{_near(['attion', 'thanedble'], drop=True)}
+            SELECT collocate_term, count(*) AS frequency, count(DISTINCT page) AS page_count
+            FROM near GROUP BY collocate_term""",
+        "colloc_dropped_terms": f"""{near_word}
+            SELECT collocate_term, count(*) AS frequency FROM near GROUP BY collocate_term HAVING count(*) % 2 = 0
+            UNION ALL SELECT NULL, 0""",
+        "colloc_one_year": f"""WITH {ARTICLES},{_found('tion')}, chosen AS (
+                SELECT * FROM found WHERE date BETWEEN '1901-02-01' AND '1901-11-30'),
+            {_near(['tion'], source='chosen')}
+            SELECT collocate_term, count(*) AS frequency FROM near GROUP BY collocate_term""",
+        "metrics_preview": f"""{near_word}
+            SELECT collocate_term, count(*) AS frequency FROM near GROUP BY collocate_term
+            ORDER BY collocate_term LIMIT 30""",
+        "metrics_read_back": f"""{near_word}
+            SELECT collocate_term, count(*) AS frequency FROM near GROUP BY collocate_term""",
         "colloc_metrics_dropped": f"""{near_phrase}
             SELECT collocate_term, count(*) AS frequency FROM near
             WHERE collocate_term NOT IN ('the', 'in', 'and', 'zzz') GROUP BY collocate_term""",
@@ -339,9 +354,12 @@ entered AS (
             SELECT article_id, lccn, date, Title, City, State, Long, Lat FROM hit_rows
             WHERE day IS NULL OR day BETWEEN DATE '{START}' AND DATE '{END}'""",
         "occurrence_features": f"""WITH {PLACED},{_near(['of', 'the'], source='placed')}
-            SELECT article_id, date, page, Title, State, CASE WHEN Lat IS NOT NULL THEN Long END AS Long,
+            SELECT article_id, date, page, Title, State, article, url, CASE WHEN Lat IS NOT NULL THEN Long END AS Long,
                    CASE WHEN Long IS NOT NULL THEN Lat END AS Lat
             FROM hit_rows WHERE date <= '{END}' AND lower(City) = 'nation_8'""",
+        "occurrence_features_untouched": """SELECT concat('{"type":"Feature","id":', doc_id,
+                ',"geometry":{"type":"LineString","coordinates":[[1,2],[3,4.50]]},"properties":{"City":"Rome","list":[1,{"a":2}],"n":',
+                doc_id, '.0,"article":"some of the few"}}') AS line FROM documents WHERE doc_id % 3 = 0""",
         "collocation_tables": f"""WITH RECURSIVE {PLACED}, chosen AS (
                 SELECT * FROM placed WHERE date BETWEEN '{START}' AND '{END}' AND lower(City) = 'nation_8'),
             {_near(['of', 'the'], source='chosen')},
@@ -459,8 +477,15 @@ entered AS (
         "attribute_table_minimal": f"""{points} SELECT printf('%.6f', lat) AS Latitude,
                 printf('%.6f', lon) AS Longitude, date, Title, City, State, coalesce(lccn, '') AS lccn, page, url
             FROM points ORDER BY day NULLS FIRST, article_id LIMIT 300""",
-        "attribute_table_open": f"""{points} SELECT printf('%.6f', lat) AS Latitude,
-                printf('%.6f', lon) AS Longitude, State, Title, article_id, page FROM points""",
+        "attribute_table_open": f"""{points}, listed AS (
+                SELECT article_id, lat, lon, unnest(['article_id', 'Title', 'page', 'State', 'Page']) AS property,
+                       unnest([article_id, Title, page, State, date]) AS value FROM points)
+            SELECT article_id, printf('%.6f', lat) AS Latitude, printf('%.6f', lon) AS Longitude, property, value
+            FROM listed WHERE value IS NOT NULL""",
+        "attribute_table_mixed_case": f"""{points} SELECT printf('%.6f', lat) AS Latitude,
+                printf('%.6f', lon) AS Longitude, article_id, page, date AS Page_, Title AS headline FROM points""",
+        "attribute_table_lightweight": f"""{points} SELECT printf('%.6f', lat) AS Latitude,
+                printf('%.6f', lon) AS Longitude, date, Title, '' AS headline, City, State, page, url FROM points""",
         "stream_search": f"{found} SELECT article_id, date, page, url, year FROM found",
         "stream_search_cap": f"""{found}
             SELECT year, least(count(*), {CAP}) AS kept FROM found GROUP BY year""",

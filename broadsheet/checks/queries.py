@@ -71,17 +71,17 @@ def _placed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def search_keyword(spark, sf):
-    return search.search(views.articles(spark, sf, heavy=False), WORD, START, END)
+    return search.search(views.articles(spark, sf), WORD, START, END)
 
 
 @query
 def search_symbol(spark, sf):
-    return search.search(views.articles(spark, sf, heavy=False), "%", START, END).select("article_id", "date")
+    return search.search(views.articles(spark, sf), "%", START, END).select("article_id", "date")
 
 
 @query
 def search_clean(spark, sf):
-    broken = views.articles(spark, sf, heavy=False).withColumns(
+    broken = views.articles(spark, sf).withColumns(
         {
             "article": F.replace("article", F.lit(", "), F.lit("- \n")),
             "url": F.concat(F.upper("url"), F.lit("?size=.jp2x")),
@@ -96,20 +96,20 @@ def search_clean(spark, sf):
 @query
 def search_titles(spark, sf):
     found = search.search(
-        views.articles(spark, sf, heavy=False), WORD, START, END, titles=views.titles(spark, sf)
+        views.articles(spark, sf), WORD, START, END, titles=views.titles(spark, sf)
     )
     return found.select("article_id", "lccn", "newspaper_name")
 
 
 @query
 def search_cap_per_year(spark, sf):
-    found = search.search(views.articles(spark, sf, heavy=False), WORD, START, END, cap=CAP)
+    found = search.search(views.articles(spark, sf), WORD, START, END, cap=CAP)
     return found.select("article_id", "date", "year")
 
 
 @query
 def search_counts_by_year(spark, sf):
-    found = search.search(views.articles(spark, sf, heavy=False), WORD, "1899-01-01", "1903-12-31")
+    found = search.search(views.articles(spark, sf), WORD, "1899-01-01", "1903-12-31")
     return search.counts_by_year(found, "1899-01-01", "1903-12-31")
 
 
@@ -117,7 +117,7 @@ def search_counts_by_year(spark, sf):
 def corpus_years_read(spark, sf):
     """Yearly folders, then a read of two years: files of the third are never opened."""
     path = scratch_path(spark, "corpus")
-    rows = views.articles(spark, sf, heavy=False).drop("newspaper_name")
+    rows = views.articles(spark, sf).drop("newspaper_name")
     rows.withColumn("year", F.substring("date", 1, 4).cast("int")).write.partitionBy("year").parquet(path)
     corpus = read_corpus(spark, path, 1902, 1901)
     per_year = corpus.groupBy("year").agg(
@@ -136,7 +136,7 @@ def corpus_year_ranges(spark, sf):
 def run_metadata_(spark, sf):
     """One search run per newspaper, year and page; some carry their facts, some only a name."""
     runs = (
-        views.articles(spark, sf, heavy=False)
+        views.articles(spark, sf)
         .groupBy("lccn", "page", F.substring("date", 1, 4).alias("y"))
         .agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     )
@@ -162,7 +162,7 @@ def run_metadata_(spark, sf):
 def payload_roundtrip(spark, sf):
     path = scratch_path(spark, "results")
     found = search.search(
-        views.articles(spark, sf, heavy=False), WORD, START, END, titles=views.titles(spark, sf)
+        views.articles(spark, sf), WORD, START, END, titles=views.titles(spark, sf)
     )
     write_results(search.in_date_order(found), path)
     return read_results(spark, path).select(
@@ -173,7 +173,7 @@ def payload_roundtrip(spark, sf):
 @query
 def payload_manifest(spark, sf):
     path = scratch_path(spark, "runs")
-    found = search.search(views.articles(spark, sf, heavy=False), WORD, "1899-01-01", "1903-12-31")
+    found = search.search(views.articles(spark, sf), WORD, "1899-01-01", "1903-12-31")
     write_manifest(yearly_manifest(found, WORD, "1899-01-01", "1903-12-31"), path)
     return spark.read.schema(RUNS).json(path).drop("run_id")
 
@@ -273,7 +273,23 @@ def occurrence_features(spark, sf):
     )
     write_raw_features(found, kept)
     rows = feature_rows(read_features(spark, kept))
-    return rows.select("article_id", "date", "page", "Title", "State", "Long", "Lat")
+    return rows.select("article_id", "date", "page", "Title", "State", "article", "url", "Long", "Lat")
+
+
+@query
+def occurrence_features_untouched(spark, sf):
+    """Numbers, lists, ids and lines in features come out of the filter as the lines they were."""
+    path, kept = scratch_path(spark, "lines"), scratch_path(spark, "kept")
+    number = F.col("doc_id").cast("string")
+    line = F.concat(
+        F.lit('{"type":"Feature","id":'), number, F.lit(',"geometry":{"type":"LineString","coordinates":[[1,2],[3,4.50]]},'),
+        F.lit('"properties":{"City":"Rome","list":[1,{"a":2}],"n":'), number, F.lit('.0,"article":"'),
+        F.when(F.col("doc_id") % 3 == 0, "some of the few").otherwise("some of a few"), F.lit('"}}'),
+    )
+    views.table(spark, sf, "documents").select(line.alias("value")).write.text(path)
+    found = collocation.occurrences(read_features(spark, path), PHRASE, city="rome", properties="properties")
+    write_raw_features(found, kept)
+    return spark.read.text(kept).withColumnRenamed("value", "line")
 
 
 @query
@@ -408,7 +424,7 @@ def coordinates_updated(spark, sf):
 def features_roundtrip(spark, sf):
     path = scratch_path(spark, "features")
     write_features(_placed(spark, sf), path)
-    return points(feature_rows(read_features(spark, path)).drop("properties")).withColumn(
+    return points(feature_rows(read_features(spark, path)).drop("properties", "raw")).withColumn(
         "day", F.date_format("day", "yyyy-MM-dd")
     )
 
@@ -487,14 +503,14 @@ def heat_static(spark, sf):
 @query
 def heat_frames(spark, sf):
     pts = _slim(spark, sf)
-    return mapping.heat_frames(pts, _counted(pts), linger_unit="week", linger=6)
+    return mapping.heat_frames(pts, _counted(pts), linger_unit="week", linger=6, per_point=True)
 
 
 @query
 def heat_frames_places(spark, sf):
     pts = _slim(spark, sf)
     return mapping.heat_frames(
-        pts, _counted(pts), unit="week", size=2, multiplier=0.5, per_point=False
+        pts, _counted(pts), unit="week", size=2, multiplier=0.5
     )
 
 
@@ -533,14 +549,65 @@ def attribute_table_minimal(spark, sf):
 
 @query
 def attribute_table_open(spark, sf):
-    """Columns found in the data: the union of all property names."""
-    named = {c: F.col(c) for c in ("article_id", "Title", "page", "State")}
+    """Properties whose names are not known beforehand, some of which differ by capitalisation only."""
+    named = {c: F.col(c) for c in ("article_id", "Title", "page", "State")} | {"Page": F.col("date")}
     pairs = [x for k, c in named.items() for x in (F.lit(k), c)]
     every = F.create_map(*pairs)
     open_rows = _points(spark, sf).select(
-        "lat", "lon", "day", F.map_filter(every, lambda k, v: v.isNotNull()).alias("properties")
+        "article_id", "lat", "lon", F.map_filter(every, lambda k, v: v.isNotNull()).alias("properties")
     )
-    return mapping.attribute_table(open_rows, "full")
+    return mapping.property_rows(open_rows, "article_id")
+
+
+@query
+def attribute_table_mixed_case(spark, sf):
+    """Listed properties by their exact names; the second of a pair gets another column name."""
+    every = F.create_map(F.lit("page"), F.col("page"), F.lit("Page"), F.col("date"), F.lit("Headline"), F.col("Title"))
+    rows = _points(spark, sf).select("article_id", "lat", "lon", every.alias("properties"))
+    return mapping.attribute_table(rows, properties=("article_id", "page", "Page", "headline"))
+
+
+@query
+def attribute_table_lightweight(spark, sf):
+    """Fewer columns, all rows."""
+    return mapping.attribute_table(_points(spark, sf), lightweight=True)
+
+
+@query
+def colloc_metrics_stopword_phrase(spark, sf):
+    """Stopwords may stand between the two tokens that are left of the phrase."""
+    options = Options(page_count=True, drop_stopwords=True)
+    return collocation.collocate_metrics(_dated(spark, sf), "attion the thanedble", options)
+
+
+@query
+def colloc_dropped_terms(spark, sf):
+    """Dropped terms from a table; a null term stays."""
+    metrics = collocation.collocate_metrics(_dated(spark, sf), WORD)
+    metrics = metrics.union(spark.range(1).select(F.lit(None).cast("string"), F.lit(0).cast("long")))
+    return collocation.drop_collocates(metrics, metrics.where("frequency % 2 = 1").select("collocate_term"))
+
+
+@query
+def colloc_one_year(spark, sf):
+    """Results written by year, collocated over a range of one year: other folders are not read."""
+    path = scratch_path(spark, "by-year")
+    write_results(search.search(views.articles(spark, sf), WORD, START, END), path)
+    articles = collocation.filter_articles(read_results(spark, path), start="1901-02-01", end="1901-11-30")
+    return collocation.collocate_metrics(articles, WORD)
+
+
+@query
+def metrics_preview(spark, sf):
+    return ranks.preview(collocation.collocate_metrics(_dated(spark, sf), WORD), 30, ["collocate_term"])
+
+
+@query
+def metrics_read_back(spark, sf):
+    """A table as the engine writes it, read again from its folder."""
+    path = scratch_path(spark, "metrics")
+    write_table(collocation.collocate_metrics(_dated(spark, sf), WORD), path)
+    return read_table(spark, path, "collocate_term string, frequency long")
 
 
 # --- streaming ----------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from broadsheet.functions.text import strip
 
 # A date is year, month and day with one separator (-, /, . or none) throughout, with
-# or without a time after a "T"; anything else must be a full ISO date.
+# or without anything after a "T", or a full ISO date with a time of day after a blank.
 DATE_SPELLING = r"^(\d{4})([-/.]?)(\d{1,2})\2(\d{1,2})(T.*)?$"
+ISO_WITH_TIME = r"^(\d{4})-(\d{2})-(\d{2}) ([01]\d|2[0-3])(:[0-5]\d(:[0-5]\d([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?$"
 UNITS = ("day", "week", "month", "year")
 
 
@@ -23,9 +25,9 @@ def day_text(raw: Column) -> Column:
 
 def parse_date(raw: Column) -> Column:
     """Date from any accepted spelling; anything else is null."""
-    iso = F.regexp_replace(strip(raw.cast("string")), DATE_SPELLING, "$1-$3-$4")
-    # Shorter text is a year or a month, which a cast would take for its first day.
-    return F.when(F.length(iso) >= 8, iso.try_cast("date"))
+    text = strip(raw.cast("string"))
+    iso = F.regexp_replace(F.regexp_replace(text, DATE_SPELLING, "$1-$3-$4"), ISO_WITH_TIME, "$1-$2-$3")
+    return F.when(iso.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), iso.try_cast("date"))
 
 
 def format_date(raw: Column) -> Column:
@@ -92,10 +94,8 @@ def bin_edges(start: dt.date, end: dt.date, unit: str, size: int) -> list[dt.dat
 
 def parse_bin(text: str) -> tuple[int, str]:
     """``"2 weeks"`` as (2, "week"); text of any other form means one month."""
-    parts = (text or "").split()
-    if len(parts) == 2 and parts[0].isdigit():
-        return int(parts[0]), unit_name(parts[1])
-    return 1, "month"
+    form = re.fullmatch(r"\s*(?P<size>[0-9]+)\s+(?P<unit>\S+)\s*", text or "")
+    return (int(form["size"]), unit_name(form["unit"])) if form else (1, "month")
 
 
 def frame_times(first: dt.date, last: dt.date, unit: str, size: int) -> list[dt.date]:

@@ -18,29 +18,35 @@ def rank_by_frequency(
 
     A window over a whole group would sort that group in one task, and a vocabulary of scanned
     text has no useful bound. The order is cut into buckets of equal frequency and equal first
-    ``lead`` characters instead. Only the bucket sizes are summed per group; each bucket is
-    numbered by itself and shifted by the number of rows in the buckets before it.
+    ``lead`` characters, each numbered by itself and shifted by the rows ahead of it. Those are
+    counted in three steps, none of which sees more than one class of a group: buckets of the same
+    frequency, other frequencies of as many binary digits, and frequencies of more digits.
     """
-    bucket = [*group, frequency, "_lead"]
+    of_class, of_frequency = [*group, "_class"], [*group, "_class", frequency]
+    bucket = [*of_frequency, "_lead"]
     keyed = counts.withColumn("_lead", F.substring(term, 1, lead))
+    keyed = keyed.withColumn("_class", F.length(F.bin(F.col(frequency).cast("long"))))
+    before = (Window.unboundedPreceding, -1)
+    sizes = keyed.groupBy(*bucket).agg(F.count("*").alias("_size"))
+    in_frequency = Window.partitionBy(*of_frequency).orderBy("_lead").rowsBetween(*before)
+    leads = sizes.select(*bucket, F.coalesce(F.sum("_size").over(in_frequency), F.lit(0)).alias("_a"))
+    totals = sizes.groupBy(*of_frequency).agg(F.sum("_size").alias("_n"))
+    in_class = Window.partitionBy(*of_class).orderBy(F.desc(frequency)).rowsBetween(*before)
+    frequencies = totals.select(*of_frequency, F.coalesce(F.sum("_n").over(in_class), F.lit(0)).alias("_b"))
+    # At most 64 classes: each adds its rows to every class below it.
+    classes = totals.groupBy(*of_class).agg(F.sum("_n").alias("_n"))
+    lower = F.explode(F.sequence(F.lit(0), F.col("_class") - 1)).alias("_class")
+    classes = classes.select(*group, lower, "_n").groupBy(*of_class).agg(F.sum("_n").alias("_c"))
+    shifts = leads.join(frequencies, of_frequency).join(classes, of_class, "left")
+    shifts = shifts.select(*bucket, (F.col("_a") + F.col("_b") + F.coalesce("_c", F.lit(0))).alias("_shift"))
     inside = Window.partitionBy(*bucket).orderBy(term)
-    ahead = (
-        Window.partitionBy(*(group or [F.lit(0)]))
-        .orderBy(F.desc(frequency), "_lead")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    shifts = (
-        keyed.groupBy(*bucket)
-        .agg(F.count("*").alias("_size"))
-        .select(*bucket, F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_shift"))
-    )
     return (
         keyed.withColumn("_place", F.row_number().over(inside))
         # A left join, as an inner one would filter this side for nulls and so stop Spark from
         # sharing the shuffled counts between the two sides.
         .join(shifts, bucket, "left")
         .withColumn(out, (F.col("_place") + F.col("_shift")).cast("long"))
-        .drop("_lead", "_place", "_shift")
+        .drop("_lead", "_class", "_place", "_shift")
     )
 
 

@@ -72,9 +72,11 @@ def escape_markup(text: Column) -> Column:
     return text
 
 
-def first_line(text: Column, limit: int = 75) -> Column:
+def first_line(text: Column, limit: int | None = 75) -> Column:
     """First line, trimmed; longer lines are cut to ``limit - 1`` characters and an ellipsis."""
     line = strip(F.split(F.coalesce(text, F.lit("")), LINE_END, 2)[0])
+    if limit is None:
+        return line
     return let(
         line,
         lambda s: F.when(F.length(s) <= limit, s).otherwise(
@@ -83,9 +85,11 @@ def first_line(text: Column, limit: int = 75) -> Column:
     )
 
 
-def plain_excerpt(text: Column, limit: int = 420) -> Column:
+def plain_excerpt(text: Column, limit: int | None = 420) -> Column:
     """Whitespace-collapsed text, cut to ``limit`` characters and an ellipsis."""
     flat = strip(collapse_space(F.coalesce(text, F.lit(""))))
+    if limit is None:
+        return flat
     return let(
         flat,
         lambda s: F.when(F.length(s) <= limit, s).otherwise(
@@ -145,7 +149,7 @@ def keyword_context(
     return let(found, lambda s: mark_term(s, word)) if highlight else found
 
 
-def marked_excerpt(text: Column, term: str, limit: int = 1200) -> Column:
+def marked_excerpt(text: Column, term: str, limit: int | None = 1200) -> Column:
     return let(plain_excerpt(text, limit), lambda s: mark_term(s, term or ""))
 
 

@@ -30,8 +30,6 @@ STOPWORDS = tuple(
     """.split()
 )
 
-MAX_STATIC_WORDS = 10_000
-
 
 def phrase_tokens(term: str, stopwords: Iterable[str] = ()) -> list[str]:
     """Tokens of a search phrase (driver side; a phrase is a handful of words)."""
@@ -65,7 +63,9 @@ def phrase_pattern(phrase: Sequence[str], stopwords: Sequence[str] = ()) -> str:
     gap = NON_TOKEN + "++"
     if stopwords:
         words = "|".join(re.escape(w) for w in sorted(stopwords, key=lambda w: (-len(w), w)))
-        gap += f"(?:(?:{words}){gap})*"
+        # Possessive: a plain repetition recurses once per stopword and overflows the stack on long runs.
+        # It matches the same, as tokens of the phrase are never stopwords.
+        gap += f"(?:(?:{words}){gap})*+"
     return f"(?i)(?<!{TOKEN[:-1]})" + gap.join(re.escape(p) for p in phrase) + f"(?!{TOKEN[:-1]})"
 
 

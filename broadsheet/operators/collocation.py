@@ -13,13 +13,10 @@ from pyspark.sql.types import DateType
 from broadsheet.functions.dates import as_day, parse_date
 from broadsheet.functions.text import SPACE_CHARS
 from broadsheet.functions.tokens import (
-    MAX_STATIC_WORDS,
     STOPWORDS,
     has_phrase,
     is_number,
-    may_have_phrase,
     neighbours,
-    phrase_pattern,
     phrase_tokens,
     tokens,
 )
@@ -47,6 +44,19 @@ ALL_METRICS = Options(
 )
 
 
+def _in_years(rows: DataFrame, start: str | None, end: str | None, undated: bool = False) -> Column:
+    """Test of the ``year`` column, if there is one, against a date range."""
+    keep = F.lit(True)
+    if "year" not in rows.columns:
+        return keep
+    year = F.col("year")
+    if start:
+        keep = keep & (year >= as_day(start).year)
+    if end:
+        keep = keep & (year <= as_day(end).year)
+    return keep | year.isNull() if undated and (start or end) else keep
+
+
 def _same_text(column: Column, wanted: str) -> Column:
     return F.lower(column) == F.lower(F.lit(wanted))
 
@@ -61,9 +71,11 @@ def filter_articles(
 ) -> DataFrame:
     """Dated articles with text, inside the inclusive range and the place.
 
-    ``date`` becomes a date; rows whose date cannot be read are dropped.
+    ``date`` becomes a date; rows whose date cannot be read are dropped. A column ``year``, as results
+    written by year have, is taken as the year of the date: it lets whole folders be skipped, which a
+    parsed date cannot.
     """
-    keep = F.lit(True)
+    keep = _in_years(articles, start, end)
     if start:
         keep = keep & (F.col("date") >= F.lit(as_day(start)))
     if end:
@@ -120,11 +132,8 @@ def context_terms(
     if mark_articles:
         kind = "struct<term:string,rel:int>" if options.relative_position else "string"
         near = F.concat(near, F.array(F.lit(None).cast(kind)))
-    # Only the cheap test is a filter, which may move below a shuffle; the exact one stays here.
-    hit = F.when(text.rlike(phrase_pattern(phrase, options.dropped)), near)
-    exploded = articles.where(may_have_phrase(text, phrase)).select(
-        *carry, F.explode(hit).alias("n")
-    )
+    found = articles.where(has_phrase(text, phrase, options.dropped))
+    exploded = found.select(*carry, F.explode(near).alias("n"))
     if options.relative_position:
         exploded = exploded.select(*carry, F.col("n.term").alias("collocate_term"), "n.rel")
     else:
@@ -219,19 +228,17 @@ def by_frequency(metrics: DataFrame) -> DataFrame:
 def drop_collocates(table: DataFrame, terms: Sequence[str] | DataFrame) -> DataFrame:
     """Remove listed collocates after counting and ranking; remaining ranks keep their gaps.
 
-    A short list becomes a filter; a DataFrame (column ``collocate_term``) or a list of more
-    than ten thousand terms becomes an anti-join.
+    ``terms`` is a list or a DataFrame with a column ``collocate_term``; either way it is an
+    anti-join, which keeps a null term, and Spark sees its size.
     """
     if not isinstance(terms, DataFrame):
         listed = sorted({str(t).strip(SPACE_CHARS) for t in terms} - {""})
         if not listed:
             return table
-        if len(listed) <= MAX_STATIC_WORDS:
-            return table.where(~F.col("collocate_term").isin(listed))
         terms = local_table(
             table.sparkSession, [(t,) for t in listed], collocate_term=pa.string()
         )
-    return table.join(terms.select("collocate_term"), "collocate_term", "left_anti")
+    return table.join(terms.select("collocate_term"), "collocate_term", "left_anti").select(table.columns)
 
 
 def occurrences(
@@ -253,6 +260,8 @@ def occurrences(
         return F.col(properties)[name] if properties else F.col(name)
 
     keep = has_phrase(field("article"), phrase_tokens(term))
+    if not properties:
+        keep = _in_years(located, start, end, undated=True) & keep
     day = parse_date(field("date"))
     if start:
         keep = keep & F.coalesce(day >= F.lit(as_day(start)), F.lit(True))

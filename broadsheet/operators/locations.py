@@ -55,7 +55,8 @@ def locate_articles(
         has_id = F.max(F.col("lccn").isNotNull())
         has_name = F.max(F.col("newspaper_name").isNotNull())
         if run is None:
-            by_id, by_name = scalar(articles, has_id), scalar(articles, has_name)
+            flags = scalar(articles, F.struct(has_id.alias("id"), has_name.alias("name")))
+            by_id, by_name = flags["id"], flags["name"]
         else:
             # Staged, one row per run: Spark then knows its size before it plans the join, and
             # does not shuffle article text by run where the runs fit a broadcast.
@@ -105,11 +106,14 @@ def apply_coordinates(
 ) -> DataFrame:
     """Overwrite coordinates by those fetched, also with null where the lookup found nothing.
 
-    ``keep_existing`` keeps the old coordinates in that case.
+    ``keep_existing`` keeps the old coordinates in that case. Of several rows fetched for one id the last
+    by ``fetched_at`` counts; without that column, the greatest pair of coordinates.
     """
-    found = fetched.select(
-        F.col("SN").alias("_sn"), F.col("Lat").alias("_lat"), F.col("Long").alias("_long")
-    )
+    place = F.struct(F.col("Lat").alias("lat"), F.col("Long").alias("long"))
+    latest = [F.col("fetched_at")] if "fetched_at" in fetched.columns else []
+    last = F.max_by(place, F.struct(*latest, place.alias("place")))
+    one = fetched.where(F.col("SN").isNotNull()).groupBy(F.col("SN").alias("_sn")).agg(last.alias("_place"))
+    found = one.select("_sn", F.col("_place.lat").alias("_lat"), F.col("_place.long").alias("_long"))
     hit = F.col("_sn").isNotNull()
     if keep_existing:
         hit = hit & F.col("_lat").isNotNull() & F.col("_long").isNotNull()

@@ -30,7 +30,7 @@ from broadsheet.functions.text import (
     term_count,
     word_count,
 )
-from broadsheet.operators.timebins import MAX_CALENDAR_DAYS, date_bounds, day_spans
+from broadsheet.operators.timebins import date_bounds, day_spans
 from broadsheet.runtime import local_table, scalar
 from broadsheet.schemas import ensure_columns
 
@@ -42,13 +42,12 @@ METRICS = {
     "key_term_frequency": ("word_count", "Term Frequency", "Term Frequency / Total Words"),
 }
 DENOMINATORS = ("word_count", "article_count", "page_count")
-# Columns of the attribute table by mode, and the lightweight row cap.
+# Columns of the attribute table by mode.
 TABLE_COLUMNS = {
     "article": ("date", "Title", "article", "url"),
     "minimal": ("date", "Title", "City", "State", "lccn", "page", "url"),
     "lightweight": ("date", "Title", "headline", "City", "State", "page", "url"),
 }
-LIGHTWEIGHT_ROWS = 1000
 
 
 def _place_key() -> list[Column]:
@@ -237,9 +236,6 @@ def frame_spans(
         spans = spans.withColumn("last_frame", F.col("first_frame"))
     shown = spans.where(F.col("last_frame") >= F.col("first_frame"))
     shown = shown.select("day", "first_frame", "last_frame")
-    # Neither table has more rows than there are days between the first and the last date.
-    if not times or (last - first).days <= MAX_CALENDAR_DAYS:
-        frames, shown = F.broadcast(frames), F.broadcast(shown)
     return frames, shown
 
 
@@ -252,12 +248,12 @@ def heat_frames(
     linger_unit: str = "week",
     linger: int = 0,
     multiplier: float | None = None,
-    per_point: bool = True,
+    per_point: bool = False,
 ) -> DataFrame:
     """Heat layer over time: ``frame_no, frame_time, lat, lon, weight``.
 
-    ``per_point=False`` adds up equal places per frame, with ``points``; dense corpora then cost
-    one row per place, day and frame. Undated points are in no frame.
+    Equal places are added up per frame, with ``points``, so the layer has one row per place and
+    frame. ``per_point`` repeats every point for each frame it is shown in. Undated points are in no frame.
     """
     frames, spans = frame_spans(
         points, unit=unit, size=size, linger_unit=linger_unit, linger=linger
@@ -334,10 +330,16 @@ def feature_label(date: Column, newspaper: Column, place: Column, headline: Colu
 
 
 def map_entries(
-    points: DataFrame, term: str | None = None, *, details: bool = False
+    points: DataFrame,
+    term: str | None = None,
+    *,
+    details: bool = False,
+    line_length: int | None = 160,
+    details_length: int | None = 1200,
 ) -> DataFrame:
     """Popup rows, one per point, keyed by group: excerpt, keyword context, link and labels.
 
+    First lines and details are excerpts of so many characters; None shows them whole.
     All expressions read their own row, so no group is ever collected.
     """
     points = ensure_columns(
@@ -352,7 +354,7 @@ def map_entries(
         group_id(lat, lon).alias("group_id"),
         F.col("article_id"),
         feature_label(date, newspaper, place, headline).alias("label"),
-        escape_markup(first_line(F.col("article"), 160)).alias("first_line"),
+        escape_markup(first_line(F.col("article"), line_length)).alias("first_line"),
         keyword_context(F.col("article"), term or "").alias("context"),
         escape_markup(F.replace(_trimmed("url"), F.lit(".jp2"), F.lit(".pdf"))).alias("pdf_url"),
         escape_markup(date).alias("date"),
@@ -361,7 +363,7 @@ def map_entries(
         escape_markup(_trimmed("page")).alias("page"),
     ]
     if details:
-        columns.append(marked_excerpt(F.col("article"), term or "").alias("details"))
+        columns.append(marked_excerpt(F.col("article"), term or "", details_length).alias("details"))
     return points.select(*columns)
 
 
@@ -427,17 +429,30 @@ def map_summary(
     )
 
 
-def row_cap(limit: int | None, lightweight: bool) -> int | None:
-    """Rows of an attribute table: the smaller of the asked limit and the lightweight cap."""
-    caps = [c for c in (limit if limit and limit > 0 else None,
-                        LIGHTWEIGHT_ROWS if lightweight else None) if c]
-    return min(caps) if caps else None
+def property_rows(points: DataFrame, *keys: str) -> DataFrame:
+    """Every property of every point in long form: ``keys``, coordinates as text, property, value.
+
+    Names are data here, so any number of them, in any capitalisation, costs no column and never
+    reaches the driver.
+    """
+    return points.select(
+        *keys,
+        format_coordinate(F.col("lat")).alias("Latitude"),
+        format_coordinate(F.col("lon")).alias("Longitude"),
+        F.explode("properties").alias("property", "value"),
+    )
 
 
-def property_names(points: DataFrame) -> list[str]:
-    """All property names in use, sorted: a distinct over map keys, names only to the driver."""
-    names = points.select(F.explode(F.map_keys("properties")).alias("name")).distinct()
-    return [r.name for r in names.orderBy("name").collect()]
+def _safe_names(names: Sequence[str]) -> list[str]:
+    """Column names that differ by more than capitalisation, as tables in files need them."""
+    taken, out = {"latitude", "longitude"}, []
+    for name in names:
+        free = name
+        while free.lower() in taken:
+            free += "_"
+        taken.add(free.lower())
+        out.append(free)
+    return out
 
 
 def attribute_table(
@@ -448,11 +463,14 @@ def attribute_table(
     lightweight: bool = False,
     properties: Sequence[str] | None = None,
     order: Sequence[str] = ("day", "article_id"),
+    article_length: int | None = 420,
 ) -> DataFrame:
     """Table of the points: coordinates as text, then the columns of the mode.
 
-    ``full`` shows every property: those of the ``properties`` map if there is one, else all
-    columns, unless ``properties`` lists them. Article text is cut to 420 characters. The optional
+    ``full`` shows the listed ``properties``, by their exact names, else all columns of the points;
+    ``property_rows`` gives a ``properties`` map whose names are not known. ``lightweight`` chooses fewer
+    columns, never fewer rows. Of names that differ by capitalisation only, later ones get a trailing
+    underscore. Article text is cut to ``article_length`` characters, None keeps it whole. The optional
     row limit takes the first rows in ``order``.
     """
     mode = (mode or "full").strip().lower()
@@ -462,24 +480,24 @@ def attribute_table(
         columns = TABLE_COLUMNS["lightweight"]
     elif properties:
         columns = tuple(properties)
-    elif "properties" in points.columns:
-        columns = tuple(property_names(points))
     else:
-        columns = tuple(c for c in points.columns if c not in ("lat", "lon", "day"))
+        columns = tuple(c for c in points.columns if c not in ("lat", "lon", "day", "properties"))
 
-    def cell(name: str) -> Column:
+    def cell(name: str, shown: str) -> Column:
         if name in points.columns:
             value = F.col(name).cast("string")
         elif "properties" in points.columns:
-            value = F.coalesce(F.col("properties")[name], F.col("properties")[name.title()])
+            value = F.col("properties")[name]
         else:
             value = F.lit(None).cast("string")
-        return (plain_excerpt(value) if name == "article" else F.coalesce(value, F.lit(""))).alias(name)
+        if name == "headline" and "properties" in points.columns:
+            value = F.coalesce(value, F.col("properties")["Headline"])  # written either way
+        text = plain_excerpt(value, article_length) if name == "article" else F.coalesce(value, F.lit(""))
+        return text.alias(shown)
 
-    cap = row_cap(limit, lightweight)
-    rows = points.orderBy(*order).limit(cap) if cap else points
+    rows = points.orderBy(*order).limit(limit) if limit and limit > 0 else points
     return rows.select(
         format_coordinate(F.col("lat")).alias("Latitude"),
         format_coordinate(F.col("lon")).alias("Longitude"),
-        *[cell(c) for c in columns],
+        *[cell(c, shown) for c, shown in zip(columns, _safe_names(columns))],
     )

@@ -21,8 +21,9 @@ def top_collocates(metrics: DataFrame, n: int = 20) -> DataFrame:
     return metrics.orderBy(F.desc("frequency"), "collocate_term").limit(n)
 
 
-def preview(df: DataFrame, n: int = 100) -> DataFrame:
-    return df.limit(n)
+def preview(df: DataFrame, n: int = 100, order: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows in ``order``, by default by all columns from the left."""
+    return df.orderBy(*(order or df.columns)).limit(n)
 
 
 def bins_in_order(by_time: DataFrame) -> DataFrame:
@@ -98,20 +99,31 @@ def ranked_metrics(metrics: DataFrame) -> DataFrame:
 
 
 def drop_candidates(metrics: DataFrame, selected: Sequence[str], top: int = 150) -> DataFrame:
-    """Terms offered for dropping: the first ``top``, and every selected term.
+    """Terms offered for dropping: the first ``top``, and every selected term, with their ranks.
 
-    Selected terms that do not occur appear with null rank and frequency.
+    Selected terms that do not occur appear with null rank and frequency. The vocabulary is never
+    ranked as a whole: the first terms are a limit, and for the selected ones the terms ahead of them
+    are counted in one aggregate.
     """
-    picked = local_table(
-        metrics.sparkSession, [(t,) for t in sorted(set(selected))], _picked=pa.string()
+    terms = metrics.where(F.col("collocate_term").isNotNull()).select("collocate_term", "frequency")
+    place = F.struct((-F.col("frequency")).alias("less"), F.col("collocate_term").alias("term"))
+    first = terms.orderBy(F.desc("frequency"), "collocate_term").limit(top)
+    numbered = first.agg(F.array_sort(F.collect_list(place)).alias("places")).select(F.posexplode("places").alias("at", "p"))
+    chosen = terms.where(F.col("collocate_term").isin(list(selected)))
+    wanted = terms.withColumn("_chosen", scalar(chosen, F.collect_list(place))).select(
+        place.alias("own"), F.explode(F.filter("_chosen", lambda c: c >= place)).alias("p")
     )
-    ranked = ranked_metrics(metrics.where(F.col("collocate_term").isNotNull())).select(
-        "collocate_term", "frequency", "rank"
+    counted = wanted.groupBy("p").agg((F.count("*") - 1).cast("int").alias("at"))  # a term is not ahead of itself
+    ranked = numbered.select("p", "at").union(counted.select("p", "at")).distinct()
+    ranked = ranked.select(
+        F.col("p.term").alias("collocate_term"),
+        (-F.col("p.less")).alias("frequency"),
+        (F.col("at") + 1).cast("long").alias("rank"),
     )
-    shown = ranked.where(
-        (F.col("rank") <= top) | F.col("collocate_term").isin(list(selected))
+    picked = local_table(
+        metrics.sparkSession, [(t,) for t in sorted(set(selected))], _picked=pa.string()
     )
-    return shown.join(picked, F.col("collocate_term") == F.col("_picked"), "full_outer").select(
+    return ranked.join(picked, F.col("collocate_term") == F.col("_picked"), "full_outer").select(
         F.coalesce("collocate_term", "_picked").alias("collocate_term"),
         "frequency",
         "rank",

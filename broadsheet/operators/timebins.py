@@ -13,23 +13,17 @@ from broadsheet.functions.ranking import rank_by_frequency
 from broadsheet.operators.collocation import Options, context_terms
 from broadsheet.runtime import local_table
 
-# The broadcast calendar has one row per day; this bound keeps it below some tens of megabytes.
-MAX_CALENDAR_DAYS = 400_000
-
 
 def day_spans(spark: SparkSession, spans: list[tuple], **types: pa.DataType) -> DataFrame:
     """Calendar rows ``day, ...`` for spans ``(first_day, last_day, ...)``.
 
     A range condition between dates and bins thus becomes an equality on the day, which Spark can
-    hash-join; the table grows with the calendar, never with the articles.
+    hash-join; the table grows with the calendar, never with the articles. Its rows are made on the
+    driver, one per day, so that Spark knows its size and broadcasts it or not by its own bound.
     """
-    days = sum((b - a).days + 1 for a, b, *_ in spans)
-    calendar = (
-        local_table(spark, spans, _first=pa.date32(), _last=pa.date32(), **types)
-        .withColumn("day", F.explode(F.sequence("_first", "_last")))
-        .drop("_first", "_last")
-    )
-    return F.broadcast(calendar) if days <= MAX_CALENDAR_DAYS else calendar
+    one = dt.timedelta(days=1)
+    rows = [(lo + i * one, *rest) for lo, hi, *rest in spans for i in range((hi - lo).days + 1)]
+    return local_table(spark, rows, day=pa.date32(), **types)
 
 
 def bin_calendar(spark: SparkSession, edges: list[dt.date]) -> DataFrame:

@@ -14,7 +14,7 @@ from broadsheet.operators.collocation import Options
 from broadsheet.operators.timebins import collocates_by_time
 from broadsheet.plans.naming import collocation_paths, search_path
 from broadsheet.runtime import stage
-from broadsheet.sinks.features import write_collection_header, write_features
+from broadsheet.sinks.features import write_collection_header, write_features, write_raw_features
 from broadsheet.sinks.results import (
     manifest,
     write_manifest,
@@ -106,10 +106,13 @@ def collocation_run(
     options: Options = Options(),
     drop_terms: Sequence[str] = (),
     located: bool = False,
+    crs: dict | None = None,
     mode: str = "overwrite",
 ) -> dict[str, str | None]:
     """Metrics, by-time table and, for located articles, the occurrence features.
 
+    Rows of ``feature_rows`` carry the lines they were read from, which are then written untouched;
+    ``crs`` is the coordinate system their collection stated.
     The articles with a hit are staged once; metrics, their total and the by-time counts read
     that table. Empty inputs leave header-only tables.
     """
@@ -147,9 +150,10 @@ def collocation_run(
         found = collocation.occurrences(
             articles, term, start=start, end=end, city=city, state=state
         )
-        write_features(found, paths["occurrences"], mode)
+        write = write_raw_features if "raw" in found.columns else write_features
+        write(found, paths["occurrences"], mode)
         name = paths["occurrences"].rsplit("/", 1)[-1]
-        write_collection_header(articles.sparkSession, f"{paths['occurrences']}_header", name, mode)
+        write_collection_header(articles.sparkSession, f"{paths['occurrences']}_header", name, mode, crs)
     else:
         paths["occurrences"] = None
     return paths
@@ -196,6 +200,7 @@ def map_tables(
     max_radius: int | None = None,
     zoom: int = 4,
     lightweight: bool = False,
+    per_point: bool = False,
     table_mode: str = "full",
     row_limit: int | None = None,
     start: str | None = None,
@@ -222,7 +227,7 @@ def map_tables(
         layer = (
             mapping.heat_frames(
                 slim, groups, unit=unit, size=size, linger_unit=linger_unit, linger=linger,
-                multiplier=heat_value,
+                multiplier=heat_value, per_point=per_point,
             )
             if timed
             else mapping.heat_points(slim, groups, heat_value)

@@ -1,4 +1,4 @@
-"""Session helpers: shared scratch folder, staged tables, small-input spreading."""
+"""Session helpers: shared scratch folder, staged tables, scalar subqueries."""
 
 from __future__ import annotations
 
@@ -52,20 +52,6 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core a share of an input too small to split by itself.
-
-    A file with one row group is one task however many cores are free. Only inputs whose size
-    estimate is below one full split per core are shuffled, so the cost is bounded by the cluster
-    and large corpora keep their own file splits.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, *keys) if size < cores * split else df
-
-
 def local_table(spark: SparkSession, rows: Iterable[tuple], **types: pa.DataType) -> DataFrame:
     """A small driver-side table as a local relation, whose size the optimizer knows."""
     columns = list(zip(*rows)) or [()] * len(types)

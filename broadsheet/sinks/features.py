@@ -42,7 +42,10 @@ def feature_json(
 
 
 def write_raw_features(features: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Features as they were read, all properties included; coordinates become numbers again."""
+    """Features as they were read: their ``raw`` lines, else points rebuilt from the parsed columns."""
+    if "raw" in features.columns:
+        features.select("raw").write.mode(mode).text(path)
+        return
     numbers = F.transform("geometry.coordinates", lambda c: c.try_cast("double"))
     geometry = F.when(
         F.col("geometry").isNotNull(),
@@ -55,10 +58,10 @@ def write_raw_features(features: DataFrame, path: str, mode: str = "errorifexist
 
 
 def write_collection_header(
-    spark: SparkSession, path: str, name: str, mode: str = "errorifexists"
+    spark: SparkSession, path: str, name: str, mode: str = "errorifexists", crs: dict | None = None
 ) -> None:
-    """What a feature collection states once: its type, name and coordinate system."""
-    crs = {"type": "name", "properties": {"name": CRS}}
+    """What a feature collection states once: its type, name and coordinate system (``crs`` as the input had it)."""
+    crs = crs or {"type": "name", "properties": {"name": CRS}}
     header = json.dumps({"type": "FeatureCollection", "name": name, "crs": crs})
     spark.range(1).select(F.lit(header).alias("value")).write.mode(mode).text(path)
 

@@ -20,20 +20,33 @@ _COLLECTION = T.StructType(
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """Features written one per line; files split freely."""
-    return spark.read.schema(FEATURE).json(path)
+    """Features written one per line; files split freely. ``raw`` keeps each line as it stands."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    return lines.select(F.from_json("value", FEATURE).alias("f"), F.col("value").alias("raw")).select("f.*", "raw")
 
 
 def read_feature_collection(spark: SparkSession, path: str) -> DataFrame:
-    """Features of whole-document collections. Each document is one task; use lines at scale."""
+    """Features of whole-document collections.
+
+    For many files of bounded size: each is one task, and Spark holds its features as one value, which
+    may not exceed 2 GB. Larger data belong in lines, see ``read_features``.
+    """
     docs = spark.read.schema(_COLLECTION).option("multiLine", True).json(path)
     return docs.select(F.explode("features").alias("f")).select("f.*")
 
 
 def collection_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Term, start and end per collection: its metadata, else its first feature's properties."""
+    """Term, start and end per collection, each from its metadata, else its own properties, else the
+    first feature that has it."""
     docs = spark.read.schema(_COLLECTION).option("multiLine", True).json(path)
-    meta = F.coalesce("metadata", "properties", F.get(F.col("features.properties"), F.lit(0)))
+
+    def fact(names: tuple[str, ...]) -> Column:
+        def among(values: Column) -> Column:
+            return F.coalesce(*[blank_to_null(values[k]) for k in names])
+
+        of_features = F.array_compact(F.transform(F.col("features.properties"), among))
+        return F.coalesce(among(F.col("metadata")), among(F.col("properties")), F.get(of_features, F.lit(0)))
+
     # The property names a run's facts may stand under.
     keys = {
         "search_term": ("search_term", "SearchTerm", "term", "Term"),
@@ -42,10 +55,7 @@ def collection_metadata(spark: SparkSession, path: str) -> DataFrame:
     }
     return docs.select(
         F.col("_metadata.file_name").alias("file_name"),
-        *[
-            F.coalesce(*[blank_to_null(meta[k]) for k in names]).alias(out)
-            for out, names in keys.items()
-        ],
+        *[fact(names).alias(out) for out, names in keys.items()],
     )
 
 
@@ -58,6 +68,7 @@ def feature_rows(features: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
         number(0).alias("Long"),
         number(1).alias("Lat"),
         "properties",
+        *(["raw"] if "raw" in features.columns else []),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +32,10 @@ def read_locations(spark: SparkSession, path: str) -> DataFrame:
 def title_lookup(df: DataFrame) -> DataFrame:
     """``SN, Title`` from a table whose headings vary; without such headings it is empty."""
 
-    def pick(names):
-        return next((c for c in df.columns if c.strip().lower() in names), None)
-
-    key, title = pick(KEY_HEADINGS), pick(TITLE_HEADINGS)
+    headings = {column.strip().lower(): column for column in reversed(df.columns)}  # the first of a kind wins
+    keys = [headings[h] for h in headings if h in KEY_HEADINGS]
+    titles = [headings[h] for h in headings if h in TITLE_HEADINGS]
+    key, title = (min(c, key=df.columns.index, default=None) for c in (keys, titles))
     if key is None or title is None:
         empty = {"SN": pa.string(), "Title": pa.string(), "ordinal": pa.int64()}
         return local_table(df.sparkSession, [], **empty)
@@ -60,13 +62,24 @@ def last_titles(lookup: DataFrame) -> DataFrame:
     )
 
 
+def _kind(spark: SparkSession, path: str) -> str | None:
+    """``csv`` or ``json``, from the path or, for a folder, from the files in it."""
+    ending = r"\.(csv|json)(\.\w+)?$"
+    last = path.rstrip("/").rsplit("/", 1)[-1].lower()
+    own = re.search(ending, last)
+    if own or "." in last:  # a file of another kind is not a folder to look into
+        return own and own[1]
+    kinds = {found[1] for name in spark.read.text(path).inputFiles() if (found := re.search(ending, name.lower()))}
+    return kinds.pop() if len(kinds) == 1 else None
+
+
 def read_table(spark: SparkSession, source: str | DataFrame, schema=None) -> DataFrame:
-    """A metrics or by-time table from CSV or JSON, or a DataFrame as it is."""
+    """A metrics or by-time table from a CSV or JSON file or folder of files, or a DataFrame as it is."""
     if isinstance(source, DataFrame):
         return source
-    kind = source.rstrip("/").lower().rsplit(".", 1)[-1]
-    if kind not in ("csv", "json"):
-        raise ValueError("expected a .csv or .json path, or a DataFrame")
+    kind = _kind(spark, source)
+    if kind is None:
+        raise ValueError("expected a .csv or .json path, a folder of such files, or a DataFrame")
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if kind == "json":
         return reader.json(source)

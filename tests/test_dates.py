@@ -63,6 +63,15 @@ def test_leap_day_and_units():
         dates.bin_edges(D(1900, 1, 1), D(1900, 2, 1), "months", 0)
 
 
+@pytest.mark.parametrize("text, day", [
+    ("1900-01-02 garbage", None), ("12345-01-01", None), ("1900-01-02 23:59:59.5+01:00", "1900-01-02"), ("1900-01-02 24:00", None),
+    ("1900-01-02 07:30", "1900-01-02"), ("1900-1-2", "1900-01-02"), ("1900-02-30", None),
+])
+def test_dates_are_strict(rows, text, day):
+    found = rows([(text,)], "t string").select(dates.parse_date(F.col("t")).cast("string")).first()[0]
+    assert found == day
+
+
 def test_parse_bin():
     assert dates.parse_bin("2 weeks") == (2, "week")
     assert dates.parse_bin("monthly") == (1, "month")

@@ -27,7 +27,7 @@ def located(rows, places, **same):
 
 def frames_of(rows, dates, **kw):
     pts = points(located(rows, [(1.0, 2.0, d) for d in dates]))
-    shown = mapping.heat_frames(pts, mapping.map_groups(pts), **kw).collect()
+    shown = mapping.heat_frames(pts, mapping.map_groups(pts), per_point=True, **kw).collect()
     return sorted((r.frame_no, str(r.frame_time)) for r in shown)
 
 
@@ -188,10 +188,23 @@ def test_attribute_tables(rows):
     assert minimal.columns[:3] == ["Latitude", "Longitude", "date"] and "article" not in minimal.columns
     assert sorted(r.date for r in minimal.collect()) == ["1900-01-01", "1900-01-02"]
     assert "article" not in mapping.attribute_table(pts, "full", lightweight=True).columns
-    assert mapping.row_cap(0, False) is None
-    assert (mapping.row_cap(5000, True), mapping.row_cap(5, True), mapping.row_cap(7, False)) == (1000, 5, 7)
     open_pts = pts.selectExpr("lat", "lon", "day", "article_id", "map('zeta', 'z', 'page', page) AS properties")
-    assert mapping.attribute_table(open_pts).columns == ["Latitude", "Longitude", "page", "zeta"]
+    assert mapping.attribute_table(open_pts).columns == ["Latitude", "Longitude", "article_id"]
+    listed = mapping.attribute_table(open_pts, properties=("page", "zeta", "Page"))
+    assert listed.columns == ["Latitude", "Longitude", "page", "zeta", "Page_"]
+    assert {r.Page_ for r in listed.collect()} == {""}
+    long = mapping.property_rows(open_pts, "article_id").collect()
+    assert len(long) == 10 and {r.property for r in long} == {"page", "zeta"}
+    many = points(located(rows, [(1.0, 1.0, "1900-01-01", "p1", "word " * 300)] * 1100))
+    assert mapping.attribute_table(many, lightweight=True).count() == 1100
+    assert len(mapping.attribute_table(many, "article", article_length=None).first().article) == 1499
+
+
+def test_mixed_case_names_can_be_written(rows, tmp_path):
+    pts = points(located(rows, [(1.0, 1.0, "1900-01-01")])).selectExpr("lat", "lon", "map('page', 'a', 'Page', 'b', 'Headline', 'h') AS properties")
+    table = mapping.attribute_table(pts, properties=("page", "Page", "headline"))
+    table.write.parquet(str(tmp_path / "t"))
+    assert tuple(table.first())[2:] == ("a", "b", "h")
 
 
 @pytest.mark.parametrize("mode, columns", [("points", "radius"), ("graduated", "radius"), ("cluster", "size_class"), ("heatmap", "frame_no")])

@@ -6,9 +6,11 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry_points
+from broadsheet.checks import oracles
+from broadsheet.checks import queries as registered
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, SQL = registered.queries(), oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +18,10 @@ def con():
     return connect(SF_DIR)
 
 
+def test_every_query_is_an_entry_point():
+    assert set(QUERIES) <= set(entry_points.queries()) and set(SQL) <= set(entry_points.oracle_sql())
+
+
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(SQL)
 

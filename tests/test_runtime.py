@@ -3,7 +3,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from broadsheet.runtime import let, local_table, scalar, shared_dir, spread, stage
+from broadsheet.runtime import let, local_table, scalar, shared_dir, stage
 
 
 def fake(master, **named):
@@ -25,13 +25,6 @@ def test_stage_uses_the_named_folder(spark):
     assert sorted(r.id for r in staged.collect()) == list(range(5))
 
 
-def test_spread_leaves_large_inputs_alone(spark):
-    small = spark.range(10, numPartitions=1)
-    assert spread(small, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    large = spark.range(10**10, numPartitions=1)
-    assert spread(large, "id") is large
-
-
 def test_let_and_scalar(spark):
     df = spark.range(4)
     assert df.select(let(F.col("id") + 1, lambda v: v * v).alias("v")).agg(F.sum("v")).first()[0] == 30
