@@ -18,8 +18,8 @@ from broadsheet.llm.folds import held_out, labelled_sample
 CHUNK, OVERLAP = 512, 64
 #: Bytes a filter sees, numbers per byte, filters, units that combine the pooled features.
 WIDTH, DEPTH, FILTERS, UNITS = 8, 6, 16, 16
-#: Learning rows per class, and times they are seen.
-SAMPLE, EPOCHS = 2500, 8
+#: Learning rows per class, and steps of learning, each over a small batch of rows.
+SAMPLE, STEPS = 2500, 1500
 #: Scores from here on are predicted to be of label 1.
 THRESHOLD = 0.3
 _PAD = 256
@@ -69,7 +69,7 @@ def _pooled(features: np.ndarray, rows: np.ndarray, owner: np.ndarray, n: int) -
     first, counts = np.searchsorted(owner, np.arange(n)), np.bincount(owner, minlength=n)[:, None]
     full = np.add.reduceat((rows != _PAD).mean(1), first)[:, None] / counts
     ends = np.maximum.reduceat(features, first), np.minimum.reduceat(features, first)
-    return np.concatenate((np.add.reduceat(features, first) / counts, *ends, full), axis=1).astype(np.float32)
+    return np.concatenate((np.add.reduceat(features, first) / counts, *ends, full), axis=1)
 
 
 def probabilities(net: Network, texts: Texts) -> np.ndarray:
@@ -115,16 +115,15 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> Network:
     net = Network(*(rng.normal(0, s, shape).astype(np.float32) for s, shape in zip(scales, _SHAPES)))
     net.bytes_[_PAD] = 0
     parts = list(slices(texts, limit=96 << 10, rows=32))
-    m, v, step = [np.zeros_like(w) for w in net], [np.zeros_like(w) for w in net], 0
-    for epoch in range(EPOCHS):
-        for i in rng.permutation(len(parts)):
-            rows, owner = chunks(parts[i])
-            step += 1
-            rate = 0.01 * (1 - 0.9 * epoch / EPOCHS)
-            for w, g, a, b in zip(net, _gradients(net, rows, owner, labels[parts[i].rows]), m, v):
-                a += 0.1 * (g - a)
-                b += 0.01 * (g * g - b)
-                w -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
+    m, v, waiting = [np.zeros_like(w) for w in net], [np.zeros_like(w) for w in net], []
+    for step in range(1, STEPS + 1):
+        waiting = waiting or rng.permutation(len(parts)).tolist()
+        part = parts[waiting.pop()]
+        rate = 0.01 * (1 - 0.9 * step / STEPS)
+        for w, g, a, b in zip(net, _gradients(net, *chunks(part), labels[part.rows]), m, v):
+            a += 0.1 * (g - a)
+            b += 0.01 * (g * g - b)
+            w -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
     return net
 
 
