@@ -94,9 +94,10 @@ def _gradients(net: Network, rows: np.ndarray, owner: np.ndarray, labels: np.nda
     to_units = error[:, None] * net.weights * (1 - units**2)
     spread = to_units @ net.mixing.T  # to the pooled features
     mean, most, least = (spread[owner, k * FILTERS : (k + 1) * FILTERS] for k in range(3))
-    back = mean / np.bincount(owner, minlength=n)[owner, None]
-    back = back + most * (features == pooled[owner, FILTERS : 2 * FILTERS])
-    back = back + least * (features == pooled[owner, 2 * FILTERS : 3 * FILTERS])
+    first, back = np.searchsorted(owner, np.arange(n)), mean / np.bincount(owner, minlength=n)[owner, None]
+    for k, ends in ((1, most), (2, least)):
+        there = (features == pooled[owner, k * FILTERS : (k + 1) * FILTERS]).astype(np.float32)
+        back = back + ends * there / np.add.reduceat(there, first)[owner]  # equal chunks share it
     back = back * (1 - features**2)
     seen = rows[each[:, :, None], peak[:, :, None] + np.arange(WIDTH)]  # bytes under each filter's peak
     to_filters = np.einsum("cf,cfk->kf", back, net.bytes_[seen].reshape(len(rows), FILTERS, -1))
