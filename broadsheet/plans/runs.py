@@ -13,7 +13,7 @@ from broadsheet.operators import collocation, locations, mapping, search
 from broadsheet.operators.collocation import Options
 from broadsheet.operators.timebins import collocates_by_time
 from broadsheet.plans.naming import collocation_paths, search_path
-from broadsheet.runtime import stage
+from broadsheet.runtime import stage, staging
 from broadsheet.sinks.features import write_collection_header, write_features, write_raw_features
 from broadsheet.sinks.results import (
     manifest,
@@ -52,13 +52,14 @@ def search_run(
         read_corpus(spark, corpus, int(lo[:4]), int(hi[:4])),
         term, lo, hi, cap=cap, titles=titles, **cleaning,
     )
-    found = stage(found, "matches")
-    if not per_year and found.isEmpty():
-        return None
-    path = search_path(out, term, lo, hi)
-    write_results(search.in_date_order(found), f"{path}/articles", mode)
-    describe = yearly_manifest if per_year else manifest
-    write_manifest(describe(found, term, lo, hi), f"{path}/runs", "overwrite")
+    with staging(spark) as put:
+        found = put(found, "matches")
+        if not per_year and found.isEmpty():
+            return None
+        path = search_path(out, term, lo, hi)
+        write_results(search.in_date_order(found), f"{path}/articles", mode)
+        describe = yearly_manifest if per_year else manifest
+        write_manifest(describe(found, term, lo, hi), f"{path}/runs", "overwrite")
     return path
 
 
@@ -129,23 +130,24 @@ def collocation_run(
     bounds = (F.min("date").alias("start"), F.max("date").alias("end"))
     if time_bin and not (start and end):
         chosen = chosen.observe(dates, *bounds)
-    hits = stage(
-        collocation.with_phrase(chosen, term, options).select(
-            *[c for c in ("article_id", "filename", "page", "date", "article") if c in chosen.columns]
-        ),
-        "hits",
-    )
-    metrics = collocation.collocate_metrics(hits, term, options)
-    metrics = collocation.drop_collocates(metrics, drop_terms)
-    write_table(collocation.by_frequency(metrics), paths["metrics"], mode)
-    if paths["by_time"]:
-        size, unit = parse_bin(time_bin)
-        seen = {} if start and end else dates.get
-        by_time = collocates_by_time(
-            hits, term, size, unit, options, start=start or seen["start"], end=end or seen["end"]
+    with staging(articles.sparkSession) as put:
+        hits = put(
+            collocation.with_phrase(chosen, term, options).select(
+                *[c for c in ("article_id", "filename", "page", "date", "article") if c in chosen.columns]
+            ),
+            "hits",
         )
-        by_time = collocation.drop_collocates(by_time, drop_terms)
-        write_table(by_time.orderBy("time_bin", "ordinal_rank"), paths["by_time"], mode)
+        metrics = collocation.collocate_metrics(hits, term, options)
+        metrics = collocation.drop_collocates(metrics, drop_terms)
+        write_table(collocation.by_frequency(metrics), paths["metrics"], mode)
+        if paths["by_time"]:
+            size, unit = parse_bin(time_bin)
+            seen = {} if start and end else dates.get
+            by_time = collocates_by_time(
+                hits, term, size, unit, options, start=start or seen["start"], end=end or seen["end"]
+            )
+            by_time = collocation.drop_collocates(by_time, drop_terms)
+            write_table(by_time.orderBy("time_bin", "ordinal_rank"), paths["by_time"], mode)
     if located:
         found = collocation.occurrences(
             articles, term, start=start, end=end, city=city, state=state

@@ -1,11 +1,15 @@
 """Plans and inputs that decide whether a job survives large data."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from broadsheet.functions.ranking import rank_by_frequency
 from broadsheet.operators import collocation, locations, ranks
 from broadsheet.operators.collocation import Options
+from broadsheet.plans.runs import collocation_run
+from broadsheet.runtime import shared_dir
 from broadsheet.sinks.results import write_results, write_table
 from broadsheet.sources.payloads import read_results
 from broadsheet.sources.tables import read_table
@@ -73,3 +77,12 @@ def test_the_last_fetched_place_counts(rows):
     places = rows([("s", 0.0, 0.0)], "SN string, Lat double, Long double")
     fetched = rows([("s", 1.0, 1.0, "2020-01-02"), ("s", 5.0, 5.0, "2020-01-01")], "SN string, Lat double, Long double, fetched_at string")
     assert [tuple(r) for r in locations.apply_coordinates(places, fetched).collect()] == [("s", 1.0, 1.0)]
+
+
+def test_a_run_leaves_no_staged_folder(rows, tmp_path):
+    spark = rows([(1,)], "i int").sparkSession
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.iterdir())
+    articles = rows([("1", "1900-01-02", "p1", "gold rush and more"), ("2", "1900-02-02", "p1", "rush of gold")], "article_id string, date string, page string, article string")
+    collocation_run(articles, str(tmp_path / "out"), "gold", time_bin="1 months")
+    assert set(shared.iterdir()) == before
