@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm.columns import free_names, small_side
+from broadsheet.runtime import stage
 
 #: Fixed seeds over seven words at most: a hash takes the words at 1 and ignores those at 0. Together they
 #: meet every passage of ten words or more in which up to one word in seven is another.
@@ -110,5 +111,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text")
     """Rows whose text holds no benchmark passage; columns stay as they are. Equal texts share their fate."""
     (mark,) = free_names(docs, "text_md5")
     marked = docs.withColumn(mark, F.md5(F.coalesce(F.col(text), F.lit(""))))
-    leaked = overlaps(marked, benchmark, key=mark, text=text).select(mark).distinct()
+    leaked = stage(overlaps(marked, benchmark, key=mark, text=text).select(mark).distinct(), "leaked")
     return marked.join(small_side(leaked), mark, "left_anti").select(docs.columns)
