@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from broadsheet.runtime import stage
 
 SHARDS = 40
-#: Rounds of moves at most; few parts are left split after the third.
-ROUNDS = 8
 #: Bytes that a row takes in a shard besides its text.
 ROW_BYTES = 16
 #: Ranks are counted in so many buckets first, so that no task sorts a whole shard.
@@ -35,15 +33,12 @@ def _ranked(df: DataFrame, group: str, order: list[Column], size: Column | None
     )
 
 
-def _wishes(state: DataFrame, room: Column) -> DataFrame:
+def _wishes(open_: DataFrame, room: Column) -> DataFrame:
     """Where each part wants to meet: of the shards its members are in, the one with most of them that
-    has room for the others; equal counts are told apart by hash. ``n`` is how many would move."""
-    counts = state.groupBy("part", "shard").agg(F.sum("n").alias("n"))
-    totals = counts.groupBy("part").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("places"))
-    split = counts.join(totals.where("places > 1"), "part").withColumn("n_others", F.col("total") - F.col("n"))
-    weight = F.struct("n", F.xxhash64("part", "shard").alias("tie"), F.col("shard").alias("target"), "n_others")
-    best = split.where(F.col("n_others") <= room).groupBy("part").agg(F.max(weight).alias("best"))
-    return best.select("part", "best.target", F.col("best.n_others").alias("n"))
+    has room for the whole part; equal counts are told apart by hash. ``n`` is the size of the part."""
+    weight = F.struct("n", F.xxhash64("part", "start").alias("tie"), F.col("start").alias("target"))
+    best = open_.where(F.col("total") <= room).groupBy("part").agg(F.max(weight).alias("best"), F.first("total").alias("n"))
+    return best.select("part", "best.target", "n")
 
 
 def _by_shard(values: dict[int, int], shard: Column) -> Column:
@@ -52,26 +47,36 @@ def _by_shard(values: dict[int, int], shard: Column) -> Column:
 
 
 def propagate(linked: DataFrame, quota: dict[int, int]) -> DataFrame:
-    """Move linked rows towards their neighbours' shards, within ``quota`` rows per shard.
+    """Bring the linked rows of each part into one shard, within ``quota`` rows per shard.
 
     ``linked`` has part (rows with equal part are neighbours), shard (where they start) and n (how many).
     Members of a part that sit in one shard move together, so the state is one row per part and start.
-    In a round every part that is split proposes the shard where most of its members are and the others
-    fit. Proposals are taken in hash order up to the room their target has. It ends when no part is split
-    or none has such a shard. Returns part, start and shard.
+    In a round every part that is not settled proposes the shard where most of its members are and the
+    whole part fits. Proposals are taken in hash order up to the room their target has, and a part whose
+    proposal is taken is settled there. Only settled parts take room: the others will leave theirs. Each
+    target takes at least its first proposal; it ends when no part has such a shard. What is not settled
+    then stays where it started. Returns part, start and shard.
     """
-    state = stage(linked.withColumn("start", F.col("shard")), "labels")
-    for _ in range(ROUNDS):
-        loads = {r.shard: r.n for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one per shard
-        room = {s: max(0, quota[s] - loads.get(s, 0)) for s in range(SHARDS)}
-        wishes = stage(_wishes(state, _by_shard(room, F.col("shard"))), "wishes")
+    cells = linked.withColumnRenamed("shard", "start")
+    totals = cells.groupBy("part").agg(F.sum("n").alias("total"))
+    cells = stage(cells.join(totals, "part"), "labels")
+    open_, room, settled = cells, dict(quota), []
+    while True:
+        wishes = stage(_wishes(open_, _by_shard(room, F.col("start"))), "wishes")
         if wishes.isEmpty():
             break
         queued = _ranked(wishes, "target", [F.col("part")], F.col("n"))
-        taken = queued.where(F.col("rank") + F.col("n") <= _by_shard(room, F.col("target")))
-        moved = state.join(taken.select("part", "target"), "part", "left")
-        state = stage(moved.select("part", "start", F.coalesce("target", "shard").alias("shard"), "n"), "labels")
-    return state.select("part", "start", "shard")
+        fits = F.col("rank") + F.col("n") <= _by_shard(room, F.col("target"))
+        taken = stage(queued.where(fits).select("part", "target", "n"), "settled")
+        settled.append(taken.select("part", "target"))
+        for row in taken.groupBy("target").agg(F.sum("n").alias("n")).collect():  # one per shard
+            room[row.target] -= row.n
+        open_ = stage(open_.join(taken.select("part"), "part", "left_anti"), "open")
+    unsettled = open_.select("part", "start", F.col("start").alias("shard"))
+    if not settled:
+        return unsettled
+    ends = reduce(DataFrame.union, settled)
+    return cells.join(ends, "part").select("part", "start", F.col("target").alias("shard")).union(unsettled)
 
 
 def shard_documents(docs: DataFrame, *, text: str = "text") -> DataFrame:

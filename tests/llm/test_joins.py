@@ -143,3 +143,23 @@ def test_members_move_together(spark):
     for r in got:
         ends[r.part].add(r.shard)
     assert all(len(v) == 1 for v in ends.values())
+
+
+def ends_of_copies(spark, n, hot, linked, size):
+    """Shards that the hot text and each group of ``size`` copies end in; shares are of ``n`` rows."""
+    i, edge, last = F.col("id"), int(n * hot), int(n * (hot + linked))
+    copies = F.concat(F.lit("g"), ((i - edge) / size).cast("long"))
+    docs = spark.range(n).select(i.alias("doc_id"), F.when(i < edge, "hot").when(i < last, copies).otherwise(i.cast("string")).alias("text"))
+    got = sharding.shard_documents(docs).collect()
+    check_shards(docs, got)
+    ends = collections.defaultdict(set)
+    for r in got:
+        ends["hot" if r.doc_id < edge else (r.doc_id - edge) // size if r.doc_id < last else None].add(r.shard)
+    ends.pop(None, None)
+    return ends.pop("hot", set()), list(ends.values())
+
+
+@pytest.mark.parametrize("linked", [0.925])
+def test_copies_meet_where_most_rows_have_one(spark, linked):
+    _, groups = ends_of_copies(spark, 8000, 0, linked, 10)
+    assert sum(len(v) > 1 for v in groups) <= 0.02 * len(groups)
