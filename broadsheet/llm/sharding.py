@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,15 +15,21 @@ SHARDS = 40
 ROW_BYTES = 16
 #: Ranks are counted in so many buckets first, so that no task sorts a whole shard.
 _BUCKETS = 256
+_ALL_MEMBERS = ("cast(null as bigint) as lo", "cast(null as bigint) as hi")
+_PIECE = {"part": "bigint", "shard": "int", "lo": "bigint", "hi": "bigint"}
 
 
 def _ranked(df: DataFrame, group: str, order: list[Column], size: Column | None = None) -> DataFrame:
     """``df`` with ``rank``: how much of its group (rows, or the sum of ``size``) comes before each row.
 
     Rows are dealt into hashed buckets; the sizes of the buckets before come from a small table of sums.
+    With ``size`` rows of more binary digits come first, in buckets of their own.
     """
+    bucket = F.pmod(F.xxhash64(*order), F.lit(_BUCKETS)).cast("int")
+    if size is not None:
+        bucket -= F.length(F.bin(size)) * _BUCKETS
     size = F.lit(1) if size is None else size
-    bucketed = df.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(_BUCKETS)).cast("int")).withColumn("weight", size)
+    bucketed = df.withColumn("bucket", bucket).withColumn("weight", size)
     sums = bucketed.groupBy(group, "bucket").agg(F.sum("weight").alias("weight"))
     ahead = Window.partitionBy(group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(group, "bucket", F.coalesce(F.sum("weight").over(ahead), F.lit(0)).alias("before"))
@@ -46,16 +53,53 @@ def _by_shard(values: dict[int, int], shard: Column) -> Column:
     return F.get(F.array(*[F.lit(values.get(s, 0)).cast("long") for s in range(SHARDS)]), shard)
 
 
+def _laid(open_: DataFrame, room: dict[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Lay unsettled parts end to end, large ones first, into the room of all shards, the greatest first.
+
+    Parts within one shard's room settle there (part, target). At most one part is cut at each edge between
+    shards; each of these few goes to the least room that holds it, or is spread over the greatest rooms.
+    They come as pieces: part, shard and the ranks of members from ``lo`` to below ``hi``.
+    """
+    parts = open_.groupBy("part").agg(F.first("total").alias("n")).withColumn("line", F.lit(0))
+    parts = stage(_ranked(parts, "line", [F.col("part")], F.col("n")), "line")
+    shards = sorted(room, key=lambda s: (-room[s], s))
+    edges = F.array(*[F.lit(e).cast("long") for e in accumulate(room[s] for s in shards)])
+    spot = lambda at: F.size(F.filter(edges, lambda e: e <= at))
+    parts = parts.select("part", "n", spot(F.col("rank")).alias("first"), spot(F.col("rank") + F.col("n") - 1).alias("last"))
+    target = F.get(F.array(*map(F.lit, shards)), F.col("first")).alias("target")
+    whole = parts.where("first = last").select("part", target, "n")
+    left = dict(room)
+    for row in whole.groupBy("target").agg(F.sum("n").alias("n")).collect():  # one per shard
+        left[row.target] -= row.n
+    pieces = []
+    for row in sorted(parts.where("first < last").collect(), key=lambda r: (-r.n, r.part)):  # fewer than shards
+        lo = 0
+        while lo < row.n:
+            holding = [s for s in left if left[s] >= row.n - lo]
+            s = min(holding, key=left.get) if holding else max(left, key=left.get)
+            hi = min(row.n, lo + left[s])
+            pieces.append((row.part, s, lo, hi))
+            left[s] -= hi - lo
+            lo = hi
+    made = [F.struct(*[F.lit(v).cast(t).alias(k) for (k, t), v in zip(_PIECE.items(), piece)]) for piece in pieces]
+    made = F.array(*made) if made else F.array().cast("array<struct<%s>>" % ",".join(map(":".join, _PIECE.items())))
+    return whole.select("part", "target"), open_.sparkSession.range(1).select(F.inline(made))
+
+
 def propagate(linked: DataFrame, quota: dict[int, int]) -> DataFrame:
     """Bring the linked rows of each part into one shard, within ``quota`` rows per shard.
 
-    ``linked`` has part (rows with equal part are neighbours), shard (where they start) and n (how many).
-    Members of a part that sit in one shard move together, so the state is one row per part and start.
-    In a round every part that is not settled proposes the shard where most of its members are and the
-    whole part fits. Proposals are taken in hash order up to the room their target has, and a part whose
-    proposal is taken is settled there. Only settled parts take room: the others will leave theirs. Each
-    target takes at least its first proposal; it ends when no part has such a shard. What is not settled
-    then stays where it started. Returns part, start and shard.
+    ``linked`` has part (rows with equal part are neighbours), shard (where they start) and n (how many);
+    the quotas together hold them all. Members of a part that sit in one shard move together, so the state
+    is one row per part and start. In a round every part that is not settled proposes the shard where most
+    of its members are and the whole part fits. Proposals are taken, large parts first, up to the room their
+    target has, and a part whose proposal is taken is settled there. Only settled parts take room: the
+    others will leave theirs. Each target takes at least its first proposal; rounds end when no part has
+    such a shard. What is not settled then takes the room that is left in any shard (``_laid``), so that
+    fewer parts than there are shards can stay cut.
+
+    Returns part, start and shard of whole parts, with null ``lo`` and ``hi``; of the few others part, shard
+    and the ranks of members (from ``lo`` to below ``hi``) that go there, with null start.
     """
     cells = linked.withColumnRenamed("shard", "start")
     totals = cells.groupBy("part").agg(F.sum("n").alias("total"))
@@ -72,11 +116,15 @@ def propagate(linked: DataFrame, quota: dict[int, int]) -> DataFrame:
         for row in taken.groupBy("target").agg(F.sum("n").alias("n")).collect():  # one per shard
             room[row.target] -= row.n
         open_ = stage(open_.join(taken.select("part"), "part", "left_anti"), "open")
-    unsettled = open_.select("part", "start", F.col("start").alias("shard"))
+    pieces = None
+    if not open_.isEmpty():
+        whole, pieces = _laid(open_, room)
+        settled.append(whole)
     if not settled:
-        return unsettled
-    ends = reduce(DataFrame.union, settled)
-    return cells.join(ends, "part").select("part", "start", F.col("target").alias("shard")).union(unsettled)
+        return cells.selectExpr("part", "start", "start as shard", *_ALL_MEMBERS)
+    moved = cells.join(reduce(DataFrame.union, settled), "part")
+    moved = moved.selectExpr("part", "start", "target as shard", *_ALL_MEMBERS)
+    return moved if pieces is None else moved.unionByName(pieces, allowMissingColumns=True)
 
 
 def shard_documents(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -84,9 +132,9 @@ def shard_documents(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
     Law ``rows``: shard counts differ by one at most. Links: rows with equal texts (null equals null) are
     neighbours, through their text's digest, so no pairs are made. A group larger than half a shard is cut
-    into parts of at most that size first. Linked rows start in hashed shards and move by label propagation
-    under each shard's quota; rows without links then fill the room that is left, and rows beyond a quota
-    move to where there is room, so that sizes come out exact.
+    into parts of about that size first. Linked rows start in hashed shards and move by label propagation
+    under each shard's quota; parts that find no room at a neighbour's take any that is left, and fewer than
+    SHARDS of them are cut for it. Rows without links then fill the rest, so that sizes come out exact.
 
     Returns doc_id, size (bytes of the text and 16), text_crc32, law, shard, slot (gapless in the shard),
     grown_shard (null: only keyed laws have one). Null ids, repeated rows and empty texts are rows like any
@@ -116,8 +164,16 @@ def shard_documents(docs: DataFrame, *, text: str = "text") -> DataFrame:
     dealt = stage(joined.select("doc_id", "size", "text_crc32", "group", "row", part.alias("part"), start.alias("start")), "dealt")
 
     linked = dealt.where("part is not null").groupBy("part", F.col("start").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
-    labels = propagate(linked, quota)
-    placed = dealt.join(labels, ["part", "start"], "left").withColumn("want", F.coalesce("shard", F.lit(-1))).drop("shard")
+    labels = stage(propagate(linked, quota), "ends")
+    whole = labels.where("lo is null").select("part", "start", F.col("shard").alias("want"))
+    pieces = labels.where("lo is not null").select("part", F.col("shard").alias("want"), "lo", "hi")
+    placed = dealt.join(whole, ["part", "start"], "left")
+    if not pieces.isEmpty():  # fewer than two per shard
+        cut = F.broadcast(pieces.select("part").distinct())
+        within = _ranked(dealt.join(cut, "part", "left_semi"), "part", [F.col("doc_id"), F.col("row")])
+        within = within.join(F.broadcast(pieces), "part").where("rank >= lo and rank < hi")
+        placed = placed.join(cut, "part", "left_anti").unionByName(within.drop("rank", "lo", "hi"))
+    placed = placed.withColumn("want", F.coalesce("want", F.lit(-1)))
     placed = stage(_ranked(placed, "want", [F.col("group"), F.col("doc_id"), F.col("row")]), "placed")
 
     # Exact sizes: what a shard has beyond its quota, and all free rows, fill the room of the others in turn.

@@ -159,7 +159,32 @@ def ends_of_copies(spark, n, hot, linked, size):
     return ends.pop("hot", set()), list(ends.values())
 
 
-@pytest.mark.parametrize("linked", [0.925])
+@pytest.mark.parametrize("linked", [0.925, 0.975])
 def test_copies_meet_where_most_rows_have_one(spark, linked):
     _, groups = ends_of_copies(spark, 8000, 0, linked, 10)
     assert sum(len(v) > 1 for v in groups) <= 0.02 * len(groups)
+
+
+@pytest.mark.parametrize("hot, linked, size", [(1 / 3, 0.3, 4), (0.011, 0.65, 4), (0.0, 1.0, 2), (1.0, 0.0, 1)])
+def test_parts_meet_where_shards_have_room(spark, hot, linked, size):
+    n = 8000
+    spread, groups = ends_of_copies(spark, n, hot, linked, size)
+    parts = -(-int(n * hot) // (n // sharding.SHARDS // 2))
+    assert len(spread) <= min(parts + 2, sharding.SHARDS)
+    assert sum(len(v) > 1 for v in groups) < sharding.SHARDS
+
+
+def test_few_parts_are_cut_where_shards_are_full(spark):
+    sizes = [7] * 80 + [4] * 60 + [50] * 8  # 1,200 rows fill 40 shards of 30; 50 fit nowhere
+    rows = [(p, (p * 11 + i) % 40, 1) for p, n in enumerate(sizes) for i in range(n)]
+    cells = spark.createDataFrame(rows, "part long, shard int, n long").groupBy("part", "shard").agg(F.sum("n").alias("n"))
+    got = sharding.propagate(cells, dict.fromkeys(range(40), 30)).collect()
+    started = {(r.part, r.shard): r.n for r in cells.collect()}
+    load, ends, held = collections.Counter(), collections.defaultdict(set), collections.Counter()
+    for r in got:
+        n = started[r.part, r.start] if r.lo is None else r.hi - r.lo
+        load[r.shard] += n
+        held[r.part] += n
+        ends[r.part].add(r.shard)
+    assert set(load.values()) == {30} and [held[p] for p in range(len(sizes))] == sizes
+    assert sum(len(v) > 1 for v in ends.values()) < sharding.SHARDS
