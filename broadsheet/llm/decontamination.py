@@ -51,9 +51,10 @@ def _seeded(df: DataFrame, exact: list[int]) -> DataFrame:
 
 
 def _passages(benchmark: DataFrame, text: str) -> DataFrame:
-    """Distinct word sequences of the benchmark, named by the smallest item_id that has them."""
+    """Distinct word sequences of the benchmark, named by the smallest item_id that has them, null if none has one."""
     words = benchmark.select("item_id", _word_hashes(F.col(text)).alias("h"))
-    return words.where(F.size("h") >= LEAST_WORDS).groupBy("h").agg(F.min("item_id").alias("item_id"))
+    distinct = words.where(F.size("h") >= LEAST_WORDS).groupBy("h").agg(F.min("item_id").alias("item_id"))
+    return distinct.withColumn("passage", F.xxhash64("h"))
 
 
 def overlaps(
@@ -71,24 +72,24 @@ def overlaps(
 
     The benchmark side is broadcast if it is counted to be small, else shuffled by Spark. Hits of a text
     are merged in the task that reads it. A null text has no words; rows with equal keys are merged;
-    null keys are kept; an empty table on either side gives no rows; other columns are not read.
+    null keys and null item_ids are kept; an empty table on either side gives no rows; other columns are not read.
     """
     passages = _passages(benchmark, benchmark_text)
     short = passages.where(F.size("h") < _WIDEST).select(F.size("h").alias("n")).distinct()
     exact = sorted(row.n for row in short.collect())  # two lengths at most
-    sides = passages.select("item_id", "h").withColumn("n", F.size("h"))
-    seeds = _seeded(sides, exact).select("key", "item_id", F.col("at").alias("item_at"), "n")
+    sides = passages.select("passage", "h").withColumn("n", F.size("h"))
+    seeds = _seeded(sides, exact).select("key", "passage", F.col("at").alias("item_at"), "n")
     seeds = small_side(seeds.distinct())
 
     texts = docs.select(F.col(key).alias("doc"), _word_hashes(F.col(text)).alias("h"))
     hits = _seeded(texts, exact).join(seeds, "key")
     start = F.col("at") - F.col("item_at")
     shared = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get(F.col("h"), start + i))
-    placed = hits.select("doc", "item_id", start.alias("position"), shared.alias("words")).distinct()
+    placed = hits.select("doc", "passage", start.alias("position"), shared.alias("words")).distinct()
 
-    compared = placed.join(small_side(passages), "item_id")
+    compared = placed.join(small_side(passages), "passage")
     same = F.zip_with("words", "h", lambda a, b: F.when(a == b, 1).otherwise(0))
-    compared = compared.select("doc", "item_id", "position", same.alias("same"), F.size("h").alias("n"))
+    compared = compared.select("doc", "passage", "item_id", "position", same.alias("same"), F.size("h").alias("n"))
     width = F.least(F.lit(STRETCH), F.col("n"))
     needed = F.ceil(F.when(F.col("n") < _WIDEST, F.col("n")).otherwise(width * SHARE))
     total = lambda flags: F.aggregate(flags, F.lit(0), lambda s, x: s + x)
@@ -96,7 +97,9 @@ def overlaps(
     best = F.array_max(F.transform(stretches, lambda i: total(F.slice("same", i, width))))
     found = compared.where(best >= needed).withColumn("matched", total(F.col("same")))
     order = F.struct("matched", (-F.col("position")).alias("back"))
-    one = found.groupBy("doc", "item_id").agg(F.max(order).alias("top"), F.max("n").alias("item_words"))
+    one = found.groupBy("doc", "passage").agg(
+        F.max(order).alias("top"), F.max("n").alias("item_words"), F.max("item_id").alias("item_id")
+    )
     return one.select(
         F.col("doc").alias(key),
         "item_id",

@@ -188,3 +188,12 @@ def test_few_parts_are_cut_where_shards_are_full(spark):
         ends[r.part].add(r.shard)
     assert set(load.values()) == {30} and [held[p] for p in range(len(sizes))] == sizes
     assert sum(len(v) > 1 for v in ends.values()) < sharding.SHARDS
+
+
+def test_passages_without_id_are_found(spark):
+    texts = [PASSAGE, "one two three four five", "nothing here at all"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(None, PASSAGE), (None, texts[1]), (4, "some other words that stand nowhere")], BENCH)
+    got = decontamination.overlaps(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.item_words) for r in got) == [(0, None, 21), (1, None, 5)]
+    assert [r.doc_id for r in decontamination.without_leaks(docs, bench).collect()] == [2]
