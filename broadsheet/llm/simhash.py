@@ -152,24 +152,28 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between fingerprints that meet at a key; a null b marks one in a run too long for that."""
     dense: set[int] = set()
     for keys, prints, long_run in _runs(batches):
-        edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+        if long_run:  # whatever the size of this piece
+            dense.update(prints.tolist())
+            keys, prints = keys[:0], prints[:0]
+        edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
         sizes = np.diff(edge)
         a, b = [], []
         small = np.repeat((sizes > 1) & (sizes <= 8), sizes)
-        for step in range(1, 8):
+        for step in range(1, 8) if len(keys) else ():
             i = np.flatnonzero(small[:-step] & (keys[:-step] == keys[step:]))
             i = i[np.bitwise_count(prints[i] ^ prints[i + step]) <= RADIUS]
             a.append(prints[i])
             b.append(prints[i + step])
         for j in np.flatnonzero(sizes > 8):
             run = prints[edge[j] : edge[j + 1]]
-            if long_run or len(run) > RUN:
+            if len(run) > RUN:
                 dense.update(run.tolist())
             else:
                 hubs, members = _forest(run)
                 a.append(hubs)
                 b.append(members)
-        yield _links(np.concatenate(a), np.concatenate(b))
+        if a:
+            yield _links(np.concatenate(a), np.concatenate(b))
         if len(dense) > 100_000:
             yield _marked(dense)
             dense = set()

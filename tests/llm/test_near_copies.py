@@ -136,3 +136,15 @@ def test_hot_groups_make_few_rows(spark):
     copies = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(sentence(1, 50)).alias("text"))
     assert {r.component_id for r in simhash.simhash_components(copies).collect()} == {0}
     assert np.uint64(0) == np.bitwise_count(np.uint64(0))
+
+
+def test_last_piece_of_a_long_run_is_dense():
+    import pyarrow as pa
+
+    prints = np.random.default_rng(5).integers(0, 1 << 62, simhash.RUN + 104)
+    keys = np.full(len(prints), 7)
+    keys[-1] = 8
+    edges = [0, simhash.RUN + 100, len(prints)]  # three rows of the run come in the second batch
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(prints[a:b])], ["key", "simhash"]) for a, b in zip(edges, edges[1:])]
+    found = [row for batch in simhash._verified(iter(batches)) for row in batch.to_pylist()]
+    assert {r["a"] for r in found if r["b"] is None} == set(prints[:-1].tolist())
