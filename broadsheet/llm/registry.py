@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from broadsheet.llm import (
     byte_network,
+    collocations,
     decontamination,
     language,
     packing,
     quality_rules,
     sharding,
     simhash,
+    sql,
     token_counts,
     token_files,
     toxicity,
@@ -100,6 +102,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     ship(spark)
@@ -169,4 +175,4 @@ def _overlap_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for DuckDB where it can say the same; see the tests for the other queries."""
-    return {"op2_decontamination": _overlap_sql()}
+    return {"op2_decontamination": _overlap_sql(), "op11_collocations": sql.COLLOCATIONS}
