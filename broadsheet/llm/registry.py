@@ -10,11 +10,13 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from broadsheet.llm import (
     byte_network,
     collocations,
     decontamination,
+    hard_negatives,
     language,
     packing,
     quality_rules,
@@ -111,6 +113,13 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are every fiftieth vector; every seventh has a wrong label."""
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", wrong)
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     ship(spark)
@@ -180,4 +189,8 @@ def _overlap_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for DuckDB where it can say the same; see the tests for the other queries."""
-    return {"op2_decontamination": _overlap_sql(), "op11_collocations": sql.COLLOCATIONS}
+    return {
+        "op2_decontamination": _overlap_sql(),
+        "op11_collocations": sql.COLLOCATIONS,
+        "op13_hard_negatives": sql.HARD_NEGATIVES,
+    }
