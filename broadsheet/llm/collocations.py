@@ -69,21 +69,23 @@ def collocations(
     one without frequent phrases, gives no rows. Columns: ``group``, rank, phrase, a, l, r, n, score.
     Exact up to 10^17 words a language.
     """
+    if not 0 < shard_words < _PLACES // 4:
+        raise ValueError(f"shard_words must be below {_PLACES // 4}")
     spark = docs.sparkSession
     chosen = docs.select(F.coalesce(F.col(group).cast("string"), F.lit(UNKNOWN)), F.col(text))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 40
         for words in _shards(batches, shard_words, longest):
             yield _index_row(number, words, longest)
-            number += 1
+            number += _PLACES
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 index = _Index(batch.slice(at, 1))
                 for place, phrases in ((False, index.words()), (True, index.pairs())):
-                    yield from index.rows(phrases, with_place=place)
+                    yield from index.rows(phrases, at=place)
 
     def longer(indexes: pa.Table, places: pa.Table) -> pa.Table:
         found: list[pa.RecordBatch] = []
@@ -91,22 +93,25 @@ def collocations(
             index = _Index(indexes)
             for phrases in index.grown(places.column("place").to_numpy(), longest):
                 found += index.rows(phrases)
-        return pa.Table.from_batches(found, _ROWS).select(["lang", "phrase", "count"])
+        return pa.Table.from_batches(found, _ROWS).select(["phrase", "count"])
 
     with staging(spark) as put:
         indexes = put(chosen.mapInArrow(build, _INDEX), "phrase-index")
         counted = indexes.select(*_INDEX_COLUMNS).mapInArrow(pairs, _ROWS_DDL)
-        same = Window.partitionBy("phrase", "lang")
-        counted = counted.select("*", F.sum("count").over(same).alias("f"), F.min("shard").over(same).alias("first"))
+        same = Window.partitionBy("phrase")
+        counted = counted.select("*", F.sum("count").over(same).alias("f"), F.min("at").over(same).alias("first"))
         short = put(counted.where(F.col("f") >= least).drop("count"), "phrase-pairs")
-        totals = short.where("shard = first").select("lang", "phrase", "f")
+        totals = short.where("at = first").select("phrase", "f")
         if longest > 2:
-            marks = short.where(F.col("place").isNotNull()).select("shard", "place")
+            place = F.col("at") % _PLACES
+            marks = short.where(place < _PLACES - 1).select((F.col("at") - place).alias("shard"), place.alias("place"))
             grown = indexes.select(*_INDEX_COLUMNS).groupBy("shard").cogroup(marks.groupBy("shard"))
-            grown = grown.applyInArrow(longer, "lang string, phrase string, count long")
-            grown = grown.groupBy("lang", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
+            grown = grown.applyInArrow(longer, "phrase string, count long")
+            grown = grown.groupBy("phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
             totals = totals.union(grown)
-        totals = put(totals, "phrase-totals")
+        words = F.substring_index("phrase", "\n", 1)
+        lang = F.substr("phrase", F.length(words) + 2)
+        totals = put(totals.select(lang.alias("lang"), words.alias("phrase"), "f"), "phrase-totals")
         sizes = indexes.select(F.explode(F.arrays_zip("groups", "totals")).alias("s")).groupBy(F.col("s.groups").alias("lang"))
         sizes = sizes.agg(F.sum("s.totals").alias("n"))
         scored = _scored(totals, sizes)
@@ -302,8 +307,11 @@ _INDEX_SCHEMA = pa.schema(
     ]
 )
 _INDEX_COLUMNS = ["shard", "size", "left_words", "right_words", "weights", "groups", "words", "group_of"]
-_ROWS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("shard", pa.int64()), ("place", pa.int32()), ("count", pa.int64())])
-_ROWS_DDL = "lang string, phrase string, shard long, place int, count long"
+#: A phrase and, after a line end, its language; the shard's number plus the place among its pairs, or the last place for words.
+_ROWS = pa.schema([("phrase", pa.string()), ("at", pa.int64()), ("count", pa.int64())])
+_ROWS_DDL = "phrase string, at long, count long"
+_PLACES = 1 << 24
+#: Rows of a batch, and rows of a transform that are looked at together.
 _BATCH = 1 << 17
 
 
@@ -325,13 +333,13 @@ class _Index:
         self._texts = {side: _unpacked(one[f"{side}_words"], np.int32, size) for side in ("left", "right")}
         #: Rows by the id before them: where each id before a row stands as a row itself.
         self._steps = {side: _places(ids) for side, ids in self._texts.items()}
-        self._first = np.concatenate(([0], np.cumsum(np.bincount(self._texts["left"]))))
+        self._first = np.concatenate(([0], np.cumsum(np.bincount(self._texts["left"])))).astype(np.int32)
         weights = _unpacked(one["weights"], np.int8, size) if one["weights"] else None
         self._weights = None if weights is None else np.concatenate(([0], np.cumsum(weights, dtype=np.int64)))
         self._words, self._groups, self._group_of = (_values(row.column(name)) for name in ("words", "groups", "group_of"))
 
     def words(self) -> _Phrases:
-        ids = np.arange(1, len(self._first) - 1)
+        ids = np.arange(1, len(self._first) - 1, dtype=np.int32)
         return _Phrases([ids], self._first[ids], self._first[ids], self._first[ids + 1] - self._first[ids])
 
     def pairs(self) -> _Phrases:
@@ -345,7 +353,7 @@ class _Index:
         for side, starts in (("left", pairs.left), ("right", pairs.right)):
             step = np.zeros(len(self._texts[side]) + 1, np.int32)
             step[starts] += 1
-            step[starts + pairs.size] -= 1
+            step[starts + pairs.size] -= 1  # intervals of one length are apart, so no place is met twice
             among[side] = np.cumsum(step) > 0
         phrases = pairs
         for length in range(3, longest + 1):
@@ -361,6 +369,18 @@ class _Index:
         The rows of an interval, by the word before them, are the new intervals there; in the other transform
         they part the old interval in the order of that word.
         """
+        if not len(phrases.size):
+            return _Phrases([*phrases.ids, phrases.ids[0]], *phrases[1:])
+        parts = np.cumsum(phrases.size) // _BATCH
+        cuts = np.flatnonzero(np.diff(parts)) + 1
+        found = [
+            self._extended(_Phrases([i[a:b] for i in phrases.ids], *(c[a:b] for c in phrases[1:])), side)
+            for a, b in zip([0, *cuts], [*cuts, len(parts)])
+        ]
+        ids = [np.concatenate(i) for i in zip(*(f.ids for f in found))]
+        return _Phrases(ids, *(np.concatenate(c) for c in zip(*(f[1:] for f in found))))
+
+    def _extended(self, phrases: _Phrases, side: str) -> _Phrases:
         here, there = (phrases.left, phrases.right) if side == "left" else (phrases.right, phrases.left)
         begin = np.cumsum(phrases.size) - phrases.size
         of = np.repeat(np.arange(len(here)), phrases.size)
@@ -369,18 +389,18 @@ class _Index:
         keys = of * kinds + self._texts[side][rows]
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
-        heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else order
+        heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         sizes = np.diff(np.append(heads, len(keys)))
         parent, word = np.divmod(keys[heads], kinds)
         new_here = self._steps[side][rows[order[heads]]]
         new_there = there[parent] + heads - begin[parent]
         real = word > 0
         ids = [i[parent[real]] for i in phrases.ids]
-        ids = [word[real], *ids] if side == "left" else [*ids, word[real]]
+        ids = [word[real].astype(np.int32), *ids] if side == "left" else [*ids, word[real].astype(np.int32)]
         both = (new_here, new_there) if side == "left" else (new_there, new_here)
-        return _Phrases(ids, both[0][real], both[1][real], sizes[real])
+        return _Phrases(ids, *(c[real].astype(np.int32) for c in (*both, sizes)))
 
-    def rows(self, phrases: _Phrases, with_place: bool = False) -> Iterator[pa.RecordBatch]:
+    def rows(self, phrases: _Phrases, at: bool = False) -> Iterator[pa.RecordBatch]:
         counts = phrases.size
         if self._weights is not None:
             counts = self._weights[phrases.left + phrases.size] - self._weights[phrases.left]
@@ -388,18 +408,18 @@ class _Index:
             some = slice(first, first + _BATCH)
             # a pair that counts nothing here may still stand in a longer phrase over a cut, so its place is sent
             there = np.arange(first, min(first + _BATCH, len(counts)))
-            there = there if with_place else there[counts[some] != 0]
+            there = there if at else there[counts[some] != 0]
             words = [self._words.take(pa.array(i[there] - 1)) for i in phrases.ids]
             lang = self._groups.take(self._group_of.take(pa.array(phrases.ids[0][there] - 1)))
             text = pc.binary_join_element_wise(*words, " ") if len(words) > 1 else words[0]
-            place = pa.array(there.astype(np.int32)) if with_place else pa.nulls(len(there), pa.int32())
-            shard = pa.array(np.full(len(there), self.shard))
-            yield pa.RecordBatch.from_arrays([lang, text, shard, place, pa.array(counts[there].astype(np.int64))], schema=_ROWS)
+            text = pc.binary_join_element_wise(text, lang, "\n")
+            place = self.shard + (there if at else np.full(len(there), _PLACES - 1))
+            yield pa.RecordBatch.from_arrays([text, pa.array(place, pa.int64()), pa.array(counts[there], pa.int64())], schema=_ROWS)
 
 
 def _places(ids: np.ndarray) -> np.ndarray:
-    out = np.empty(len(ids), np.int64)
-    out[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    out = np.empty(len(ids), np.int32)
+    out[np.argsort(ids, kind="stable")] = np.arange(len(ids), dtype=np.int32)
     return out
 
 
