@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from broadsheet.checks.queries import CAP, END, MATRIX_TERMS, START
+from broadsheet.checks.queries import CAP, END, MATRIX_TERMS, SKIPPING, START, WORD
 from broadsheet.functions.text import SPACE_CLASS
 from broadsheet.functions.tokens import STOPWORDS
 
@@ -489,5 +489,16 @@ entered AS (
         "stream_search": f"{found} SELECT article_id, date, page, url, year FROM found",
         "stream_search_cap": f"""{found}
             SELECT year, least(count(*), {CAP}) AS kept FROM found GROUP BY year""",
+        "stream_search_early_stop": f"""WITH {ARTICLES} SELECT CAST(substr(date, 1, 4) AS INTEGER) AS year, 1::BIGINT AS kept
+            FROM articles WHERE date BETWEEN '{START}' AND '{END}' GROUP BY 1""",
+        "stream_progress": f"""WITH {ARTICLES}, hits AS (
+                SELECT article_id FROM articles WHERE date BETWEEN '{START}' AND '{END}' AND contains(lower(article), '{WORD}'))
+            SELECT CAST(substr(date, 1, 4) AS INTEGER) AS year, count(*) AS read,
+                   count(*) FILTER (article_id IN (SELECT article_id FROM hits)) AS matched
+            FROM articles WHERE substr(date, 1, 4) BETWEEN '{START[:4]}' AND '{END[:4]}' GROUP BY 1""",
+        "search_skipping": " UNION ALL ".join(
+            f"""SELECT '{term}' AS term, article_id, date, article, CAST(substr(date, 1, 4) AS INTEGER) AS year FROM articles
+                WHERE date BETWEEN '{START}' AND '{END}' AND contains(lower(article), '{term}')""" for term in SKIPPING
+        ).replace("SELECT", f"WITH {ARTICLES} SELECT", 1),
     }
     return sql

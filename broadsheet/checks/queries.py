@@ -28,7 +28,8 @@ from broadsheet.sources.corpus import available_years, read_corpus, year_ranges
 from broadsheet.sources.features import feature_rows, points, read_features
 from broadsheet.sources.payloads import read_results, run_metadata
 from broadsheet.sources.tables import last_titles, read_locations, read_table, read_titles
-from broadsheet.streaming.search import read_capped, stream_search, stream_search_capped
+from broadsheet.sources.skipping import read_matching_corpus, update_text_index
+from broadsheet.streaming.search import read_capped, read_progress, stream_search, stream_search_capped
 
 START, END = "1900-06-01", "1902-05-31"
 WORD, PHRASE = "tion", "of the"
@@ -610,6 +611,25 @@ def metrics_read_back(spark, sf):
     return read_table(spark, path, "collocate_term string, frequency long")
 
 
+#: Found in few files, in many, in none; and too short for the index.
+SKIPPING = ["apache license", WORD, "zzz-absent", "of"]
+
+
+@query
+def search_skipping(spark, sf):
+    """The index is built over files of 100 articles; each search opens those that can hold its term."""
+    path, index = scratch_path(spark, "corpus"), scratch_path(spark, "text-index")
+    rows = views.articles(spark, sf).drop("newspaper_name").withColumn("year", F.substring("date", 1, 4).cast("int"))
+    rows.repartition("year").write.option("maxRecordsPerFile", 100).partitionBy("year").parquet(path)
+    update_text_index(spark, path, index)
+    found = None
+    for term in SKIPPING:
+        read = read_matching_corpus(spark, path, index, term, 1900, 1902)
+        hits = search.search(read, term, START, END).select(F.lit(term).alias("term"), "article_id", "date", "article", "year")
+        found = hits if found is None else found.unionAll(hits)
+    return found
+
+
 # --- streaming ----------------------------------------------------------------------------
 
 
@@ -638,3 +658,31 @@ def stream_search_cap(spark, sf):
     )
     run.awaitTermination()
     return read_capped(spark, out).groupBy("year").agg(F.count("*").alias("kept"))
+
+
+@query
+def stream_search_early_stop(spark, sf):
+    """One match a year is enough, and files that come after that can't be read: the stream ends without opening them."""
+    corpus, out = _stream_corpus(spark, sf), scratch_path(spark, "stream-out")
+    state, ask = scratch_path(spark, "stream-state"), ("", START, END, 1)
+    stream_search_capped(spark, corpus, out, state, *ask).awaitTermination()
+    broken = spark._jvm.org.apache.hadoop.fs.Path(f"{corpus}/unreadable_1901.parquet")
+    file = broken.getFileSystem(spark._jsc.hadoopConfiguration()).create(broken)
+    file.writeBytes("not Parquet")
+    file.close()
+    run = stream_search_capped(spark, corpus, out, state, *ask, once=False)
+    run.awaitTermination(120)
+    return read_capped(spark, out).groupBy("year").agg(F.count("*").alias("kept")).where(F.lit(not run.isActive))
+
+
+@query
+def stream_progress(spark, sf):
+    """What the batches of a search have read and matched, added up."""
+    path, out = scratch_path(spark, "stream-corpus"), scratch_path(spark, "stream-out")
+    rows = views.articles(spark, sf).drop("newspaper_name").withColumn("year", F.substring("date", 1, 4).cast("int"))
+    rows.repartition(4).write.partitionBy("year").parquet(path)
+    steps, state = scratch_path(spark, "stream-steps"), scratch_path(spark, "stream-state")
+    run = stream_search(spark, path, out, state, WORD, START, END, files_per_batch=2, progress=steps)
+    run.progress_table.finish(run)
+    done = read_progress(spark, steps)
+    return done.groupBy("year").agg(F.sum("read").alias("read"), F.sum("matched").alias("matched"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions.dates import day_range
@@ -12,6 +12,12 @@ from broadsheet.schemas import ARTICLE_COLUMNS
 from broadsheet.sources.tables import last_titles
 
 
+def is_match(term: str, start: str, end: str) -> Column:
+    """Whether a row is in the inclusive date range and its text holds the term as a literal substring."""
+    lo, hi = day_range(start, end)
+    return F.coalesce(F.col("date").between(lo, hi) & contains_term(F.col("article"), term), F.lit(False))
+
+
 def matching(corpus: DataFrame, term: str, start: str, end: str) -> DataFrame:
     """Rows in the inclusive date range whose text holds the term as a literal substring.
 

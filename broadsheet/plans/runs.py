@@ -25,6 +25,7 @@ from broadsheet.sinks.results import (
 from broadsheet.sources.corpus import read_corpus
 from broadsheet.sources.features import points as as_points
 from broadsheet.sources.payloads import run_metadata
+from broadsheet.sources.skipping import read_matching_corpus
 
 
 def search_run(
@@ -38,20 +39,22 @@ def search_run(
     titles: DataFrame | None = None,
     cap: int | None = None,
     per_year: bool = False,
+    index: str | None = None,
     mode: str = "errorifexists",
     **cleaning: bool,
 ) -> str | None:
     """Search a corpus folder and write the matches as JSON lines, with a manifest beside them.
 
+    With ``index``, the folder of a text index (see ``sources/skipping.py``), only files that can hold the term are read.
+
     Without a match nothing is written and the result is None, unless ``per_year``: then the
     manifest lists every searched year, zero counts included. The corpus is scanned once: the
     matches are staged and both outputs read the staged rows.
     """
     lo, hi = day_range(start, end)
-    found = search.search(
-        read_corpus(spark, corpus, int(lo[:4]), int(hi[:4])),
-        term, lo, hi, cap=cap, titles=titles, **cleaning,
-    )
+    years = int(lo[:4]), int(hi[:4])
+    rows = read_matching_corpus(spark, corpus, index, term, *years) if index else read_corpus(spark, corpus, *years)
+    found = search.search(rows, term, lo, hi, cap=cap, titles=titles, **cleaning)
     with staging(spark) as put:
         found = put(found, "matches")
         if not per_year and found.isEmpty():
