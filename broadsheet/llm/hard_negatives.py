@@ -16,6 +16,9 @@ from broadsheet.runtime import stage, staging
 BLOCK_ROWS = 1 << 13
 BLOCK_ANCHORS = 1 << 10
 
+#: Neighbouring dimensions that share one list of the index.
+RUN = 8
+
 #: Share of the threshold that is left after each lowering.
 LOWERING = 0.85
 
@@ -53,9 +56,9 @@ def hard_negatives(
     cent of the positive's; all, if there are fewer, which includes none.
 
     Rows are dealt into blocks of some ``block_rows``, and each task looks some ``block_anchors`` up in one block.
-    A block has an inverted index by dimension. A list holds only rows whose remaining norm from that dimension on,
-    times the anchor's, reaches the threshold: what is left out can't lift a score to it. Partial scores are added up
-    from the lists, rows that their remaining norms can't lift to the threshold are dropped, the rest is scored in
+    A block has an inverted index by runs of dimensions. A list holds only rows whose remaining norm from its first
+    dimension on, times the anchor's, reaches the threshold: what is left out can't lift a score to it. Partial scores are added
+    up from the lists, rows that their remaining norms can't lift to the threshold are dropped, the rest is scored in
     whole. The threshold falls until each window has its rows or its lower end is reached; the lists are in
     order of those norms, so a lower threshold reads on where the last one stopped. First rows of blocks are merged by
     Spark. Every anchor meets every block: the results are exact, no neighbour is estimated.
@@ -177,16 +180,27 @@ class _Block:
         self._turn = np.empty(len(self.rows), np.int64)
         self._turn[np.lexsort((self.rows, self.ids.fill_null(0).to_numpy(), unknown))] = np.arange(len(self.rows))
         self._dims = np.argsort(-(vectors.astype(float) ** 2).sum(0), kind="stable")
-        self._columns = np.ascontiguousarray(vectors[:, self._dims].T)
-        self._norms = _remaining(self._columns)
-        #: For each dimension the rows by their norm from there on, greatest first, and those norms with their signs turned.
-        self._lists = np.argsort(-self._norms[:-1], axis=1, kind="stable")
-        self._bounds = -np.take_along_axis(self._norms[:-1], self._lists, 1)
-        #: Products and sums of whole numbers below 2^53 are exact in floating point, which is faster.
-        exact = self._norms[0].max(initial=0) < 2.0**26
-        self._fast = self._columns.astype(float) if exact else self._columns
+        vectors = vectors[:, self._dims]
+        #: Lists are of runs of dimensions; a last run of zeros counts nothing.
+        self.runs = [slice(d, d + RUN) for d in range(0, vectors.shape[1], RUN)]
+        self.norms = _remaining(vectors)
+        #: For each run the rows by their norm from there on, greatest first, and those norms with their signs turned.
+        self.lists = np.argsort(-self.norms[:-1], axis=1, kind="stable")
+        self.bounds = -np.take_along_axis(self.norms[:-1], self.lists, 1)
+        # Products and sums of whole numbers below 2^53 are exact in floating point, which is faster.
+        self.kind = np.dtype(float if self.norms[0].max(initial=0) < 2.0**26 else np.int64)
+        self._by_row = [np.ascontiguousarray(vectors[:, run], self.kind) for run in self.runs]
+        self._by_dim = [np.ascontiguousarray(part.T) for part in self._by_row]
         self._last_limit = np.inf
 
+    def product(self, run: int, rows: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """Scores of some rows over one run of dimensions, of the type of ``part``."""
+        if part.dtype != self.kind:
+            return self._by_row[run][rows].astype(part.dtype) @ part
+        if 4 * len(rows) > len(self.rows):
+            return (part @ self._by_dim[run])[rows]
+        return self._by_row[run][rows] @ part
+
     def filled(self, vector: np.ndarray, allowed: np.ndarray, windows: list, n: int) -> Iterator[tuple]:
         """The first ``n`` allowed rows in each window of scores; ends may be open."""
         query = np.zeros(max(len(vector), len(self._dims)), np.int64)
@@ -195,7 +209,7 @@ class _Block:
         lowest = min((w[1] for w in windows if w[1] is not None), default=None)
         top = max((float(w[2]) for w in windows if w[2] is not None), default=search.most)
         # any limit to start from is right; the one that filled the last windows saves steps
-        limit, waiting = min(search.most, top, self._last_limit / LOWERING**2), list(windows)
+        limit, waiting = min(search.most, top, self._last_limit / LOWERING**1.5), list(windows)
         while waiting:
             limit = limit * LOWERING if limit >= 1 else -np.inf
             if lowest is not None and limit <= lowest:
@@ -219,62 +233,53 @@ class _Search:
     """Partial scores of a block's rows with one vector, carried on as the limit falls."""
 
     def __init__(self, block: _Block, query: np.ndarray, allowed: np.ndarray):
-        self._block, self._query, self._allowed = block, query, np.flatnonzero(allowed)
-        self._own = _remaining(query[:, None])[:, 0] * _SLACK
-        self.most = float(block._norms[0].max(initial=0) * self._own[0])
+        self._block, self._allowed = block, np.flatnonzero(allowed)
+        self._own = _remaining(query[None])[:, 0] * _SLACK
+        self.most = float(block.norms[0].max(initial=0) * self._own[0])
+        kind = block.kind if self._own[0] < 2.0**26 else np.dtype(np.int64)
+        self._query = [query[run].astype(kind) for run in block.runs]
         size = len(block.rows)
-        self._partial, self._added = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        #: Scores over the first runs of each row, and how many those are.
+        self.partial, self.added = np.zeros(size, kind), np.zeros(size, np.int64)
         self._open = np.zeros(size, bool)
-        self._fast = block._fast if self._own[0] < 2.0**26 else block._columns
-
-    def _begin(self, limit: float) -> None:
-        """Leading lists that hold every row are added at once."""
-        shortest = -self._block._bounds[:, -1] * self._own[:-1]
-        whole = int(np.argmax(np.append(shortest, -np.inf) < limit)) if limit > -np.inf else len(shortest)
-        part = self._query[:whole].astype(self._fast.dtype) @ self._fast[:whole]
-        self._partial[:], self._added[:] = part.astype(np.int64), whole
 
     def _may_reach(self, rows: np.ndarray, limit: float) -> np.ndarray:
         """Of ``rows`` those that their remaining norms can lift to the limit."""
-        at = self._added[rows]
-        return rows[self._partial[rows] + self._block._norms[at, rows] * self._own[at] >= limit]
+        at = self.added[rows]
+        return rows[self.partial[rows] + self._block.norms[at, rows] * self._own[at] >= limit]
+
+    def _in_list(self, run: int, rows: np.ndarray, limit: float) -> np.ndarray:
+        """Of ``rows`` those in the list of a run whose turn it is; found from the shorter side."""
+        block, stop = self._block, len(self._block.rows)
+        if limit > 0:
+            stop = int(np.searchsorted(block.bounds[run], -limit / self._own[run], "right")) if self._own[run] else 0
+        if stop < len(rows):
+            here = block.lists[run, :stop]
+            return here[self._open[here] & (self.added[here] == run)]
+        here = rows[self.added[rows] == run]
+        if stop < len(block.rows):
+            here = here[-block.norms[run, here] <= block.bounds[run, stop - 1]]
+        return here
 
     def at_least(self, limit: float) -> tuple[np.ndarray, np.ndarray]:
         """All allowed rows that score ``limit`` or more, and their scores."""
-        block, partial, added = self._block, self._partial, self._added
-        if not added.any():
-            self._begin(limit)
+        block = self._block
         rows = self._may_reach(self._allowed, limit)
-        self._open[rows] = True
-        first = int(added[rows].min(initial=len(self._query)))
-        for d, value in list(enumerate(self._query))[first:]:
-            if d > first and d % 4 == 0:
-                self._open[rows] = False
-                rows = self._may_reach(rows, limit)
-                self._open[rows] = True
-            stop = len(block.rows)
-            if limit > 0:
-                stop = int(np.searchsorted(block._bounds[d], -limit / self._own[d], "right")) if self._own[d] else 0
-            if not stop or not len(rows):
+        for run in range(int(self.added[rows].min(initial=len(block.runs))), len(block.runs)):
+            self._open[rows] = True
+            here = self._in_list(run, rows, limit)
+            self._open[rows] = False
+            if not len(here):
                 break
-            # the shorter of the list and the rows still open
-            if stop < len(rows):
-                here = block._lists[d, :stop]
-                here = here[self._open[here] & (added[here] == d)]
-            else:
-                here = rows[added[rows] == d]
-                if stop < len(block.rows):
-                    here = here[-block._norms[d, here] <= block._bounds[d, stop - 1]]
-            partial[here] += value * block._columns[d, here]
-            added[here] += 1
-        self._open[rows] = False
-        rows = self._may_reach(rows, limit)
-        scores = partial[rows]
-        for d in range(int(added[rows].min(initial=len(self._query))), len(self._query)):
-            behind = added[rows] <= d
-            scores[behind] += self._query[d] * block._columns[d, rows[behind]]
+            self.partial[here] += block.product(run, here, self._query[run])
+            self.added[here] = run + 1
+            rows = self._may_reach(rows, limit)
+        scores = self.partial[rows]
+        for run in range(int(self.added[rows].min(initial=len(block.runs))), len(block.runs)):
+            behind = self.added[rows] <= run
+            scores[behind] += block.product(run, rows[behind], self._query[run])
         enough = scores >= limit
-        return rows[enough], scores[enough]
+        return rows[enough], scores[enough].astype(np.int64)
 
 
 def _one(column: pa.ChunkedArray) -> pa.Array:
@@ -282,8 +287,11 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
     return chunk.chunk(0) if isinstance(chunk, pa.ChunkedArray) else chunk
 
 
-def _remaining(columns: np.ndarray) -> np.ndarray:
-    """Norms of each vector, a column, from each dimension on; the last one is zero."""
-    out = np.zeros((len(columns) + 1, columns.shape[1]))
-    out[:-1] = np.sqrt(np.cumsum(columns[::-1].astype(float) ** 2, axis=0)[::-1])
+def _remaining(vectors: np.ndarray) -> np.ndarray:
+    """Norms of each vector from each run on; the last one is zero."""
+    starts = np.arange(0, vectors.shape[1], RUN)
+    out = np.zeros((len(starts) + 1, len(vectors)))
+    if len(starts):
+        squares = np.add.reduceat(vectors.astype(float) ** 2, starts, axis=1)
+        out[:-1] = np.sqrt(np.cumsum(squares[:, ::-1], axis=1)[:, ::-1]).T
     return out
