@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from broadsheet.runtime import local_table, stage
+
 
 def rank_by_frequency(
     counts: DataFrame,
@@ -12,42 +18,36 @@ def rank_by_frequency(
     frequency: str,
     term: str,
     out: str,
-    lead: int = 3,
+    *,
+    put: Callable[[DataFrame, str], DataFrame] = stage,
 ) -> DataFrame:
     """1..n inside each group by frequency descending, then term ascending.
 
     A window over a whole group would sort that group in one task, and a vocabulary of scanned
-    text has no useful bound. The order is cut into buckets of equal frequency and equal first
-    ``lead`` characters, each numbered by itself and shifted by the rows ahead of it. Those are
-    counted in three steps, none of which sees more than one class of a group: buckets of the same
-    frequency, other frequencies of as many binary digits, and frequencies of more digits.
+    text has no useful bound. Here rows are dealt to tasks by ranges of (group, frequency, term), whose ends
+    Spark draws from a sample of the rows, so a large group, a frequent count or a common beginning of
+    terms is split like any other stretch of rows. Each task sorts its range and numbers it after
+    the rows of the tasks ahead; a group begins with its least number. The sorted rows are written
+    to the shared folder once, because a second look must see the same ranges; ``put`` of a run's
+    ``staging`` removes them with the run.
     """
-    of_class, of_frequency = [*group, "_class"], [*group, "_class", frequency]
-    bucket = [*of_frequency, "_lead"]
-    keyed = counts.withColumn("_lead", F.substring(term, 1, lead))
-    keyed = keyed.withColumn("_class", F.length(F.bin(F.col(frequency).cast("long"))))
-    before = (Window.unboundedPreceding, -1)
-    sizes = keyed.groupBy(*bucket).agg(F.count("*").alias("_size"))
-    in_frequency = Window.partitionBy(*of_frequency).orderBy("_lead").rowsBetween(*before)
-    leads = sizes.select(*bucket, F.coalesce(F.sum("_size").over(in_frequency), F.lit(0)).alias("_a"))
-    totals = sizes.groupBy(*of_frequency).agg(F.sum("_size").alias("_n"))
-    in_class = Window.partitionBy(*of_class).orderBy(F.desc(frequency)).rowsBetween(*before)
-    frequencies = totals.select(*of_frequency, F.coalesce(F.sum("_n").over(in_class), F.lit(0)).alias("_b"))
-    # At most 64 classes: each adds its rows to every class below it.
-    classes = totals.groupBy(*of_class).agg(F.sum("_n").alias("_n"))
-    lower = F.explode(F.sequence(F.lit(0), F.col("_class") - 1)).alias("_class")
-    classes = classes.select(*group, lower, "_n").groupBy(*of_class).agg(F.sum("_n").alias("_c"))
-    shifts = leads.join(frequencies, of_frequency).join(classes, of_class, "left")
-    shifts = shifts.select(*bucket, (F.col("_a") + F.col("_b") + F.coalesce("_c", F.lit(0))).alias("_shift"))
-    inside = Window.partitionBy(*bucket).orderBy(term)
-    return (
-        keyed.withColumn("_place", F.row_number().over(inside))
-        # A left join, as an inner one would filter this side for nulls and so stop Spark from
-        # sharing the shuffled counts between the two sides.
-        .join(shifts, bucket, "left")
-        .withColumn(out, (F.col("_place") + F.col("_shift")).cast("long"))
-        .drop("_lead", "_class", "_place", "_shift")
-    )
+    spark = counts.sparkSession
+    in_order = [*group, F.desc(frequency), F.asc(term)]
+    ranged = counts.repartitionByRange(*in_order).sortWithinPartitions(*in_order)
+    ranged = put(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    # The upper part of the number is the task's. A row per task comes to the driver, which knows its tasks.
+    task = F.shiftright("_at", 33).cast("int").alias("_task")
+    counted = sorted(tuple(row) for row in ranged.groupBy(task).agg(F.count("*")).collect())
+    before = accumulate((n for _, n in counted), initial=0)
+    ahead = local_table(spark, [(t, b) for (t, _), b in zip(counted, before)], _task=pa.int32(), _ahead=pa.int64())
+    place = F.col("_at") - F.shiftleft(F.col("_task").cast("long"), 33) + F.col("_ahead") + 1
+    placed = ranged.withColumn("_task", task).join(ahead, "_task").withColumn("_place", place)
+    if not group:
+        return placed.select(*counts.columns, F.col("_place").cast("long").alias(out))
+    first = placed.groupBy(*(F.col(g).alias(f"_of_{i}") for i, g in enumerate(group))).agg(F.min("_place").alias("_first"))
+    same = [F.col(g).eqNullSafe(F.col(f"_of_{i}")) for i, g in enumerate(group)]
+    rank = F.col("_place") - F.col("_first") + 1
+    return placed.join(first, same).select(*counts.columns, rank.cast("long").alias(out))
 
 
 def first_rows(

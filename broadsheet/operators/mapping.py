@@ -10,7 +10,7 @@ import datetime as dt
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions.dates import (
@@ -254,26 +254,47 @@ def heat_frames(
 
     Equal places are added up per frame, with ``points``, so the layer has one row per place and
     frame. ``per_point`` repeats every point for each frame it is shown in. Undated points are in no frame.
+
+    Places are not repeated per day and frame to be added up: a day's points come at one frame and go at
+    another, and what is shown between is the running sum of both, as whole numbers of points. All
+    points of one place weigh the same, as they are in one group.
     """
     frames, spans = frame_spans(
         points, unit=unit, size=size, linger_unit=linger_unit, linger=linger
     )
-    dated = points.where(F.col("day").isNotNull())
-    weighted = _weighted(dated, groups, multiplier)
-    if not per_point:
-        weighted = weighted.groupBy("lat", "lon", "day").agg(
-            F.sum("weight").alias("weight"), F.count("*").alias("points")
+    weighted = _weighted(points.where(F.col("day").isNotNull()), groups, multiplier)
+    if per_point:
+        shown = weighted.join(spans, "day").withColumn(
+            "frame_no", F.explode(F.sequence("first_frame", "last_frame"))
         )
-    shown = (
-        weighted.join(spans, "day")
-        .withColumn("frame_no", F.explode(F.sequence("first_frame", "last_frame")))
-        .join(frames, "frame_no")
+        return shown.join(frames, "frame_no").select("frame_no", "frame_time", "lat", "lon", "weight")
+    days = weighted.groupBy("lat", "lon", "day").agg(F.max("weight").alias("weight"), F.count("*").alias("n"))
+    events = days.join(spans, "day").select(
+        "lat",
+        "lon",
+        "weight",
+        F.inline(
+            F.array(
+                F.struct(F.col("first_frame").alias("frame"), F.col("n").alias("change")),
+                F.struct((F.col("last_frame") + 1).alias("frame"), (-F.col("n")).alias("change")),
+            )
+        ),
     )
-    if per_point:
-        return shown.select("frame_no", "frame_time", "lat", "lon", "weight")
-    return shown.groupBy("frame_no", "frame_time", "lat", "lon").agg(
-        F.sum("weight").alias("weight"), F.sum("points").alias("points")
+    changes = events.groupBy("lat", "lon", "frame").agg(F.max("weight").alias("weight"), F.sum("change").alias("change"))
+    # A place has no more events than there are frames, and one more.
+    in_order = Window.partitionBy("lat", "lon").orderBy("frame")
+    steps = changes.select(
+        "lat",
+        "lon",
+        "weight",
+        F.sum("change").over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("points"),
+        F.col("frame").alias("_from"),
+        (F.lead("frame").over(in_order) - 1).alias("_to"),
     )
+    shown = steps.where((F.col("points") > 0) & (F.col("_to") >= F.col("_from")))
+    shown = shown.withColumn("frame_no", F.explode(F.sequence("_from", "_to"))).join(frames, "frame_no")
+    weight = (F.col("weight") * F.col("points")).alias("weight")
+    return shown.select("frame_no", "frame_time", "lat", "lon", weight, "points")
 
 
 def map_clusters(groups: DataFrame, zoom: int = 4, normalized: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from broadsheet.functions.dates import as_day, bin_edges
 from broadsheet.functions.ranking import rank_by_frequency
 from broadsheet.operators.collocation import Options, context_terms
-from broadsheet.runtime import local_table
+from broadsheet.runtime import local_table, stage
 
 
 def day_spans(spark: SparkSession, spans: list[tuple], **types: pa.DataType) -> DataFrame:
@@ -67,6 +68,7 @@ def collocates_by_time(
     *,
     start: str | None = None,
     end: str | None = None,
+    put: Callable[[DataFrame, str], DataFrame] = stage,
 ) -> DataFrame:
     """``time_bin, collocate_term, frequency, ordinal_rank``; empty bins do not appear.
 
@@ -84,5 +86,5 @@ def collocates_by_time(
         .groupBy("time_bin", "collocate_term")
         .agg(F.count("*").alias("frequency"))
     )
-    ranked = rank_by_frequency(counts, ["time_bin"], "frequency", "collocate_term", "ordinal_rank")
+    ranked = rank_by_frequency(counts, ["time_bin"], "frequency", "collocate_term", "ordinal_rank", put=put)
     return ranked.select("time_bin", "collocate_term", "frequency", "ordinal_rank")

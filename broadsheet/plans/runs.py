@@ -147,7 +147,7 @@ def collocation_run(
             size, unit = parse_bin(time_bin)
             seen = {} if start and end else dates.get
             by_time = collocates_by_time(
-                hits, term, size, unit, options, start=start or seen["start"], end=end or seen["end"]
+                hits, term, size, unit, options, start=start or seen["start"], end=end or seen["end"], put=put
             )
             by_time = collocation.drop_collocates(by_time, drop_terms)
             write_table(by_time.orderBy("time_bin", "ordinal_rank"), paths["by_time"], mode)

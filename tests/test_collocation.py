@@ -120,9 +120,16 @@ def test_the_rate_does_not_read_the_text_twice(rows, spark, tmp_path):
 def test_ranks_tokenize_once(rows, spark, tmp_path):
     rows(corpus(), SCHEMA).write.parquet(str(tmp_path / "a"))
     articles = collocation.filter_articles(spark.read.parquet(str(tmp_path / "a")))
-    by_time = collocates_by_time(articles, "bank", 1, "months", start="1900-01-01", end="1902-12-31")
+    plans = []
+
+    def put(df, label):
+        plans.append(executed_plan(df).split("Initial Plan")[0])
+        return stage(df, label)
+
+    by_time = collocates_by_time(articles, "bank", 1, "months", start="1900-01-01", end="1902-12-31", put=put)
+    assert len(plans) == 1 and plans[0].count("FileScan") == 1
     final = executed_plan(by_time).split("Initial Plan")[0]
-    assert final.count("FileScan") == 1 and "ReusedExchange" in final
+    assert "FileScan" in final and "article" not in final
 
 
 def test_hits_are_carried_without_text(rows):
