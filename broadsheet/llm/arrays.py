@@ -100,7 +100,8 @@ def _power_tables(length: int) -> list[np.ndarray]:
 class RangeHashes:
     """64-bit hashes of any byte ranges of one array, from a running sum of byte times power.
 
-    Equal bytes give equal hashes wherever they stand; the length is mixed in.
+    Equal bytes give equal hashes wherever they stand; the length is mixed in. Different bytes may have one hash, and
+    such pairs are easily written, so where equality counts ``distinct_ranges`` compares the bytes too.
     """
 
     def __init__(self, data: np.ndarray):
@@ -113,6 +114,35 @@ class RangeHashes:
         return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(_PRIME))
 
 
+def distinct_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each kind of byte ranges, and for each range the number of its kind; equal bytes are one kind.
+
+    Hashes only bring candidates together. Every range is compared byte by byte with the first one of its
+    hash; the few that differ are told apart by their bytes.
+    """
+    _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    model, sizes = first[kind], ends - starts
+    apart = sizes != sizes[model]
+    check = np.flatnonzero(~apart & (model != np.arange(len(model))))
+    begin = np.cumsum(sizes[check]) - sizes[check]
+    offset = np.arange(int(sizes[check].sum())) - np.repeat(begin, sizes[check])
+    mine = data[np.repeat(starts[check], sizes[check]) + offset]
+    other = data[np.repeat(starts[model[check]], sizes[check]) + offset]
+    unlike = np.flatnonzero(mine != other)
+    apart[check[np.searchsorted(begin, unlike, "right") - 1]] = True
+    if apart.any():
+        numbers: dict[bytes, int] = {}
+        added = []
+        for i in np.flatnonzero(apart).tolist():
+            raw = data[starts[i] : ends[i]].tobytes()
+            if raw not in numbers:
+                numbers[raw] = len(first) + len(added)
+                added.append(i)
+            kind[i] = numbers[raw]
+        first = np.append(first, added)
+    return first, kind
+
+
 def fold(hashes: list[np.ndarray]) -> np.ndarray:
     """One hash of each row of several hash columns, order included."""
     out = np.zeros(len(hashes[0]), np.uint64)

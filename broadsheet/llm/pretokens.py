@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 from tokenizers import Tokenizer
 
-from broadsheet.llm.arrays import RangeHashes, Texts, text_of
+from broadsheet.llm.arrays import RangeHashes, Texts, distinct_ranges, text_of
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNKNOWN = range(5)
 #: A worker forgets its pre-tokens beyond this many; they are then encoded again when met.
@@ -55,8 +55,7 @@ class BytePairs:
         return [t.id for t in self.library.model.tokenize(piece.decode("latin-1").translate(self._letters))]
 
     def _forget(self) -> None:
-        self._keys = np.zeros(0, np.uint64)
-        self._piece = np.zeros(0, np.int64)
+        self._numbers: dict[bytes, int] = {}
         self._first = np.zeros(0, np.int64)
         self._count = np.zeros(0, np.int64)
         self._ids = np.zeros(0, np.int32)
@@ -120,8 +119,8 @@ class BytePairs:
             starts[rest] = True
         return byte_of[starts]
 
-    def whole_tokens(self) -> np.ndarray:
-        """Hashes, ascending, of the vocabulary strings that are proven to encode alone as one id.
+    def whole_tokens(self) -> frozenset[bytes]:
+        """The vocabulary strings that are proven to encode alone as one id.
 
         The library encodes every entry that is a text by itself. A pre-token is merged without regard
         to its neighbours, so wherever one of these strings is a whole pre-token it is that one id.
@@ -136,34 +135,30 @@ class BytePairs:
                 continue  # part of a character: never a whole pre-token
             if len(self.library.encode(string, add_special_tokens=False).ids) == 1:
                 proven.append(entry)
-        ends = np.cumsum([len(p) for p in proven])
-        data = np.frombuffer(b"".join(proven), np.uint8)
-        return np.sort(RangeHashes(data)(ends - [len(p) for p in proven], ends))
+        return frozenset(proven)
 
     # -- encoding ---------------------------------------------------------------------------
 
-    def _pieces(self, texts: Texts, begins: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    def _kinds(self, texts: Texts, begins: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The different pre-tokens of a slice, and which of them each one is."""
+        ends = np.append(begins[1:], len(texts.data))
+        first, kind = distinct_ranges(texts.data, begins, ends, RangeHashes(texts.data)(begins, ends))
+        raw = texts.data.tobytes()
+        return [raw[b:e] for b, e in zip(begins[first].tolist(), ends[first].tolist())], kind
+
+    def _pieces(self, kinds: list[bytes]) -> np.ndarray:
         """Index of each pre-token in the worker's list; new ones are encoded by the library."""
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self._keys) + len(distinct) > CACHE_PIECES:
+        if len(self._numbers) + len(kinds) > CACHE_PIECES:
             self._forget()
-        spot = np.searchsorted(self._keys, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = spot < len(self._keys)
-        known[inside] = self._keys[spot[inside]] == distinct[inside]
-        if not known.all():
-            new = first[~known]
-            raw = texts.data.tobytes()
-            ids = [self.merged(raw[b:e]) for b, e in zip(begins[new].tolist(), ends[new].tolist())]
+        new = [piece for piece in kinds if piece not in self._numbers]
+        if new:
+            ids = [self.merged(piece) for piece in new]
             counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            numbers = len(self._count) + np.arange(len(ids))
+            self._numbers.update(zip(new, range(len(self._count), len(self._count) + len(new))))
             self._first = np.append(self._first, len(self._ids) + np.cumsum(counts) - counts)
             self._count = np.append(self._count, counts)
             self._ids = np.append(self._ids, np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum())))
-            self._keys = np.insert(self._keys, spot[~known], distinct[~known])
-            self._piece = np.insert(self._piece, spot[~known], numbers)
-            spot = np.searchsorted(self._keys, distinct)
-        return self._piece[spot][inverse]
+        return np.fromiter(map(self._numbers.__getitem__, kinds), np.int64, len(kinds))
 
     def _special(self, texts: Texts) -> list[int]:
         """Texts that contain a special string."""
@@ -177,17 +172,17 @@ class BytePairs:
                     found.add(i)
         return sorted(found)
 
-    def counts(self, texts: Texts, whole: np.ndarray) -> np.ndarray:
-        """Number of ids of each text; pre-tokens whose hash is in ``whole`` (ascending) count as one unmerged."""
+    def counts(self, texts: Texts, whole: frozenset[bytes]) -> np.ndarray:
+        """Number of ids of each text; pre-tokens in ``whole`` count as one unmerged."""
         begins = self.boundaries(texts)
         if not len(begins):
             return np.zeros(len(texts.at) - 1, np.int64)
-        ends = np.append(begins[1:], len(texts.data))
-        hashes = RangeHashes(texts.data)(begins, ends)
-        rest = np.flatnonzero(whole[np.minimum(np.searchsorted(whole, hashes), len(whole) - 1)] != hashes)
-        each = np.ones(len(begins), np.int64)
-        pieces = self._pieces(texts, begins[rest], ends[rest], hashes[rest])
-        each[rest] = self._count[pieces]
+        kinds, kind = self._kinds(texts, begins)
+        rest = [i for i, piece in enumerate(kinds) if piece not in whole]
+        of_kind = np.ones(len(kinds), np.int64)
+        pieces = self._pieces([kinds[i] for i in rest])
+        of_kind[rest] = self._count[pieces]
+        each = of_kind[kind]
         sums = np.concatenate(([0], np.cumsum(each)))
         out = np.diff(sums[np.searchsorted(begins, texts.at)])
         for i in self._special(texts):
@@ -203,8 +198,8 @@ class BytePairs:
         begins = self.boundaries(texts)
         if not len(begins):
             return np.zeros(0, np.int32), np.zeros(len(texts.at), np.int64)
-        ends = np.append(begins[1:], len(texts.data))
-        pieces = self._pieces(texts, begins, ends, RangeHashes(texts.data)(begins, ends))
+        kinds, kind = self._kinds(texts, begins)
+        pieces = self._pieces(kinds)[kind]
         counts = self._count[pieces]
         sums = np.concatenate(([0], np.cumsum(counts)))
         ids = self._ids[np.repeat(self._first[pieces] - sums[:-1], counts) + np.arange(sums[-1])]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from broadsheet.llm.arrays import RangeHashes, Texts, fold, is_space, per_text, slices, text_of, words
+from broadsheet.llm.arrays import RangeHashes, Texts, distinct_ranges, fold, is_space, per_text, slices, text_of, words
 from broadsheet.llm.columns import free_names, small_side
 
 #: Word one- and two-grams are counted in so many hashed classes.
@@ -59,16 +59,21 @@ def shape(grams: Grams) -> dict[str, np.ndarray]:
     next_break = np.append(breaks, len(data))[np.searchsorted(breaks, starts)]
     ends = np.minimum(next_break, at[line_text + 1])
     full = np.searchsorted(grams.starts, ends) > np.searchsorted(grams.starts, starts)
-    lines = fold([grams.ranges(starts[full], ends[full]), line_text[full].astype(np.uint64)])
-    again = np.ones(len(lines), bool)
-    again[np.unique(lines, return_index=True)[1]] = False
+    starts, ends, line_text = starts[full], ends[full], line_text[full]
+    _, line = distinct_ranges(data, starts, ends, grams.ranges(starts, ends))
+    again = np.ones(len(line), bool)
+    again[np.unique(line * n + line_text, return_index=True)[1]] = False
 
     marked = np.zeros(len(hashes) + 1, np.int64)
     if len(hashes) >= WINDOW:
         first = np.flatnonzero(text[: -WINDOW + 1] == text[WINDOW - 1 :])
-        windows = fold([text[first].astype(np.uint64), *(hashes[first + k] for k in range(WINDOW))])
-        _, which, times = np.unique(windows, return_inverse=True, return_counts=True)
-        repeated = first[times[which] > 1]
+        _, word = distinct_ranges(data, grams.starts, grams.ends, hashes)
+        window = text[first]
+        for k in range(WINDOW):
+            # numbered anew after each word, so that numbers stay below the square of the slice's words
+            window = np.unique(window * (int(word.max()) + 1) + word[first + k], return_inverse=True)[1]
+        times = np.bincount(window)
+        repeated = first[times[window] > 1]
         np.add.at(marked, repeated, 1)
         np.add.at(marked, repeated + WINDOW, -1)
     inside = np.cumsum(marked)[:-1] > 0
@@ -77,7 +82,7 @@ def shape(grams: Grams) -> dict[str, np.ndarray]:
         "n_words": np.bincount(text, minlength=n),
         "word_chars": per_text(leads, at),
         "n_symbols": per_text(_IS_SYMBOL[data], at),
-        "n_dup_lines": np.bincount(line_text[full][again], minlength=n),
+        "n_dup_lines": np.bincount(line_text[again], minlength=n),
         "n_repeat_words": np.bincount(text[inside], minlength=n),
     }
 
