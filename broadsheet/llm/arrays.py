@@ -114,6 +114,11 @@ class RangeHashes:
         return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(_PRIME))
 
 
+#: Longer ranges are compared one by one.
+_BY_EIGHTS = 64
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def distinct_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first of each kind of byte ranges, and for each range the number of its kind; equal bytes are one kind.
 
@@ -124,12 +129,18 @@ def distinct_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hash
     model, sizes = first[kind], ends - starts
     apart = sizes != sizes[model]
     check = np.flatnonzero(~apart & (model != np.arange(len(model))))
-    begin = np.cumsum(sizes[check]) - sizes[check]
-    offset = np.arange(int(sizes[check].sum())) - np.repeat(begin, sizes[check])
-    mine = data[np.repeat(starts[check], sizes[check]) + offset]
-    other = data[np.repeat(starts[model[check]], sizes[check]) + offset]
-    unlike = np.flatnonzero(mine != other)
-    apart[check[np.searchsorted(begin, unlike, "right") - 1]] = True
+    # eight bytes at a time, from any position
+    eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    mine, other, left = starts[check], starts[model[check]], sizes[check]
+    for step in range(0, _BY_EIGHTS, 8):
+        unlike = (eights[mine + step] ^ eights[other + step]) & _FIRST_BYTES[np.minimum(left - step, 8)]
+        apart[check[unlike != 0]] = True
+        more = left > step + 8
+        check, mine, other, left = check[more], mine[more], other[more], left[more]
+        if not len(check):
+            break
+    for i, a, b, n in zip(check.tolist(), mine.tolist(), other.tolist(), left.tolist()):
+        apart[i] = apart[i] or not np.array_equal(data[a : a + n], data[b : b + n])
     if apart.any():
         numbers: dict[bytes, int] = {}
         added = []
