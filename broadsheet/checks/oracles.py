@@ -496,6 +496,9 @@ entered AS (
             SELECT CAST(substr(date, 1, 4) AS INTEGER) AS year, count(*) AS read,
                    count(*) FILTER (article_id IN (SELECT article_id FROM hits)) AS matched
             FROM articles WHERE substr(date, 1, 4) BETWEEN '{START[:4]}' AND '{END[:4]}' GROUP BY 1""",
+        "collection_roundtrip": f"""WITH {ARTICLES}
+            SELECT full_article_id AS id, full_article_id / 4 AS score, CAST(to_json([page, lccn]) AS VARCHAR) AS places, 'true' AS sure,
+                   full_article_id / 8 AS lat, article_id, 'urn:x' AS crs FROM articles""",
         "search_skipping": " UNION ALL ".join(
             f"""SELECT '{term}' AS term, article_id, date, article, CAST(substr(date, 1, 4) AS INTEGER) AS year FROM articles
                 WHERE date BETWEEN '{START}' AND '{END}' AND contains(lower(article), '{term}')""" for term in SKIPPING

@@ -25,7 +25,13 @@ from broadsheet.sinks.results import (
     yearly_manifest,
 )
 from broadsheet.sources.corpus import available_years, read_corpus, year_ranges
-from broadsheet.sources.features import feature_rows, points, read_features
+from broadsheet.sources.features import (
+    collection_crs,
+    feature_rows,
+    points,
+    read_feature_collection,
+    read_features,
+)
 from broadsheet.sources.payloads import read_results, run_metadata
 from broadsheet.sources.tables import last_titles, read_locations, read_table, read_titles
 from broadsheet.sources.skipping import read_matching_corpus, update_text_index
@@ -611,6 +617,37 @@ def metrics_read_back(spark, sf):
     return read_table(spark, path, "collocate_term string, frequency long")
 
 
+@query
+def collection_roundtrip(spark, sf):
+    """Documents of up to ten features with numbers, lists, nested values and nulls; what is written again has them all."""
+    path, out = scratch_path(spark, "collections"), scratch_path(spark, "features")
+    number = F.col("full_article_id")
+    feature = F.struct(
+        F.lit("Feature").alias("type"),
+        number.alias("id"),
+        F.struct(F.lit("Point").alias("type"), F.array(F.lit(-1.5), number / 8).alias("coordinates")).alias("geometry"),
+        F.struct(
+            "article_id", (number / 4).alias("score"), F.array("page", "lccn").alias("places"), F.struct("date", F.lit(True).alias("sure")).alias("when")
+        ).alias("properties"),
+    )
+    system = F.struct(F.lit("name").alias("type"), F.struct(F.lit("urn:x").alias("name")).alias("properties"))
+    docs = views.articles(spark, sf).groupBy(F.expr("full_article_id div 10")).agg(F.collect_list(feature).alias("features"))
+    docs = docs.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), system.alias("crs"), "features")))
+    docs.write.option("maxRecordsPerFile", 1).text(path)
+    write_raw_features(feature_rows(read_feature_collection(spark, path)), out)
+    stated = collection_crs(spark, path)["properties"]["name"]
+    part = lambda of: F.get_json_object("raw", of)
+    return read_features(spark, out).select(
+        part("$.id").cast("long").alias("id"),
+        part("$.properties.score").cast("double").alias("score"),
+        part("$.properties.places").alias("places"),
+        part("$.properties.when.sure").alias("sure"),
+        F.get("geometry.coordinates", F.lit(1)).cast("double").alias("lat"),
+        F.col("properties")["article_id"].alias("article_id"),
+        F.lit(stated).alias("crs"),
+    )
+
+
 #: Found in few files, in many, in none; and too short for the index.
 SKIPPING = ["apache license", WORD, "zzz-absent", "of"]
 

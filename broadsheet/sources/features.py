@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,13 +28,30 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_feature_collection(spark: SparkSession, path: str) -> DataFrame:
-    """Features of whole-document collections.
+    """Features of whole-document collections, as ``read_features`` gives them.
 
+    ``raw`` holds each feature as a JSON text of its own, with its ids, numbers, lists and nested values.
     For many files of bounded size: each is one task, and Spark holds its features as one value, which
     may not exceed 2 GB. Larger data belong in lines, see ``read_features``.
     """
-    docs = spark.read.schema(_COLLECTION).option("multiLine", True).json(path)
-    return docs.select(F.explode("features").alias("f")).select("f.*")
+    # a value that is asked for as text is handed over as it stands in the document
+    docs = spark.read.schema("features array<string>").option("multiLine", True).json(path)
+    # line ends stand between values only, as JSON writes those inside a string in another way
+    one_line = F.translate(F.col("raw"), "\r\n", "  ").alias("raw")
+    raw = docs.select(F.explode("features").alias("raw")).where("raw is not null").select(one_line)
+    return raw.select(F.from_json("raw", FEATURE).alias("f"), "raw").select("f.*", "raw")
+
+
+def collection_crs(spark: SparkSession, path: str) -> dict | None:
+    """Coordinate system that whole-document collections state, for the header of what is written from them.
+
+    None if none states one; an error if they differ. Only the distinct statements come to the driver, two at most.
+    """
+    docs = spark.read.schema("crs string").option("multiLine", True).json(path)
+    stated = docs.where("crs is not null").distinct().limit(2).collect()
+    if len(stated) > 1:
+        raise ValueError("the collections state different coordinate systems")
+    return json.loads(stated[0].crs) if stated else None
 
 
 def collection_metadata(spark: SparkSession, path: str) -> DataFrame:
