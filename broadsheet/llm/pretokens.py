@@ -15,8 +15,8 @@ from tokenizers import Tokenizer
 from broadsheet.llm.arrays import RangeHashes, Texts, distinct_ranges, text_of
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNKNOWN = range(5)
-#: A worker forgets its pre-tokens beyond this many; they are then encoded again when met.
-CACHE_PIECES = 1_500_000
+#: A worker forgets its pre-tokens beyond this many, some 100 MB; they are then encoded again when met.
+CACHE_PIECES = 500_000
 #: The endings that the pre-tokenizer splits off after an apostrophe.
 _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
