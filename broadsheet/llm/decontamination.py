@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from broadsheet.llm.columns import free_names, small_side
 from broadsheet.runtime import stage
 
-#: Fixed seeds over seven words at most: a hash takes the words at 1 and ignores those at 0. Together they
-#: meet every passage of ten words or more in which up to one word in seven is another.
-SEEDS = ("111011", "1101011", "1010111")
+#: Fixed seeds over seven words at most: a hash takes the words at 1 and ignores those at 0. Together they meet
+#: every choice of replaced words that SHARE allows in a passage of seven words or more; three cannot, four can.
+SEEDS = ("11111", "1011011", "1001111", "1010111")
 _WIDEST = max(map(len, SEEDS))
 #: Passages shorter than this are no evidence; below the widest seed they must occur word for word.
 LEAST_WORDS = 5
@@ -70,11 +70,11 @@ def overlaps(
     starts, negative if its beginning is cut off), item_words, matched (agreeing words), overlap
     (matched / item_words); of several places the one with most matches, then the first.
 
-    The benchmark side is broadcast if it is counted to be small, else shuffled by Spark. Hits of a text
-    are merged in the task that reads it. A null text has no words; rows with equal keys are merged;
+    The narrow seeds are broadcast if they are counted to be few, else shuffled by Spark; passages are written once,
+    so that Spark joins them by their measured size. Hits of a text are merged in the task that reads it. A null text has no words; rows with equal keys are merged;
     null keys and null item_ids are kept; an empty table on either side gives no rows; other columns are not read.
     """
-    passages = _passages(benchmark, benchmark_text)
+    passages = stage(_passages(benchmark, benchmark_text), "passages")
     short = passages.where(F.size("h") < _WIDEST).select(F.size("h").alias("n")).distinct()
     exact = sorted(row.n for row in short.collect())  # two lengths at most
     sides = passages.select("passage", "h").withColumn("n", F.size("h"))
@@ -87,7 +87,7 @@ def overlaps(
     shared = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get(F.col("h"), start + i))
     placed = hits.select("doc", "passage", start.alias("position"), shared.alias("words")).distinct()
 
-    compared = placed.join(small_side(passages), "passage")
+    compared = placed.join(passages, "passage")
     same = F.zip_with("words", "h", lambda a, b: F.when(a == b, 1).otherwise(0))
     compared = compared.select("doc", "passage", "item_id", "position", same.alias("same"), F.size("h").alias("n"))
     width = F.least(F.lit(STRETCH), F.col("n"))
@@ -111,7 +111,10 @@ def overlaps(
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text") -> DataFrame:
-    """Rows whose text holds no benchmark passage; columns stay as they are. Equal texts share their fate."""
+    """Rows whose text holds no benchmark passage; columns stay as they are. Equal texts share their fate.
+
+    Null and empty texts hold none, null ids stay, and an empty table on either side changes nothing.
+    """
     (mark,) = free_names(docs, "text_md5")
     marked = docs.withColumn(mark, F.md5(F.coalesce(F.col(text), F.lit(""))))
     leaked = stage(overlaps(marked, benchmark, key=mark, text=text).select(mark).distinct(), "leaked")

@@ -64,7 +64,7 @@ def test_overlaps_against_all_alignments(spark):
     assert {d for d, _ in got} >= {0, 1, 2, 3, 4, 8, 13, 15, 16} and not {d for d, _ in got} & {7, 9, 10, 11, 12, 14}
 
 
-def test_seeds_meet_every_short_passage_with_replaced_words():
+def test_seeds_meet_every_allowed_choice_of_replaced_words():
     from itertools import combinations
 
     def met(n, missing):
@@ -74,8 +74,20 @@ def test_seeds_meet_every_short_passage_with_replaced_words():
             for s in range(n - len(seed) + 1)
         )
 
-    assert all(met(n, {m}) for n in range(10, 14) for m in range(n))
-    assert all(met(14, set(pair)) for pair in combinations(range(14), 2))
+    for n in range(7, decontamination.STRETCH + 1):  # a stretch of a longer passage is as one of that length
+        allowed = n - -(-8 * n // 10)
+        assert all(met(n, set(missing)) for missing in combinations(range(n), allowed)), n
+
+
+def test_passages_with_replaced_words_in_the_middle(spark):
+    cases = [(7, (5,)), (10, (3, 4)), (10, (4, 5)), (10, (5, 6)), (11, (4, 5)), (11, (5, 6)), (12, (5, 6))]
+    words = PASSAGE.split()
+    items = [(n, " ".join(words[:n])) for n in (7, 10, 11, 12)]
+    docs = [(i, f"some rain before {changed(' '.join(words[:n]), *places)} and snow after") for i, (n, places) in enumerate(cases)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, BENCH)
+    got = {(r.doc_id, r.item_id): (r.matched, r.position) for r in decontamination.overlaps(frame, bench).collect()}
+    assert got == brute_overlaps(docs, items)
+    assert all((i, n) in got for i, (n, _) in enumerate(cases))
 
 
 def test_rows_without_leaks(spark):
