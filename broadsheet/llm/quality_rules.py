@@ -14,9 +14,10 @@ from broadsheet.llm.arrays import RangeHashes, Texts, distinct_ranges, fold, is_
 from broadsheet.llm.columns import free_names, small_side
 
 #: Word one- and two-grams are counted in so many hashed classes.
-BUCKETS = 1 << 16
-#: Added to every class's count.
-PRIOR = 1.0
+BUCKETS = 1 << 20
+#: Every class is taken to have been met so many times more, by trusted and raw text at their overall rates. Rare
+#: classes then say little, so that neither a small corpus nor a fine table makes unlabelled text look untrusted.
+PRIOR = 8.0
 #: Texts whose mean log ratio is below this are rejected.
 THRESHOLD = -0.25
 #: The characters that count as symbols.
@@ -114,12 +115,17 @@ def gram_counts(docs: DataFrame, trusted: DataFrame, *, text: str = "text") -> D
 
 
 def log_ratios(counts: DataFrame) -> np.ndarray:
-    """Log of trusted over raw probability of each class, from ``gram_counts``; BUCKETS values at most."""
+    """Log of trusted over raw probability of each class, from ``gram_counts``; BUCKETS values at most.
+
+    Classes that were not met have the ratio 0, and all have it if no gram is trusted.
+    """
+    found = counts.toArrow()
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for row in counts.collect():
-        raw[row.gram], good[row.gram] = row.raw, row.trusted
-    share = [(c + PRIOR) / (c.sum() + PRIOR * BUCKETS) for c in (good, raw)]
-    return np.log(share[0]) - np.log(share[1])
+    raw[found["gram"].to_numpy()], good[found["gram"].to_numpy()] = found["raw"].to_numpy(), found["trusted"].to_numpy()
+    if not good.any():
+        return good
+    rate = good.sum() / raw.sum()
+    return np.log((good + PRIOR * rate) / ((raw + PRIOR) * rate))
 
 
 def score_quality(
@@ -132,13 +138,13 @@ def score_quality(
 ) -> DataFrame:
     """Columns ``keep`` (None: all) of ``docs`` with the counts of ``shape``, base_failed, log_ratio and kept.
 
-    Two multinomials over hashed word grams are estimated from all rows and from the trusted ones. A
-    text's log_ratio is the mean log of their ratio over its grams (0 without grams). Texts fail the
+    Two multinomials over hashed word grams are estimated from all rows and from the trusted ones, the latter drawn
+    to the former by PRIOR. A text's log_ratio is the mean log of their ratio over its grams (0 without grams). Texts fail the
     base rules with fewer than 10 words, or with more than a fifth of their words in five-word windows
     that occur twice; kept are the others whose log_ratio is at least ``threshold``.
 
     A null text has no words and fails. Rows are scored one by one, so repeated rows get equal values.
-    If no row is trusted all ratios are nearly 0 and the base rules decide. Columns of ``docs`` with
+    If no row is trusted all ratios are 0 and the base rules decide. Columns of ``docs`` with
     the name of a result give way to it. An empty table gives no rows.
     """
     ratios = log_ratios(gram_counts(docs, trusted, text=text))
@@ -166,7 +172,11 @@ def score_quality(
 
 
 def of_good_shape(docs: DataFrame, trusted: DataFrame, *, text: str = "text") -> DataFrame:
-    """Rows that ``score_quality`` keeps; columns stay as they are, whatever their names."""
+    """Rows that ``score_quality`` keeps; columns stay as they are, whatever their names.
+
+    Null and empty texts have no words and go, repeated rows share their fate, null ids count as untrusted, and an
+    empty table stays empty.
+    """
     inner = [c if c in ("doc_id", text) else f"column_{i}" for i, c in enumerate(docs.columns)]
     scored = score_quality(docs.toDF(*inner), trusted, text=text).where("kept")
     return scored.select([F.col(i).alias(c) for i, c in zip(inner, docs.columns)])

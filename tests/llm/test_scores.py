@@ -71,11 +71,11 @@ def test_log_ratio_against_loops(spark):
         raw.update(grams(r.text))
         if r.doc_id in (0, 3, 12):
             good.update(grams(r.text))
-    size = quality_rules.BUCKETS
-    share = lambda c, g: math.log((c[g] + 1) / (c.total() + size))
+    rate, prior = good.total() / raw.total(), quality_rules.PRIOR
     for r in rows.values():
         own = grams(r.text)
-        assert r.log_ratio == pytest.approx(sum(share(good, g) - share(raw, g) for g in own) / len(own))
+        ratio = [math.log((good[g] + prior * rate) / (raw[g] * rate + prior * rate)) for g in own]
+        assert r.log_ratio == pytest.approx(sum(ratio) / len(own))
         assert r.kept == (not r.base_failed and r.log_ratio >= quality_rules.THRESHOLD)
 
 
@@ -103,6 +103,20 @@ def test_rules_keep_clean_rows_and_drop_junk(spark):
     assert np.mean(good) > 0.97 and (not bad or np.mean(bad) < 0.5)
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_the_verdict_does_not_move_with_the_size_of_the_corpus(spark, size):
+    docs, labels = (registry.table(spark, f"/root/testdata/{size}", name) for name in ("documents", "labels"))
+    known = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = quality_rules.score_quality(docs, known.where("quality = 1"), keep=["doc_id"]).where("not base_failed")
+    kind = F.when(F.col("quality").isNotNull(), F.col("quality").cast("string")).when(10 * F.col("n_symbols") < F.col("n_words"), "clean")
+    counted = rows.join(known, "doc_id", "left").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept"))
+    found = {r.kind: (r.kept, r.n) for r in counted.collect()}
+    assert found["1"][0] >= 0.999 * found["1"][1]
+    assert found["clean"][0] >= 0.99 * found["clean"][1]  # without label, and without the symbols that junk is full of
+    if size != "sf0.001":  # so few documents say little about junk, and then it is kept
+        assert found["0"][0] <= 0.02 * found["0"][1]
+
+
 def test_held_out_rows(spark):
     rows = spark.createDataFrame([(i,) for i in range(-50, 300)] + [(None,)], "doc_id long").select("doc_id", folds.held_out().alias("h")).collect()
     assert all(r.h == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 == 0) for r in rows)
