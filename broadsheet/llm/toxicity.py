@@ -14,19 +14,18 @@ from pyspark.sql import functions as F
 from broadsheet.llm.arrays import RangeHashes, Texts, fold, slices, text_of
 from broadsheet.llm.folds import held_out, labelled_sample
 
-#: Learning rows per class; all of them are in the index.
-SAMPLE = 4000
-#: Terms that vectors are made of: those of at least this many examples, and so many times as frequent
-#: among toxic examples as among others.
-SUPPORT, LIFT = 4, 8.0
-TERMS = 4096
+#: Learning rows per class at most; all of them, with all their terms, are in the index.
+SAMPLE = 2000
+#: A term weighs idf * (PLAIN + r**2): r, zero or more, is the log of how much more of its examples are toxic than of
+#: all, counted as if SHRINK more examples had it at the overall share. Plain idf finds topics and not tone.
+PLAIN, SHRINK = 0.1, 15.0
 #: Word beginnings of so many bytes are terms beside the words themselves.
 STEMS = (4, 5, 6)
-NEIGHBOURS = 15
-#: Examples per block, and blocks scored before any is left out.
-BLOCK, FIRST = 64, 4
+NEIGHBOURS = 7
+#: Examples per block, blocks scored before any is left out, and terms that examples are put in order by.
+BLOCK, FIRST, SORTED_BY = 64, 4, 16
 #: Votes are cosines to this power; a vote of this weight for the share of toxic rows is added.
-SHARPNESS, PRIOR = 2.0, 0.5
+SHARPNESS, PRIOR = 2.0, 0.1
 THRESHOLD = 0.5
 
 _LETTER = np.zeros(256, bool)
@@ -64,14 +63,16 @@ def counted(text: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class Index(NamedTuple):
-    """Postings of unit-length example vectors, by term and block of BLOCK examples."""
+    """Postings of unit-length example vectors, cut into cells: the postings of one term in one block of BLOCK examples."""
 
     vocabulary: np.ndarray  # term hashes, ascending
-    idf: np.ndarray
-    bounds: np.ndarray  # (terms, blocks + 1): where the postings of a term in a block lie
+    idf: np.ndarray  # weight of each term
+    cells: np.ndarray  # (terms + 1): where the cells of a term lie
+    block: np.ndarray  # of each cell
+    most: np.ndarray  # greatest weight in each cell
+    at: np.ndarray  # (cells + 1): where the postings of a cell lie
     example: np.ndarray  # of each posting
     weight: np.ndarray
-    most: np.ndarray  # (terms, blocks): greatest weight of a term in a block
     ids: np.ndarray  # doc_id of each example
     toxic: np.ndarray
     vote: np.ndarray  # weight of an example's vote, so that classes count as in all labelled rows
@@ -85,49 +86,52 @@ def _weighted(index_terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> n
 
 def known_terms(index: Index, texts: Texts) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Text, term numbers and weights of each text that has a term of the vocabulary."""
-    if not len(index.vocabulary):
+    size = len(index.vocabulary)
+    if not size:
         return
     text, term = occurrences(texts)
-    maybe = np.zeros(1 << 16, bool)  # leading bits of the vocabulary's hashes: most terms end here
-    maybe[index.vocabulary >> np.uint64(48)] = True
-    hit = np.flatnonzero(maybe[term >> np.uint64(48)])
-    spot = np.minimum(np.searchsorted(index.vocabulary, term[hit]), len(index.vocabulary) - 1)
-    known = index.vocabulary[spot] == term[hit]
-    text, number, count = counted(text[hit[known]], spot[known])
+    spot = np.minimum(np.searchsorted(index.vocabulary, term), size - 1)
+    known = index.vocabulary[spot] == term
+    pairs, count = np.unique(text[known] * size + spot[known], return_counts=True)
+    text, number = pairs // size, pairs % size
     for rows in np.split(np.arange(len(text)), np.flatnonzero(np.diff(text)) + 1) if len(text) else []:
         yield int(text[rows[0]]), number[rows], _weighted(number[rows], count[rows], index.idf)
 
 
-def _scored(index: Index, found: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and cosines of all examples of some blocks that share a term."""
-    chosen = np.zeros(index.most.shape[1], bool)
-    chosen[blocks] = True
-    scores = np.zeros(len(index.toxic))
-    for t, w in zip(found, weights):
-        a, b = index.bounds[t, 0], index.bounds[t, -1]
-        inside = chosen[index.example[a:b] // BLOCK]
-        scores[index.example[a:b][inside]] += w * index.weight[a:b][inside]
-    places = np.flatnonzero(scores > 0)
-    return places, scores[places]
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers of some ranges, one range after the other."""
+    sizes = ends - starts
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
-def nearest(index: Index, found: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The NEIGHBOURS examples of greatest cosine above zero, exactly; equal cosines by place in the index.
+def nearest(index: Index, found: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The NEIGHBOURS examples of greatest cosine above zero, exactly, and the number of blocks scored.
 
-    The blocks of greatest upper bound are scored first. Of the others only those are scored whose bound
-    is not below the last of the examples found.
+    The bound of a block is the sum of its cells' greatest weights. Blocks are scored by falling bound, in growing
+    groups, until no other's bound reaches the last of the examples found; the postings of those are not read. Equal
+    cosines count by place in the index.
     """
-    bound = weights @ index.most[found]
+    starts, ends = index.cells[found], index.cells[found + 1]
+    cells, share = _ranges(starts, ends), np.repeat(weights, ends - starts)
+    block = index.block[cells]
+    bound = np.bincount(block, share * index.most[cells], minlength=-(-len(index.toxic) // BLOCK))
     order = np.argsort(-bound, kind="stable")
     order = order[bound[order] > 0]
-    places, cosines = _scored(index, found, weights, order[:FIRST])
-    last = np.sort(cosines)[-NEIGHBOURS] if len(cosines) >= NEIGHBOURS else 0.0
-    rest = order[FIRST:][bound[order[FIRST:]] >= last - 1e-12]
-    if len(rest):
-        more = _scored(index, found, weights, rest)
-        places, cosines = np.concatenate((places, more[0])), np.concatenate((cosines, more[1]))
-    top = np.lexsort((places, -np.round(cosines, 12)))[:NEIGHBOURS]
-    return places[top], cosines[top]
+    scores, done, group, last = np.zeros(len(index.toxic)), 0, FIRST, 0.0
+    while done < len(order) and bound[order[done]] >= last - 1e-9:
+        chosen = np.zeros(len(bound), bool)
+        chosen[order[done : done + group][bound[order[done : done + group]] >= last - 1e-9]] = True
+        mine = np.flatnonzero(chosen[block])
+        a, b = index.at[cells[mine]], index.at[cells[mine] + 1]
+        postings = _ranges(a, b)
+        scores += np.bincount(index.example[postings], np.repeat(share[mine], b - a) * index.weight[postings], minlength=len(scores))
+        done += int(chosen.sum())
+        group *= 2
+        if np.count_nonzero(scores) >= NEIGHBOURS:
+            last = np.partition(scores, -NEIGHBOURS)[-NEIGHBOURS]
+    places = np.flatnonzero(scores > 0)
+    top = places[np.lexsort((places, -np.round(scores[places], 9)))[:NEIGHBOURS]]
+    return top, scores[top], done
 
 
 def vote(index: Index, places: np.ndarray, cosines: np.ndarray) -> float:
@@ -136,8 +140,16 @@ def vote(index: Index, places: np.ndarray, cosines: np.ndarray) -> float:
     return float((weights @ index.toxic[places] + PRIOR * index.prior) / (weights.sum() + PRIOR))
 
 
+def _toxic_weight(bad: np.ndarray, good: np.ndarray, share: float) -> np.ndarray:
+    """PLAIN + r**2 of terms, from the weighted numbers of toxic and other examples that have them."""
+    if not 0 < share < 1:
+        return np.full(len(bad), PLAIN)
+    ratio = (bad + SHRINK * share) / ((bad + good + SHRINK) * share)
+    return PLAIN + np.maximum(0, np.log(ratio)) ** 2
+
+
 def build(ids: np.ndarray, texts: pa.Array, toxic: np.ndarray, shares: tuple[float, float]) -> Index:
-    """Choose the vocabulary and index every example; ``shares`` are the classes' shares of all labelled rows."""
+    """Index every term of every example; ``shares`` are the classes' shares of all labelled rows."""
     at, owners, hashes, counts = 0, [], [], []
     for part in slices(pc.utf8_lower(texts)):
         text, term, count = counted(*occurrences(part))
@@ -146,48 +158,47 @@ def build(ids: np.ndarray, texts: pa.Array, toxic: np.ndarray, shares: tuple[flo
         counts.append(count)
         at += len(part.at) - 1
     owner, term, count = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (owners, hashes, counts))
-    distinct, which, df = np.unique(term, return_inverse=True, return_counts=True)
-    owner = owner.astype(np.int64)
-    bad = np.bincount(which[toxic[owner] == 1], minlength=len(distinct)) if len(term) else np.zeros(0)
-    n_bad = max(1, int(toxic.sum()))
-    n_good = max(1, len(toxic) - int(toxic.sum()))
-    lift = ((bad + 0.5) / (n_bad + 1)) / ((df - bad + 0.5) / (n_good + 1))
-    chosen = np.flatnonzero((df >= SUPPORT) & (lift >= LIFT))
-    chosen = np.sort(chosen[np.lexsort((distinct[chosen], -bad[chosen]))[:TERMS]])
-    vocabulary, idf = distinct[chosen], np.log((1 + len(toxic)) / (1 + df[chosen])) + 1
-
-    place = np.full(len(distinct), -1)
-    place[chosen] = np.arange(len(chosen))
-    kept = np.flatnonzero(place[which] >= 0) if len(term) else np.zeros(0, np.int64)
-    number, owner = place[which[kept]], owner[kept]
-    weight = np.log1p(count[kept]) * idf[number]
-    norms = np.sqrt(np.bincount(owner, weight**2, minlength=len(toxic)))
-    weight = weight / norms[owner]
+    vocabulary, number, df = np.unique(term, return_inverse=True, return_counts=True)
+    owner, n = owner.astype(np.int64), len(toxic)
+    sizes = max(1, n - int(toxic.sum())), max(1, int(toxic.sum()))
+    votes = np.where(toxic == 1, shares[1] * n / sizes[1], shares[0] * n / sizes[0])
+    votes = votes / max(votes.sum() / max(n, 1), 1e-9)
+    bad, good = (np.bincount(number, votes[owner] * (toxic[owner] == c), minlength=len(vocabulary)) for c in (1, 0))
+    idf = (np.log((1 + n) / (1 + df)) + 1) * _toxic_weight(bad, good, shares[1])
+
+    # examples that share common words stand together, so that a block has few terms and tight bounds
+    slot = np.full(len(vocabulary), -1)
+    common = np.argsort(np.abs(df - n / 4), kind="stable")[:SORTED_BY]
+    slot[common] = np.arange(len(common))
+    has, marks = np.flatnonzero(slot[number] >= 0), np.zeros(n, np.int64)
+    np.bitwise_or.at(marks, owner[has], 1 << slot[number[has]])
+    order = np.lexsort((marks, toxic))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    ids, toxic, votes, owner = ids[order], toxic[order], votes[order], place[owner]
+
+    weight = np.log1p(count) * idf[number]
+    weight = weight / np.sqrt(np.bincount(owner, weight**2, minlength=n))[owner]
     order = np.lexsort((owner, number))
-    number, owner, weight = number[order], owner[order], weight[order]
-    blocks = -(-max(len(toxic), 1) // BLOCK)
+    number, owner, weight = number[order], owner[order], weight[order].astype(np.float32)
+    blocks = -(-max(n, 1) // BLOCK)
     cell = number * blocks + owner // BLOCK
-    edges = np.searchsorted(cell, np.arange(len(chosen) * blocks + 1))
-    bounds = np.array([[edges[t * blocks + b] for b in range(blocks + 1)] for t in range(len(chosen))])
-    most = np.zeros(len(chosen) * blocks)
-    np.maximum.at(most, cell, weight)
-    votes = np.where(toxic == 1, shares[1] * len(toxic) / n_bad, shares[0] * len(toxic) / n_good)
-    shape = (len(chosen), blocks)
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    most = np.maximum.reduceat(weight, first) if len(first) else weight
     return Index(
-        vocabulary, idf, bounds.reshape(len(chosen), blocks + 1), owner, weight, most.reshape(shape),
-        ids, toxic.astype(float), votes / max(votes.sum() / max(len(votes), 1), 1e-9), shares[1],
+        vocabulary, idf, np.searchsorted(number[first], np.arange(len(vocabulary) + 1)),
+        (cell[first] % blocks).astype(np.int32), most, np.append(first, len(cell)), owner.astype(np.int32), weight,
+        ids, toxic.astype(float), votes, shares[1],
     )
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text") -> Index:
-    """Index about SAMPLE labelled rows of each class that are not held out; the sample's bound is the index's."""
+    """Index up to SAMPLE labelled rows of each class that are not held out, built in one task; ``folds`` bounds their bytes."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out())
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     total = max(1, sum(counts.values()))
-    named = docs.select("doc_id", F.struct("doc_id", F.col(text).alias("t")).alias("both"))
-    named = named.where("both.t is not null")
-    sample = labelled_sample(named, labels, "toxic", SAMPLE, text="both")
-    rows = sample.select("toxic", "both.doc_id", F.col("both.t").alias("text"), F.lit(1).alias("one"))
+    sample = labelled_sample(docs, labels, "toxic", SAMPLE, text=text)
+    rows = sample.select("toxic", "doc_id", F.col(text).alias("text"), F.lit(1).alias("one"))
 
     def gather(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
@@ -214,9 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text") -> Index:
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, and the evidence: doc_ids of the nearest examples and their cosines.
 
-    Cosines are over the selected terms alone (SUPPORT, LIFT, TERMS), norms too; so toxic wording of common
-    words, or of words in fewer than SUPPORT examples, is missed, and one shared term can give a cosine near 1.
-    Texts without any term of the vocabulary have no neighbours and the prior share as score; null and
+    Cosines and norms are over all terms that any example has, weighted by idf and by what the learning rows say of
+    a term, see PLAIN. Texts without any such term have no neighbours and the prior share as score; null and
     empty texts are among them. Null ids, repeated rows and several labels of one id (the greatest
     counts) are allowed; with no labelled row every score is 0; an empty table gives no rows.
     """
@@ -228,7 +238,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text") ->
                 n = len(part.at) - 1
                 scores, near, cosines = np.full(n, index.prior), [[]] * n, [[]] * n
                 for i, found, weights in known_terms(index, part):
-                    places, similar = nearest(index, found, weights)
+                    places, similar, _ = nearest(index, found, weights)
                     scores[i] = vote(index, places, similar)
                     near[i], cosines[i] = index.ids[places].tolist(), similar.tolist()
                 columns = [batch.column(0)[part.rows], batch.column(1)[part.rows], pa.array(scores)]
