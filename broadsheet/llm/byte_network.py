@@ -25,7 +25,7 @@ THRESHOLD = 0.3
 _PAD = 256
 _STEP = CHUNK - OVERLAP
 _PLACES = CHUNK - WIDTH + 1
-_AT_ONCE = 128
+_AT_ONCE, _CUT_AT_ONCE = 128, 4096
 #: Mean, greatest and least of each filter's response, and how full the chunks are.
 _POOLED = 3 * FILTERS + 1
 _SHAPES = [(257, DEPTH), (WIDTH * DEPTH, FILTERS), (FILTERS,), (_POOLED, UNITS), (UNITS,), (UNITS,), (1,)]
@@ -50,10 +50,13 @@ def chunks(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(sizes)), counts)
     first = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     start, end = texts.at[owner] + first * _STEP, texts.at[owner + 1]
-    place = start[:, None] + np.arange(CHUNK)
-    inside = place < end[:, None]
     data = texts.data if len(texts.data) else np.zeros(1, np.uint8)
-    return np.where(inside, data[np.minimum(place, len(data) - 1)].astype(np.int16), _PAD), owner
+    rows = np.empty((len(owner), CHUNK), np.int16)
+    for i in range(0, len(owner), _CUT_AT_ONCE):
+        some = slice(i, i + _CUT_AT_ONCE)
+        place = start[some, None] + np.arange(CHUNK)
+        rows[some] = np.where(place < end[some, None], data[np.minimum(place, len(data) - 1)].astype(np.int16), _PAD)
+    return rows, owner
 
 
 def _responses(net: Network, rows: np.ndarray) -> np.ndarray:
@@ -84,9 +87,12 @@ def probabilities(net: Network, texts: Texts) -> np.ndarray:
 
 def _gradients(net: Network, rows: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
     n, each = len(labels), np.arange(len(rows))[:, None]
-    responses = _responses(net, rows)
-    peak = responses.argmax(1)
-    features = np.tanh(np.take_along_axis(responses, peak[:, None], 1)[:, 0] + net.offsets)
+    peaks, tops = [], []
+    for i in range(0, len(rows), _AT_ONCE):  # whole texts, but few chunks in memory at once
+        responses = _responses(net, rows[i : i + _AT_ONCE])
+        peaks.append(responses.argmax(1))
+        tops.append(np.take_along_axis(responses, peaks[-1][:, None], 1)[:, 0])
+    peak, features = np.concatenate(peaks), np.tanh(np.concatenate(tops) + net.offsets)
     pooled = _pooled(features, rows, owner, n)
     units = np.tanh(pooled @ net.mixing + net.shifts)
     logits = np.clip(units @ net.weights + net.bias, -30, 30)
@@ -99,11 +105,13 @@ def _gradients(net: Network, rows: np.ndarray, owner: np.ndarray, labels: np.nda
         there = (features == pooled[owner, k * FILTERS : (k + 1) * FILTERS]).astype(np.float32)
         back = back + ends * there / np.add.reduceat(there, first)[owner]  # equal chunks share it
     back = back * (1 - features**2)
-    seen = rows[each[:, :, None], peak[:, :, None] + np.arange(WIDTH)]  # bytes under each filter's peak
-    to_filters = np.einsum("cf,cfk->kf", back, net.bytes_[seen].reshape(len(rows), FILTERS, -1))
-    to_bytes = np.zeros_like(net.bytes_)
-    shares = back[:, :, None, None] * net.filters.T.reshape(FILTERS, WIDTH, DEPTH)
-    np.add.at(to_bytes, seen.reshape(-1), shares.reshape(-1, DEPTH))
+    to_filters, to_bytes = np.zeros_like(net.filters), np.zeros_like(net.bytes_)
+    for i in range(0, len(rows), _CUT_AT_ONCE):
+        some = slice(i, i + _CUT_AT_ONCE)
+        seen = rows[each[some, :, None], peak[some, :, None] + np.arange(WIDTH)]  # bytes under each filter's peak
+        to_filters += np.einsum("cf,cfk->kf", back[some], net.bytes_[seen].reshape(len(seen), FILTERS, -1))
+        shares = back[some, :, None, None] * net.filters.T.reshape(FILTERS, WIDTH, DEPTH)
+        np.add.at(to_bytes, seen.reshape(-1), shares.reshape(-1, DEPTH))
     to_bytes[_PAD] = 0
     layers = [pooled.T @ to_units, to_units.sum(0), units.T @ error, error.sum(keepdims=True)]
     return [to_bytes, to_filters, back.sum(0), *layers]
@@ -129,7 +137,7 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", *, text: str = "text") -> Network:
-    """Learn from about SAMPLE rows of each class that are not held out, in one task of bounded size.
+    """Learn from up to SAMPLE rows of each class that are not held out, in one task; ``folds`` bounds their bytes.
 
     Without any labelled row the network is the untrained one with equal odds for every text.
     """
@@ -173,7 +181,11 @@ def classify(docs: DataFrame, labels: DataFrame, *, text: str = "text") -> DataF
 
 
 def of_good_quality(docs: DataFrame, labels: DataFrame, *, text: str = "text") -> DataFrame:
-    """Rows predicted to be of label 1; columns stay as they are."""
+    """Rows predicted to be of label 1; columns stay as they are.
+
+    Null and empty texts are judged as by ``classify``, null ids and repeated rows stay rows, and an empty table
+    stays empty. Without any labelled row nothing is rejected.
+    """
     (name,) = free_names(docs, "score")
     scored = score(docs, fit(docs, labels, text=text), text=text, name=name)
     return scored.where(F.col(name) >= THRESHOLD).select(docs.columns)

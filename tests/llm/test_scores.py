@@ -131,6 +131,17 @@ def test_samples_are_bounded_and_learn_from_no_held_out_row(spark):
     assert all(zlib.crc32(r.text[1:].encode()) % 5 for r in got)
 
 
+def test_samples_of_a_hot_id_and_of_long_texts(spark):
+    hot = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("hot "), "id").alias("text"))
+    long = spark.range(2, 400).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("word "), 50_000), "id").alias("text"))
+    huge = spark.range(1).select(F.lit(1000).cast("long").alias("doc_id"), F.repeat(F.lit("x"), 2 << 20).alias("text"))
+    docs = hot.union(long).union(huge).repartition(4)
+    labels = docs.select("doc_id").distinct().withColumn("toxic", F.lit(1))
+    got = folds.labelled_sample(docs, labels, "toxic", 300).collect()
+    assert len({r.doc_id for r in got}) == len(got) <= 300
+    assert 20 << 20 < sum(len(r.text) for r in got) <= folds.BYTES and all(len(r.text) <= folds.LONGEST for r in got)
+
+
 def accuracy(rows, predicted, label):
     return np.mean([r[predicted] == r[label] for r in rows])
 
@@ -199,6 +210,20 @@ def test_network_against_loops():
     assert byte_network.probabilities(random_network(), part) == pytest.approx([brute_network(random_network(), t) for t in texts], abs=1e-4)
 
 
+def test_a_long_text_takes_little_memory():
+    import tracemalloc
+
+    (part,) = slices(pa.array([sentence(3, 4_000_000)]))
+    assert len(part.data) > 15 << 20
+    net = random_network()
+    tracemalloc.start()
+    gradients = byte_network._gradients(net, *byte_network.chunks(part), np.array([1.0]))
+    byte_network.probabilities(net, part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20 and all(np.isfinite(g).all() for g in gradients)
+
+
 def test_gradients_against_differences():
     net = byte_network.Network(*(w.astype(np.float64) for w in random_network(3)))
     (part,) = slices(pa.array([sentence(1, 120), "Some !! text", sentence(5, 30)]))
@@ -251,24 +276,63 @@ def examples(n=260, seed=0):
     return np.arange(n), pa.array(texts), np.array(toxic)
 
 
+def brute_terms(text):
+    """Words of a-z and letters beyond ASCII, and their beginnings, which are other terms."""
+    found = collections.Counter()
+    for word in re.findall(rb"[a-z\x80-\xff]+", text.lower().encode()):
+        found[word] += 1
+        found.update(("start", word[:n]) for n in toxicity.STEMS if len(word) > n)
+    return found
+
+
+def brute_cosines(texts, toxic, share, query):
+    """Cosines of one text with all examples, by loops over dictionaries."""
+    own, n, bad_n = [brute_terms(t) for t in texts], len(texts), sum(toxic)
+    votes = [share * n / bad_n if t else (1 - share) * n / (n - bad_n) for t in toxic]
+    idf = {}
+    for term in set().union(*own):
+        has = [i for i in range(n) if term in own[i]]
+        bad, every = sum(votes[i] for i in has if toxic[i]), sum(votes[i] for i in has)
+        ratio = (bad + toxicity.SHRINK * share) / ((every + toxicity.SHRINK) * share)
+        idf[term] = (math.log((1 + n) / (1 + len(has))) + 1) * (toxicity.PLAIN + max(0, math.log(ratio)) ** 2)
+
+    def unit(terms):
+        weights = {t: math.log1p(c) * idf[t] for t, c in terms.items() if t in idf}
+        length = math.sqrt(sum(w * w for w in weights.values()))
+        return {t: w / length for t, w in weights.items()}
+
+    asked = unit(brute_terms(query))
+    return [sum(w * asked.get(t, 0) for t, w in unit(terms).items()) for terms in own]
+
+
 def test_neighbours_are_exact():
     ids, texts, toxic = examples()
     index = toxicity.build(ids, texts, toxic, (0.7, 0.3))
-    assert 0 < len(index.vocabulary) <= toxicity.TERMS
-    dense = np.zeros((len(ids), len(index.vocabulary)))
-    for part in slices(texts):
-        for i, found, weights in toxicity.known_terms(index, part):
-            dense[i, found] = weights
-    (part,) = slices(pa.array(["idiotic w1x w2x", "stupids stupids morons", "morons", "nothing of it"]))
-    seen = set()
+    assert set(index.example.tolist()) == set(range(len(ids)))  # all can be neighbours
+    queries = ["idiotic w1x w2x", "stupids stupids morons", "morons", "w5x w6x w7x w8x w59x", "nothing of it", texts[7].as_py(), texts[9].as_py()]
+    (part,) = slices(pa.array(queries))
+    seen, scored = set(), []
     for i, found, weights in toxicity.known_terms(index, part):
         seen.add(i)
-        cosines = dense[:, found] @ weights
-        order = sorted(np.flatnonzero(cosines > 0), key=lambda j: (-round(cosines[j], 12), j))[: toxicity.NEIGHBOURS]
-        places, similar = toxicity.nearest(index, found, weights)
-        assert places.tolist() == order and similar == pytest.approx(cosines[order])
-        assert toxicity.vote(index, places, similar) > 0.5
-    assert seen == {0, 1, 2}
+        places, similar, blocks = toxicity.nearest(index, found, weights)
+        cosines = brute_cosines(texts.to_pylist(), toxic.tolist(), 0.3, queries[i])
+        want = sorted((c for c in cosines if c > 0), reverse=True)[: toxicity.NEIGHBOURS]
+        assert similar == pytest.approx(want, abs=1e-5)
+        assert [cosines[j] for j in index.ids[places]] == pytest.approx(want, abs=1e-5)
+        scored.append(blocks)
+        if i in (0, 1, 2):
+            assert toxicity.vote(index, places, similar) > 0.5
+    assert seen == {0, 1, 2, 3, 5, 6} and max(scored) <= -(-len(ids) // toxicity.BLOCK)
+
+
+def test_blocks_that_cannot_win_are_not_scored():
+    rng = np.random.default_rng(2)
+    topics = [[f"t{k}q{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)] for k in "abcdefgh"]
+    texts = [" ".join(rng.choice(topics[i % 8], 25)) for i in range(1600)]
+    index = toxicity.build(np.arange(1600), pa.array(texts), (np.arange(1600) % 5 == 0).astype(int), (0.8, 0.2))
+    (part,) = slices(pa.array(texts[:40]))
+    scored = [toxicity.nearest(index, found, weights)[2] for _, found, weights in toxicity.known_terms(index, part)]
+    assert np.mean(scored) < 1600 / toxicity.BLOCK / 2
 
 
 def test_an_index_without_examples():
@@ -282,6 +346,8 @@ def test_toxicity_on_held_out_rows(spark):
     got = registry.op10_toxicity(spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").collect()
     assert accuracy(got, "predicted", "toxic") > 0.95
     assert np.mean([r.predicted for r in got if r.toxic]) > 0.8
+    scores, labels = (np.array([r[c] for r in got], float) for c in ("score", "toxic"))
+    assert np.mean((scores - labels) ** 2) < 0.05 and abs(scores.mean() - labels.mean()) < 0.05  # scores are chances
     assert all(len(r.neighbours) == len(r.cosines) <= toxicity.NEIGHBOURS for r in got)
 
 
