@@ -24,10 +24,15 @@ STEMS = (4, 5, 6)
 NEIGHBOURS = 7
 #: Examples per block, blocks scored before any is left out, and terms that examples are put in order by.
 BLOCK, FIRST, SORTED_BY = 64, 4, 16
+#: Terms of at least this share of the examples have a weight for every example of a block, most of them not zero.
+FULL = 1 / 16
 #: Votes are cosines to this power; a vote of this weight for the share of toxic rows is added.
 SHARPNESS, PRIOR = 2.0, 0.1
 THRESHOLD = 0.5
 
+#: Bounds and scores are sums in single precision.
+_SLACK = 1e-5
+
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
@@ -63,7 +68,10 @@ def counted(text: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class Index(NamedTuple):
-    """Postings of unit-length example vectors, cut into cells: the postings of one term in one block of BLOCK examples."""
+    """Postings of unit-length example vectors, cut into cells: the postings of one term in one block of BLOCK examples.
+
+    Cells of frequent terms are full, so that they are added up as rows; the others list their examples.
+    """
 
     vocabulary: np.ndarray  # term hashes, ascending
     idf: np.ndarray  # weight of each term
@@ -73,6 +81,9 @@ class Index(NamedTuple):
     at: np.ndarray  # (cells + 1): where the postings of a cell lie
     example: np.ndarray  # of each posting
     weight: np.ndarray
+    row: np.ndarray  # of each term among the frequent ones, or -1
+    full: np.ndarray  # (frequent terms, blocks, BLOCK): weights
+    full_most: np.ndarray  # (frequent terms, blocks): greatest weight in each cell
     ids: np.ndarray  # doc_id of each example
     toxic: np.ndarray
     vote: np.ndarray  # weight of an example's vote, so that classes count as in all labelled rows
@@ -113,24 +124,29 @@ def nearest(index: Index, found: np.ndarray, weights: np.ndarray) -> tuple[np.nd
     """
     starts, ends = index.cells[found], index.cells[found + 1]
     cells, share = _ranges(starts, ends), np.repeat(weights, ends - starts)
-    block = index.block[cells]
-    bound = np.bincount(block, share * index.most[cells], minlength=-(-len(index.toxic) // BLOCK))
+    block, row = index.block[cells], index.row[found]
+    often, row = weights[row >= 0].astype(np.float32), row[row >= 0]
+    bound = np.bincount(block, share * index.most[cells], minlength=index.full.shape[1]) + often @ index.full_most[row]
     order = np.argsort(-bound, kind="stable")
     order = order[bound[order] > 0]
-    scores, done, group, last = np.zeros(len(index.toxic)), 0, FIRST, 0.0
-    while done < len(order) and bound[order[done]] >= last - 1e-9:
+    scores, done, group, last = np.zeros(len(bound) * BLOCK), 0, FIRST, 0.0
+    by_block = scores.reshape(-1, BLOCK)
+    while done < len(order) and bound[order[done]] >= last - _SLACK:
+        some = order[done : done + group]
+        some = some[bound[some] >= last - _SLACK]
         chosen = np.zeros(len(bound), bool)
-        chosen[order[done : done + group][bound[order[done : done + group]] >= last - 1e-9]] = True
+        chosen[some] = True
+        by_block[some] += (often @ index.full[row[:, None], some].reshape(len(row), len(some) * BLOCK)).reshape(-1, BLOCK)
         mine = np.flatnonzero(chosen[block])
         a, b = index.at[cells[mine]], index.at[cells[mine] + 1]
         postings = _ranges(a, b)
         scores += np.bincount(index.example[postings], np.repeat(share[mine], b - a) * index.weight[postings], minlength=len(scores))
-        done += int(chosen.sum())
+        done += len(some)
         group *= 2
         if np.count_nonzero(scores) >= NEIGHBOURS:
             last = np.partition(scores, -NEIGHBOURS)[-NEIGHBOURS]
     places = np.flatnonzero(scores > 0)
-    top = places[np.lexsort((places, -np.round(scores[places], 9)))[:NEIGHBOURS]]
+    top = places[np.lexsort((places, -np.round(scores[places], 6)))[:NEIGHBOURS]]
     return top, scores[top], done
 
 
@@ -182,12 +198,21 @@ def build(ids: np.ndarray, texts: pa.Array, toxic: np.ndarray, shares: tuple[flo
     order = np.lexsort((owner, number))
     number, owner, weight = number[order], owner[order], weight[order].astype(np.float32)
     blocks = -(-max(n, 1) // BLOCK)
+    frequent = np.flatnonzero(df >= max(2, FULL * n))
+    row = np.full(len(vocabulary), -1)
+    row[frequent] = np.arange(len(frequent))
+    full = np.zeros((len(frequent), blocks * BLOCK), np.float32)
+    often = row[number] >= 0
+    full[row[number[often]], owner[often]] = weight[often]
+    full = full.reshape(len(frequent), blocks, BLOCK)
+    number, owner, weight = number[~often], owner[~often], weight[~often]
     cell = number * blocks + owner // BLOCK
     first = np.flatnonzero(np.diff(cell, prepend=-1))
     most = np.maximum.reduceat(weight, first) if len(first) else weight
     return Index(
         vocabulary, idf, np.searchsorted(number[first], np.arange(len(vocabulary) + 1)),
         (cell[first] % blocks).astype(np.int32), most, np.append(first, len(cell)), owner.astype(np.int32), weight,
+        row, full, full.max(2) if len(frequent) else np.zeros((0, blocks), np.float32),
         ids, toxic.astype(float), votes, shares[1],
     )
 

@@ -271,7 +271,7 @@ def examples(n=260, seed=0):
     for i in range(n):
         bad = i % 3 == 0
         body = [f"w{rng.integers(0, 60)}x" for _ in range(30)] + (list(rng.choice(["idiotic", "stupids", "morons"], 2)) if bad else [])
-        texts.append(" ".join(body))
+        texts.append(" ".join([*body, f"rare{chr(97 + i // 26)}{chr(97 + i % 26)}"]))  # a word of its own
         toxic.append(int(bad))
     return np.arange(n), pa.array(texts), np.array(toxic)
 
@@ -308,8 +308,9 @@ def brute_cosines(texts, toxic, share, query):
 def test_neighbours_are_exact():
     ids, texts, toxic = examples()
     index = toxicity.build(ids, texts, toxic, (0.7, 0.3))
-    assert set(index.example.tolist()) == set(range(len(ids)))  # all can be neighbours
-    queries = ["idiotic w1x w2x", "stupids stupids morons", "morons", "w5x w6x w7x w8x w59x", "nothing of it", texts[7].as_py(), texts[9].as_py()]
+    listed = {*index.example.tolist(), *np.flatnonzero(index.full.any(0).ravel()).tolist()}
+    assert listed == set(range(len(ids))) and len(index.example) and len(index.full)  # all can be neighbours
+    queries = ["idiotic w1x w2x", "stupids stupids morons", "morons", "w5x w6x w7x w8x w59x", "nothing of it", texts[7].as_py(), texts[9].as_py(), "rareab"]
     (part,) = slices(pa.array(queries))
     seen, scored = set(), []
     for i, found, weights in toxicity.known_terms(index, part):
@@ -322,7 +323,7 @@ def test_neighbours_are_exact():
         scored.append(blocks)
         if i in (0, 1, 2):
             assert toxicity.vote(index, places, similar) > 0.5
-    assert seen == {0, 1, 2, 3, 5, 6} and max(scored) <= -(-len(ids) // toxicity.BLOCK)
+    assert seen == {0, 1, 2, 3, 5, 6, 7} and max(scored) <= -(-len(ids) // toxicity.BLOCK)
 
 
 def test_blocks_that_cannot_win_are_not_scored():
