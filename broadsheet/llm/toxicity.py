@@ -25,7 +25,9 @@ NEIGHBOURS = 7
 #: Examples per block, blocks scored before any is left out, and terms that examples are put in order by.
 BLOCK, FIRST, SORTED_BY = 64, 4, 16
 #: Terms of at least this share of the examples have a weight for every example of a block, most of them not zero.
-FULL = 1 / 16
+FULL = 1 / 32
+#: Texts searched together at most, and their postings outside frequent terms, unless one text alone has more.
+TOGETHER, POSTINGS = 512, 1 << 21
 #: Votes are cosines to this power; a vote of this weight for the share of toxic rows is added.
 SHARPNESS, PRIOR = 2.0, 0.1
 THRESHOLD = 0.5
@@ -90,29 +92,47 @@ class Index(NamedTuple):
     prior: float
 
 
-def _weighted(index_terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    weights = np.log1p(counts) * idf[index_terms]
-    return weights / np.sqrt((weights**2).sum())
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers of some ranges, one range after the other."""
+    sizes = ends - starts
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
-def known_terms(index: Index, texts: Texts) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Text, term numbers and weights of each text that has a term of the vocabulary."""
+def vectors(index: Index, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, term number and weight of each known term of each text, in order; a text's weights have length one."""
     size = len(index.vocabulary)
     if not size:
-        return
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     text, term = occurrences(texts)
     spot = np.minimum(np.searchsorted(index.vocabulary, term), size - 1)
     known = index.vocabulary[spot] == term
     pairs, count = np.unique(text[known] * size + spot[known], return_counts=True)
     text, number = pairs // size, pairs % size
+    weight = np.log1p(count) * index.idf[number]
+    return text, number, weight / np.sqrt(np.bincount(text, weight**2))[text]
+
+
+def known_terms(index: Index, texts: Texts) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Text, term numbers and weights of each text that has a term of the vocabulary."""
+    text, number, weight = vectors(index, texts)
     for rows in np.split(np.arange(len(text)), np.flatnonzero(np.diff(text)) + 1) if len(text) else []:
-        yield int(text[rows[0]]), number[rows], _weighted(number[rows], count[rows], index.idf)
+        yield int(text[rows[0]]), number[rows], weight[rows]
 
 
-def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """All numbers of some ranges, one range after the other."""
-    sizes = ends - starts
-    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+def nearest_of_all(index: Index, text: np.ndarray, found: np.ndarray, weights: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """``nearest`` for every text of some ``vectors``, a bounded number of texts and postings at a time."""
+    if not len(text):
+        return
+    begins = np.append(np.flatnonzero(np.diff(text, prepend=-1)), len(text))
+    postings = np.append(0, np.cumsum(index.at[index.cells[found + 1]] - index.at[index.cells[found]]))[begins]
+    i = 0
+    while i < len(begins) - 1:
+        j = max(i + 1, min(i + TOGETHER, int(np.searchsorted(postings, postings[i] + POSTINGS, "right")) - 1))
+        rows = slice(begins[i], begins[j])
+        each = np.diff(begins[i : j + 1])
+        for k, result in enumerate(_nearest(index, np.repeat(np.arange(j - i), each), found[rows], weights[rows], j - i)):
+            yield int(text[begins[i + k]]), *result
+        i = j
 
 
 def nearest(index: Index, found: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -122,32 +142,47 @@ def nearest(index: Index, found: np.ndarray, weights: np.ndarray) -> tuple[np.nd
     groups, until no other's bound reaches the last of the examples found; the postings of those are not read. Equal
     cosines count by place in the index.
     """
+    return next(_nearest(index, np.zeros(len(found), np.int64), found, weights, 1))
+
+
+def _nearest(index: Index, text: np.ndarray, found: np.ndarray, weights: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """``nearest`` of texts 0 to n - 1: each has its own bounds and stops by itself, one product scores a block for all that need it."""
+    blocks = index.full.shape[1]
     starts, ends = index.cells[found], index.cells[found + 1]
-    cells, share = _ranges(starts, ends), np.repeat(weights, ends - starts)
-    block, row = index.block[cells], index.row[found]
-    often, row = weights[row >= 0].astype(np.float32), row[row >= 0]
-    bound = np.bincount(block, share * index.most[cells], minlength=index.full.shape[1]) + often @ index.full_most[row]
-    order = np.argsort(-bound, kind="stable")
-    order = order[bound[order] > 0]
-    scores, done, group, last = np.zeros(len(bound) * BLOCK), 0, FIRST, 0.0
-    by_block = scores.reshape(-1, BLOCK)
-    while done < len(order) and bound[order[done]] >= last - _SLACK:
-        some = order[done : done + group]
-        some = some[bound[some] >= last - _SLACK]
-        chosen = np.zeros(len(bound), bool)
-        chosen[some] = True
-        by_block[some] += (often @ index.full[row[:, None], some].reshape(len(row), len(some) * BLOCK)).reshape(-1, BLOCK)
-        mine = np.flatnonzero(chosen[block])
-        a, b = index.at[cells[mine]], index.at[cells[mine] + 1]
-        postings = _ranges(a, b)
-        scores += np.bincount(index.example[postings], np.repeat(share[mine], b - a) * index.weight[postings], minlength=len(scores))
-        done += len(some)
+    cells, share, owner = _ranges(starts, ends), np.repeat(weights, ends - starts), np.repeat(text, ends - starts)
+    place = owner * blocks + index.block[cells]
+    row = index.row[found]
+    often = np.zeros((n, len(index.full)), np.float32)
+    often[text[row >= 0], row[row >= 0]] = weights[row >= 0]
+    bound = np.bincount(place, share * index.most[cells], minlength=n * blocks).reshape(n, blocks) + often @ index.full_most
+    rank = np.empty((n, blocks), np.int64)
+    np.put_along_axis(rank, np.argsort(-bound, axis=1, kind="stable"), np.arange(blocks)[None, :], axis=1)
+    scores, scored = np.zeros((n, blocks, BLOCK), np.float32), np.zeros(n, np.int64)
+    done, group, last = 0, FIRST, np.zeros(n)
+    while done < blocks:
+        chosen = (rank >= done) & (rank < done + group) & (bound > 0) & (bound >= last[:, None] - _SLACK)
+        if not chosen.any():
+            break
+        for b in np.flatnonzero(chosen.any(axis=0)):
+            some = np.flatnonzero(chosen[:, b])
+            scores[some, b] += often[some] @ index.full[:, b]
+        mine = np.flatnonzero(chosen.reshape(-1)[place])
+        a, z = index.at[cells[mine]], index.at[cells[mine] + 1]
+        postings = _ranges(a, z)
+        spot = np.repeat(owner[mine] * (blocks * BLOCK), z - a) + index.example[postings]
+        scores += np.bincount(spot, np.repeat(share[mine], z - a) * index.weight[postings], minlength=scores.size).reshape(scores.shape)
+        scored += chosen.sum(axis=1)
+        done += group
         group *= 2
-        if np.count_nonzero(scores) >= NEIGHBOURS:
-            last = np.partition(scores, -NEIGHBOURS)[-NEIGHBOURS]
-    places = np.flatnonzero(scores > 0)
-    top = places[np.lexsort((places, -np.round(scores[places], 6)))[:NEIGHBOURS]]
-    return top, scores[top], done
+        # greatest scores of sets of eight examples: as many other examples reach the last of them at least
+        going = np.flatnonzero(chosen.any(axis=1))
+        greatest = scores[going].reshape(len(going), 8, -1).max(axis=1)
+        if greatest.shape[1] >= NEIGHBOURS:
+            last[going] = np.partition(greatest, -NEIGHBOURS, axis=1)[:, -NEIGHBOURS]
+    for own, low, used in zip(scores.reshape(n, -1).astype(float), last, scored):
+        places = np.flatnonzero((own > 0) & (own >= low - _SLACK))
+        top = places[np.lexsort((places, -np.round(own[places], 6)))[:NEIGHBOURS]]
+        yield top, own[top], int(used)
 
 
 def vote(index: Index, places: np.ndarray, cosines: np.ndarray) -> float:
@@ -262,8 +297,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text") ->
             for part in slices(pc.utf8_lower(batch.column(2))):
                 n = len(part.at) - 1
                 scores, near, cosines = np.full(n, index.prior), [[]] * n, [[]] * n
-                for i, found, weights in known_terms(index, part):
-                    places, similar, _ = nearest(index, found, weights)
+                for i, places, similar, _ in nearest_of_all(index, *vectors(index, part)):
                     scores[i] = vote(index, places, similar)
                     near[i], cosines[i] = index.ids[places].tolist(), similar.tolist()
                 columns = [batch.column(0)[part.rows], batch.column(1)[part.rows], pa.array(scores)]
