@@ -252,8 +252,23 @@ def build(ids: np.ndarray, texts: pa.Array, toxic: np.ndarray, shares: tuple[flo
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text") -> Index:
-    """Index up to SAMPLE labelled rows of each class that are not held out, built in one task; ``folds`` bounds their bytes."""
+def pack(index: Index) -> list[np.ndarray]:
+    """The arrays of an index to be sent: of the rows of frequent terms the weights above zero and their spots."""
+    spots = np.flatnonzero(index.full)
+    sent = index._replace(full=np.array(index.full.shape), full_most=spots.astype(np.int32))
+    return [*(np.ascontiguousarray(np.asarray(x)) for x in sent), index.full.reshape(-1)[spots]]
+
+
+def unpack(parts: list[np.ndarray]) -> Index:
+    sent, weights = Index(*parts[:-1]), parts[-1]
+    full = np.zeros(tuple(sent.full), np.float32)
+    full.reshape(-1)[sent.full_most] = weights
+    most = full.max(2) if len(full) else np.zeros(full.shape[:2], np.float32)
+    return sent._replace(full=full, full_most=most, prior=float(sent.prior.reshape(())))
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text") -> list[np.ndarray]:
+    """Packed index of up to SAMPLE labelled rows per class that are not held out, built in one task; ``folds`` bounds their bytes."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out())
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     total = max(1, sum(counts.values()))
@@ -265,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text") -> Index:
         shares = (counts.get(0, 0) / total, counts.get(1, 0) / total)
         toxic = table["toxic"].to_numpy().astype(np.int64)
         index = build(table["doc_id"].to_numpy(), table["text"].combine_chunks(), toxic, shares)
-        values = [np.ascontiguousarray(np.asarray(x)) for x in index]
+        values = pack(index)
         return pa.table(
             {
                 "i": list(range(len(values))),
@@ -277,9 +292,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text") -> Index:
 
     found = rows.groupBy("one").applyInArrow(gather, "i long, kind string, shape array<long>, raw binary").collect()
     if not found:
-        return build(np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros(0, np.int64), (1.0, 0.0))
-    parts = [np.frombuffer(r.raw, r.kind).reshape(r.shape) for r in sorted(found, key=lambda r: r.i)]
-    return Index(*parts[:-1], float(parts[-1].reshape(())))
+        return pack(build(np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros(0, np.int64), (1.0, 0.0)))
+    if len(found) != len(Index._fields) + 1:  # a driver out of memory ends the transfer without an error
+        raise RuntimeError(f"{len(found)} of {len(Index._fields) + 1} parts of the index arrived")
+    return [np.frombuffer(r.raw, r.kind).reshape(r.shape) for r in sorted(found, key=lambda r: r.i)]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text") -> DataFrame:
@@ -290,9 +306,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text") ->
     empty texts are among them. Null ids, repeated rows and several labels of one id (the greatest
     counts) are allowed; with no labelled row every score is 0; an empty table gives no rows.
     """
-    index = fit(docs, labels, text=text)
+    parts = fit(docs, labels, text=text)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = unpack(parts)
         for batch in batches:
             for part in slices(pc.utf8_lower(batch.column(2))):
                 n = len(part.at) - 1

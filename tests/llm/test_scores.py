@@ -336,6 +336,24 @@ def test_blocks_that_cannot_win_are_not_scored():
     assert np.mean(scored) < 1600 / toxicity.BLOCK / 2
 
 
+def test_texts_together_and_packed_indexes(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(0, 60)) % 500) for _ in range(300)]
+    index = toxicity.build(np.arange(300), pa.array(texts), (np.arange(300) % 4 == 0).astype(int), (0.75, 0.25))
+    sent = toxicity.unpack(toxicity.pack(index))
+    assert all(np.array_equal(a, b) for a, b in zip(index, sent)) and sent.prior == index.prior
+    (part,) = slices(pa.array(texts))
+    alone = [(i, *toxicity.nearest(index, found, weights)) for i, found, weights in toxicity.known_terms(index, part)]
+    for together, postings in ((512, 1 << 21), (7, 1 << 21), (512, 50)):
+        monkeypatch.setattr(toxicity, "TOGETHER", together)
+        monkeypatch.setattr(toxicity, "POSTINGS", postings)
+        got = list(toxicity.nearest_of_all(sent, *toxicity.vectors(sent, part)))
+        assert [(g[0], g[1].tolist(), g[3]) for g in got] == [(w[0], w[1].tolist(), w[3]) for w in alone]
+        assert all(np.allclose(g[2], w[2], atol=1e-5) for g, w in zip(got, alone))
+    empty = toxicity.unpack(toxicity.pack(toxicity.build(np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros(0, np.int64), (1.0, 0.0))))
+    assert list(toxicity.nearest_of_all(empty, *toxicity.vectors(empty, part))) == []
+
+
 def test_an_index_without_examples():
     index = toxicity.build(np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros(0, np.int64), (1.0, 0.0))
     (part,) = slices(pa.array(["any text"]))
