@@ -22,8 +22,8 @@ PLAIN, SHRINK = 0.1, 15.0
 #: Word beginnings of so many bytes are terms beside the words themselves.
 STEMS = (4, 5, 6)
 NEIGHBOURS = 7
-#: Examples per block, blocks scored before any is left out, and terms that examples are put in order by.
-BLOCK, FIRST, SORTED_BY = 64, 4, 16
+#: Examples per block, blocks scored before any is left out, and steps towards the main direction of examples.
+BLOCK, FIRST, STEPS = 64, 4, 8
 #: Terms of at least this share of the examples have a weight for every example of a block, most of them not zero.
 FULL = 1 / 32
 #: Texts searched together at most, and their postings outside frequent terms, unless one text alone has more.
@@ -154,7 +154,8 @@ def _nearest(index: Index, text: np.ndarray, found: np.ndarray, weights: np.ndar
     row = index.row[found]
     often = np.zeros((n, len(index.full)), np.float32)
     often[text[row >= 0], row[row >= 0]] = weights[row >= 0]
-    bound = np.bincount(place, share * index.most[cells], minlength=n * blocks).reshape(n, blocks) + often @ index.full_most
+    rare = np.bincount(place, share * index.most[cells], minlength=n * blocks).reshape(n, blocks)
+    bound = rare + often @ index.full_most
     rank = np.empty((n, blocks), np.int64)
     np.put_along_axis(rank, np.argsort(-bound, axis=1, kind="stable"), np.arange(blocks)[None, :], axis=1)
     scores, scored = np.zeros((n, blocks, BLOCK), np.float32), np.zeros(n, np.int64)
@@ -163,17 +164,23 @@ def _nearest(index: Index, text: np.ndarray, found: np.ndarray, weights: np.ndar
         chosen = (rank >= done) & (rank < done + group) & (bound > 0) & (bound >= last[:, None] - _SLACK)
         if not chosen.any():
             break
+        scored += chosen.sum(axis=1)
         for b in np.flatnonzero(chosen.any(axis=0)):
             some = np.flatnonzero(chosen[:, b])
-            scores[some, b] += often[some] @ index.full[:, b]
+            part = often[some] @ index.full[:, b]
+            scores[some, b] = part
+            # with the frequent terms known, the others' postings are read only where they can still make a neighbour
+            chosen[some, b] = part.max(axis=1) + rare[some, b] >= last[some] - _SLACK
+        done += group
+        group *= 2
+        going = np.flatnonzero(chosen.any(axis=1))
+        if not len(going):
+            continue
         mine = np.flatnonzero(chosen.reshape(-1)[place])
         a, z = index.at[cells[mine]], index.at[cells[mine] + 1]
         postings = _ranges(a, z)
         spot = np.repeat(owner[mine] * (blocks * BLOCK), z - a) + index.example[postings]
         scores += np.bincount(spot, np.repeat(share[mine], z - a) * index.weight[postings], minlength=scores.size).reshape(scores.shape)
-        scored += chosen.sum(axis=1)
-        done += group
-        group *= 2
         # greatest scores of sets of eight examples: as many other examples reach the last of them at least
         going = np.flatnonzero(chosen.any(axis=1))
         greatest = scores[going].reshape(len(going), 8, -1).max(axis=1)
@@ -199,6 +206,28 @@ def _toxic_weight(bad: np.ndarray, good: np.ndarray, share: float) -> np.ndarray
     return PLAIN + np.maximum(0, np.log(ratio)) ** 2
 
 
+def _in_kind(rows: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """An order in which like examples of a class stand together, so that a block has few terms and tight bounds.
+
+    Examples are sorted by their part in the main direction in which they differ and halved, and so on down to a block.
+    """
+    left, done = [np.flatnonzero(toxic == 1), np.flatnonzero(toxic != 1)], []
+    while left:
+        some = left.pop()
+        if len(some) <= BLOCK:
+            done.append(some)
+            continue
+        apart = rows[some] - rows[some].mean(axis=0)
+        direction = apart[np.argmax((apart**2).sum(axis=1))]
+        for _ in range(STEPS):
+            direction = (apart @ direction) @ apart
+            direction = direction / max(float(np.sqrt(direction @ direction)), 1e-9)
+        some = some[np.argsort(apart @ direction, kind="stable")]
+        half = -(-len(some) // BLOCK) // 2 * BLOCK
+        left += [some[half:], some[:half]]
+    return np.concatenate(done)
+
+
 def build(ids: np.ndarray, texts: pa.Array, toxic: np.ndarray, shares: tuple[float, float]) -> Index:
     """Index every term of every example; ``shares`` are the classes' shares of all labelled rows."""
     at, owners, hashes, counts = 0, [], [], []
@@ -217,27 +246,23 @@ def build(ids: np.ndarray, texts: pa.Array, toxic: np.ndarray, shares: tuple[flo
     bad, good = (np.bincount(number, votes[owner] * (toxic[owner] == c), minlength=len(vocabulary)) for c in (1, 0))
     idf = (np.log((1 + n) / (1 + df)) + 1) * _toxic_weight(bad, good, shares[1])
 
-    # examples that share common words stand together, so that a block has few terms and tight bounds
-    slot = np.full(len(vocabulary), -1)
-    common = np.argsort(np.abs(df - n / 4), kind="stable")[:SORTED_BY]
-    slot[common] = np.arange(len(common))
-    has, marks = np.flatnonzero(slot[number] >= 0), np.zeros(n, np.int64)
-    np.bitwise_or.at(marks, owner[has], 1 << slot[number[has]])
-    order = np.lexsort((marks, toxic))
+    weight = np.log1p(count) * idf[number]
+    weight = (weight / np.sqrt(np.bincount(owner, weight**2, minlength=n))[owner]).astype(np.float32)
+    frequent = np.flatnonzero(df >= max(2, FULL * n))
+    row = np.full(len(vocabulary), -1)
+    row[frequent] = np.arange(len(frequent))
+    often = row[number] >= 0
+    rows = np.zeros((n, len(frequent)), np.float32)
+    rows[owner[often], row[number[often]]] = weight[often]
+    order = _in_kind(rows, toxic)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     ids, toxic, votes, owner = ids[order], toxic[order], votes[order], place[owner]
 
-    weight = np.log1p(count) * idf[number]
-    weight = weight / np.sqrt(np.bincount(owner, weight**2, minlength=n))[owner]
     order = np.lexsort((owner, number))
-    number, owner, weight = number[order], owner[order], weight[order].astype(np.float32)
-    blocks = -(-max(n, 1) // BLOCK)
-    frequent = np.flatnonzero(df >= max(2, FULL * n))
-    row = np.full(len(vocabulary), -1)
-    row[frequent] = np.arange(len(frequent))
+    number, owner, weight = number[order], owner[order], weight[order]
+    blocks, often = -(-max(n, 1) // BLOCK), row[number] >= 0
     full = np.zeros((len(frequent), blocks * BLOCK), np.float32)
-    often = row[number] >= 0
     full[row[number[often]], owner[often]] = weight[often]
     full = full.reshape(len(frequent), blocks, BLOCK)
     number, owner, weight = number[~often], owner[~often], weight[~often]
