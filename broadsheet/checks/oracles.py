@@ -406,6 +406,9 @@ entered AS (
             FROM locations l LEFT JOIN fetched f ON l.SN = f.SN""",
         "locations_csv": f"WITH {LOCATIONS} SELECT SN, Title, City, State, Long, Lat FROM locations",
         "titles_csv": f"WITH {SUPPLIERS},{TITLES} SELECT SN, Title FROM titles",
+        "titles_csv_files": f"WITH {SUPPLIERS},{TITLES} SELECT SN, Title FROM titles",
+        "locations_last_rows": f"""WITH {LOCATIONS} SELECT SN, CASE WHEN SN LIKE '%1' THEN concat(Title, ' again') ELSE Title END AS Title
+            FROM locations WHERE Long IS NULL OR Lat IS NULL""",
         "coordinates_updated": f"""WITH {LOCATIONS}
             SELECT SN, Title, City, State, -77.5 - CAST(s_suppkey % 8 AS DOUBLE) / 4 AS Long,
                    37.75 + CAST(s_suppkey % 8 AS DOUBLE) / 4 AS Lat
@@ -450,6 +453,16 @@ entered AS (
                          CAST(sum(article_count) AS DOUBLE) AS metric_sum, count(*) AS locations,
                          CAST(sum(article_count) AS BIGINT) AS articles
                   FROM groups GROUP BY 1, 2)""",
+        "map_clusters_levels": f"""{groups} SELECT *,
+                CASE WHEN abs(metric_sum) >= 100 THEN 'large' WHEN abs(metric_sum) >= 10 THEN 'medium'
+                     ELSE 'small' END AS size_class,
+                format('{{:,}}', CAST(metric_sum AS BIGINT)) AS label
+            FROM (SELECT CAST(zoom AS INTEGER) AS zoom,
+                         CAST(floor((lon + 180) * 2 ** zoom / 112.5) AS BIGINT) AS cell_x,
+                         CAST(floor((lat + 90) * 2 ** zoom / 112.5) AS BIGINT) AS cell_y,
+                         CAST(sum(article_count) AS DOUBLE) AS metric_sum, count(*) AS locations,
+                         CAST(sum(article_count) AS BIGINT) AS articles
+                  FROM groups, range(9) levels(zoom) GROUP BY 1, 2, 3)""",
         "map_entries": f"""{points},{_context('tion')}, shaped AS (
                 SELECT *, concat_ws(', ', City, State) AS place_name,
                        trim(regexp_extract(article, '^[^\\n\\x0b\\x0c\\r\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]*'), {TRIM}) AS head

@@ -417,6 +417,27 @@ def titles_csv(spark, sf):
     return last_titles(read_titles(spark, path))
 
 
+@query
+def titles_csv_files(spark, sf):
+    """A lookup in many files without an ordinal: the last row of the last file wins."""
+    path = scratch_path(spark, "title_files")
+    named = views.titles(spark, sf).repartitionByRange(8, "ordinal", "SN").sortWithinPartitions("ordinal", "SN")
+    named = named.select(F.col("SN").alias("lccn"), F.col("Title").alias("Name"))
+    named.write.option("header", True).option("escape", '"').csv(path)
+    return last_titles(read_titles(spark, path))
+
+
+@query
+def locations_last_rows(spark, sf):
+    """Newspapers to look up, from location files that name some of them again further on."""
+    path = scratch_path(spark, "location_files")
+    rows = views.locations(spark, sf).drop("ordinal").withColumn("part", F.lit(0))
+    again = rows.withColumns({"Title": F.concat("Title", F.lit(" again")), "part": F.lit(1)}).where("SN LIKE '%1'")
+    both = rows.unionByName(again).repartitionByRange(6, "part", "SN").sortWithinPartitions("part", "SN").drop("part")
+    both.write.option("header", True).option("escape", '"').csv(path)
+    return locations.newspapers_to_locate(read_locations(spark, path, ordinal=True))
+
+
 @query
 def coordinates_updated(spark, sf):
     out = scratch_path(spark, "coordinates")
@@ -526,6 +547,11 @@ def map_clusters(spark, sf):
     return mapping.map_clusters(mapping.map_groups(_points(spark, sf)), zoom=5)
 
 
+@query
+def map_clusters_levels(spark, sf):
+    return mapping.map_cluster_levels(mapping.map_groups(_points(spark, sf)), range(9))
+
+
 @query
 def map_entries(spark, sf):
     return mapping.map_entries(_points(spark, sf), WORD)

@@ -302,30 +302,55 @@ def map_clusters(groups: DataFrame, zoom: int = 4, normalized: bool = False) ->
 
     A cell is 80 pixels of a world that is 256 * 2^zoom pixels wide.
     """
+    return _labelled(_cells(groups, zoom), normalized)
+
+
+def map_cluster_levels(
+    groups: DataFrame, zooms: Sequence[int] = range(13), normalized: bool = False
+) -> DataFrame:
+    """``zoom`` and the rows of ``map_clusters`` at each of the whole zooms, from one pass over the groups.
+
+    Locations are added up in the cells of the finest zoom. A cell of a coarser zoom is made of whole finer
+    ones, and its number is theirs without the last bits, so coarser levels are merged from those cells, all
+    in one aggregate that Spark merges before it shuffles. Repeated zooms count once, no zoom gives no rows.
+    """
+    levels = sorted({int(zoom) for zoom in zooms})
+    if levels != sorted(set(zooms)):
+        raise ValueError("zooms must be whole numbers")
+    finest = levels[-1] if levels else 0
+    every = F.array(*[F.lit(level) for level in levels]).cast("array<int>")
+    cells = _cells(groups, finest).withColumn("zoom", F.explode(every))
+    coarser = [
+        F.expr(f"shiftright({name}, {finest} - zoom)").alias(name) for name in ("cell_x", "cell_y")
+    ]
+    merged = cells.groupBy("zoom", *coarser).agg(
+        *[F.sum(name).alias(name) for name in ("metric_sum", "locations", "articles")]
+    )
+    return _labelled(merged, normalized)
+
+
+def _cells(groups: DataFrame, zoom: float) -> DataFrame:
+    # Cell widths of whole zooms differ by powers of two only, so that cells nest without rounding.
     cell = 360.0 * 80.0 / 256.0 / 2.0**zoom
-    total = F.sum("value")
+    return groups.groupBy(
+        F.floor((F.col("lon") + 180.0) / cell).alias("cell_x"),
+        F.floor((F.col("lat") + 90.0) / cell).alias("cell_y"),
+    ).agg(
+        F.sum("value").alias("metric_sum"),
+        F.count("*").alias("locations"),
+        F.sum("article_count").alias("articles"),
+    )
+
+
+def _labelled(cells: DataFrame, normalized: bool) -> DataFrame:
     size = F.abs(F.col("metric_sum"))
     label = (
         F.format_string("%.4f", F.col("metric_sum"))
         if normalized
         else F.format_number(F.floor(F.col("metric_sum") + 0.5), 0)
     )
-    return (
-        groups.groupBy(
-            F.floor((F.col("lon") + 180.0) / cell).alias("cell_x"),
-            F.floor((F.col("lat") + 90.0) / cell).alias("cell_y"),
-        )
-        .agg(
-            total.alias("metric_sum"),
-            F.count("*").alias("locations"),
-            F.sum("article_count").alias("articles"),
-        )
-        .withColumn(
-            "size_class",
-            F.when(size >= 100, "large").when(size >= 10, "medium").otherwise("small"),
-        )
-        .withColumn("label", label)
-    )
+    size_class = F.when(size >= 100, "large").when(size >= 10, "medium").otherwise("small")
+    return cells.withColumn("size_class", size_class).withColumn("label", label)
 
 
 def _newspaper() -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from broadsheet.runtime import local_table
 from broadsheet.schemas import LOCATIONS, ensure_columns, require_columns
@@ -22,15 +23,38 @@ def _read_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_locations(spark: SparkSession, path: str) -> DataFrame:
-    """Newspaper locations; ``SN``, ``Long`` and ``Lat`` are required columns."""
+def file_order() -> Column:
+    """Place of a row among the files it is read from: path, split and row in the split.
+
+    To be selected straight from the reader. Rows of one split are numbered in their order by one task, and splits
+    are told apart by where they begin, so the order is the same however files are cut and dealt to tasks.
+    """
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+
+
+def read_locations(spark: SparkSession, path: str, *, ordinal: bool = False) -> DataFrame:
+    """Newspaper locations; ``SN``, ``Long`` and ``Lat`` are required columns.
+
+    ``ordinal`` adds the place in the files under that name, by which the last row of a newspaper is known.
+    """
     raw = require_columns(_read_csv(spark, path), ("SN", "Long", "Lat"), "the locations table")
+    place = [file_order().alias("ordinal")] if ordinal else []
+    if place:
+        raw = raw.drop("ordinal").select("*", *place)
     raw = ensure_columns(raw, ("City", "State", "Title"))
-    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in LOCATIONS])
+    columns = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in LOCATIONS]
+    return raw.select(*columns, *(["ordinal"] if place else []))
 
 
 def title_lookup(df: DataFrame) -> DataFrame:
-    """``SN, Title`` from a table whose headings vary; without such headings it is empty."""
+    """``SN, Title`` from a table whose headings vary; without such headings it is empty.
+
+    A column ``ordinal`` says which row is the last: numbers, or places in files as ``file_order`` gives them.
+    """
 
     headings = {column.strip().lower(): column for column in reversed(df.columns)}  # the first of a kind wins
     keys = [headings[h] for h in headings if h in KEY_HEADINGS]
@@ -39,9 +63,12 @@ def title_lookup(df: DataFrame) -> DataFrame:
     if key is None or title is None:
         empty = {"SN": pa.string(), "Title": pa.string(), "ordinal": pa.int64()}
         return local_table(df.sparkSession, [], **empty)
-    ordinal = (
-        F.col("ordinal").cast("long") if "ordinal" in df.columns else F.monotonically_increasing_id()
-    )
+    if "ordinal" not in df.columns:
+        ordinal = F.monotonically_increasing_id()
+    elif isinstance(df.schema["ordinal"].dataType, StructType):
+        ordinal = F.col("ordinal")
+    else:
+        ordinal = F.col("ordinal").cast("long")
     return df.select(
         F.col(f"`{key}`").cast("string").alias("SN"),
         F.col(f"`{title}`").cast("string").alias("Title"),
@@ -50,7 +77,11 @@ def title_lookup(df: DataFrame) -> DataFrame:
 
 
 def read_titles(spark: SparkSession, path: str) -> DataFrame:
-    return title_lookup(_read_csv(spark, path))
+    """``title_lookup`` of CSV files; without a column ``ordinal`` rows count in the order of the files."""
+    raw = _read_csv(spark, path)
+    if "ordinal" not in raw.columns:
+        raw = raw.select("*", file_order().alias("ordinal"))
+    return title_lookup(raw)
 
 
 def last_titles(lookup: DataFrame) -> DataFrame:

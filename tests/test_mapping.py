@@ -138,6 +138,23 @@ def test_clusters(rows):
     assert got == [(11.0, 2, 11, "medium", "11"), (1200.0, 1, 1200, "large", "1,200")]
 
 
+def test_levels_of_clusters_equal_clusters_of_every_zoom(rows):
+    places = [(x * 7.3 - 89.9, x * 13.7 - 179.9, None) for x in range(24)] + [(-90.0, -180.0, None), (-90.5, -180.5, None), (90.0, 180.0, None)]
+    groups = mapping.map_groups(points(located(rows, places * 2))).persist()
+    zooms = (7, 0, 3, 3, 18)
+    got = mapping.map_cluster_levels(groups, zooms)
+    assert got.dropDuplicates(["zoom", "cell_x", "cell_y"]).count() == got.count()
+    for zoom in set(zooms):
+        want = mapping.map_clusters(groups, zoom)
+        level = got.where(got.zoom == zoom).select(*want.columns)
+        assert sorted(map(tuple, level.collect())) == sorted(map(tuple, want.collect()))
+    assert mapping.map_cluster_levels(groups, []).count() == 0
+    assert mapping.map_cluster_levels(groups.limit(0)).count() == 0
+    assert mapping.map_cluster_levels(groups, [2], normalized=True).first().label.endswith(".0000")
+    with pytest.raises(ValueError):
+        mapping.map_cluster_levels(groups, [2.5])
+
+
 def test_entries_and_titles(rows):
     pts = points(located(rows, [(1.0, 2.0, "19000102", " p1 ", "Head <b>\nthe GOLD rush")]))
     entry = mapping.map_entries(pts, "gold", details=True).first()

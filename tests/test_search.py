@@ -142,6 +142,25 @@ def test_last_title_wins(spark, rows, tmp_path):
     assert read_titles(spark, str(tmp_path / "u.csv")).count() == 0
 
 
+@pytest.mark.parametrize("split", ["200", "128m"])
+def test_the_last_row_of_the_last_file_wins(spark, tmp_path, split):
+    """Spark deals large files first, so the order of partitions is not that of files."""
+    for number, rows in enumerate((3, 40, 400)):
+        lines = [f"sn{row},title {number}.{row}" for row in range(rows)] + [f"sn0,end of {number}"]
+        (tmp_path / f"{2 - number}.csv").write_text("lccn,title\n" + "\n".join(lines) + "\n")
+    (tmp_path / "3.csv").write_text('lccn,title\nsn1,"two\nlines"\n')
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        found = {r.SN: r.Title for r in last_titles(read_titles(spark, str(tmp_path))).collect()}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert len(found) == 400 and found["sn0"] == "end of 0" and found["sn1"] == "two\nlines"
+    assert (found["sn2"], found["sn39"], found["sn399"]) == ("title 0.2", "title 1.39", "title 2.399")
+
+
 def test_locations_need_their_columns(spark, tmp_path):
     (tmp_path / "l.csv").write_text("SN,Long,Lat,City\nsn1,-120.5,25,Rome\nsn2,east,25,\n")
     first, second = read_locations(spark, str(tmp_path / "l.csv")).orderBy("SN").collect()
