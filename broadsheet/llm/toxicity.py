@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -37,6 +38,8 @@ THRESHOLD = 0.5
 #: Bounds and scores are sums in single precision.
 _SLACK = 1e-5
 
+_unpacked: dict[str, Index] = {}
+
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
@@ -193,10 +196,13 @@ def _nearest(index: Index, text: np.ndarray, found: np.ndarray, weights: np.ndar
         greatest = scores[going].reshape(len(going), 8, -1).max(axis=1)
         if greatest.shape[1] >= NEIGHBOURS:
             last[going] = np.partition(greatest, -NEIGHBOURS, axis=1)[:, -NEIGHBOURS]
-    for own, low, used in zip(scores.reshape(n, -1).astype(float), last, scored):
-        places = np.flatnonzero((own > 0) & (own >= low - _SLACK))
-        top = places[np.lexsort((places, -np.round(own[places], 6)))[:NEIGHBOURS]]
-        yield top, own[top], int(used)
+    flat = scores.reshape(n, -1)
+    own, places = np.nonzero((flat > 0) & (flat >= (last - _SLACK).astype(np.float32)[:, None]))
+    cosines = flat[own, places].astype(float)
+    order, begins = np.lexsort((places, -np.round(cosines, 6), own)), np.searchsorted(own, np.arange(n + 1))
+    for begin, end, used in zip(begins[:-1], begins[1:], scored):
+        top = order[begin:end][:NEIGHBOURS]
+        yield places[top], cosines[top], int(used)
 
 
 def vote(index: Index, places: np.ndarray, cosines: np.ndarray) -> float:
@@ -300,6 +306,14 @@ def unpack(parts: list[np.ndarray]) -> Index:
     return sent._replace(full=full, full_most=most, prior=float(sent.prior.reshape(())))
 
 
+def _opened(key: str, parts: list[np.ndarray]) -> Index:
+    """The index of a run, unpacked once per worker process."""
+    if key not in _unpacked:
+        _unpacked.clear()
+        _unpacked[key] = unpack(parts)
+    return _unpacked[key]
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text") -> list[np.ndarray]:
     """Packed index of up to SAMPLE labelled rows per class that are not held out, built in one task; ``folds`` bounds their bytes."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out())
@@ -339,10 +353,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text") ->
     empty texts are among them. Null ids, repeated rows and several labels of one id (the greatest
     counts) are allowed; with no labelled row every score is 0; an empty table gives no rows.
     """
-    parts = fit(docs, labels, text=text)
+    parts, key = fit(docs, labels, text=text), uuid.uuid4().hex
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = unpack(parts)
+        index = _opened(key, parts)
         for batch in batches:
             for part in slices(pc.utf8_lower(batch.column(2))):
                 n = len(part.at) - 1
