@@ -674,6 +674,14 @@ def collection_roundtrip(spark, sf):
     )
 
 
+def _yearly_corpus(spark: SparkSession, sf: str, label: str, **options) -> str:
+    """Articles in year folders, written by the tasks that read them: a larger table gives more tasks, not larger ones."""
+    path = scratch_path(spark, label)
+    rows = views.articles(spark, sf).drop("newspaper_name").withColumn("year", F.substring("date", 1, 4).cast("int"))
+    rows.write.options(**options).partitionBy("year").parquet(path)
+    return path
+
+
 #: Found in few files, in many, in none; and too short for the index.
 SKIPPING = ["apache license", WORD, "zzz-absent", "of"]
 
@@ -681,9 +689,7 @@ SKIPPING = ["apache license", WORD, "zzz-absent", "of"]
 @query
 def search_skipping(spark, sf):
     """The index is built over files of 100 articles; each search opens those that can hold its term."""
-    path, index = scratch_path(spark, "corpus"), scratch_path(spark, "text-index")
-    rows = views.articles(spark, sf).drop("newspaper_name").withColumn("year", F.substring("date", 1, 4).cast("int"))
-    rows.repartition("year").write.option("maxRecordsPerFile", 100).partitionBy("year").parquet(path)
+    path, index = _yearly_corpus(spark, sf, "corpus", maxRecordsPerFile=100), scratch_path(spark, "text-index")
     update_text_index(spark, path, index)
     found = None
     for term in SKIPPING:

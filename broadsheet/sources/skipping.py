@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.runtime import let, local_table
+from broadsheet.runtime import local_table
 from broadsheet.sources.corpus import read_corpus, year_of_path
 
 #: Bits of a file's bitmap, in parts of 32,768 bits, the size that Spark's bitmap functions have.
@@ -16,23 +19,42 @@ _FILE = ["path", "size", "changed"]
 _INDEX = "path string, size long, changed timestamp, bitmap binary, bucket int"
 
 
+def _marker() -> Callable[[str, np.ndarray], None]:
+    """Array code that marks the numbers of a text's runs; a closure, so that workers need no package for it."""
+    shift, pieces = np.uint64(65 - BITS.bit_length()), 1 << 20
+    factors = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+    def mark(text: str, marks: np.ndarray) -> None:
+        for at in range(0, len(text) - 2, pieces):
+            points = np.frombuffer(text[at : at + pieces + 2].encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+            # a code point has 21 bits; products wrap around
+            runs = (points[:-2] << np.uint64(42)) | (points[1:-1] << np.uint64(21)) | points[2:]
+            runs *= factors[0]
+            runs ^= runs >> np.uint64(32)
+            runs *= factors[1]
+            marks[(runs >> shift).astype(np.int64)] = True
+
+    return mark
+
+
+def _lower(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
 def trigram_bits(text: Column) -> Column:
     """Different numbers 1 to BITS of all runs of three characters, in lower case; none for shorter and null texts.
 
-    Found in one pass over the characters. Two runs may share a number, so a set bit means
-    that a text may hold a run, and a bit that is not set means that it does not.
+    Two runs may share a number, so a set bit means that a text may hold a run, and a bit that is not set means
+    that it does not.
     """
+    mark, bits = _marker(), BITS
 
-    def runs(chars: Column) -> Column:
-        first = F.sequence(F.lit(0), F.greatest(F.size(chars) - 3, F.lit(0)))
-        return F.transform(
-            first,
-            lambda i: 1 + F.pmod(F.xxhash64(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)), F.lit(BITS)),
-        )
+    def numbers(lower: str) -> list[int]:
+        marks = np.zeros(bits, bool)
+        mark(lower, marks)
+        return (np.flatnonzero(marks) + 1).tolist()
 
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    found = F.when(F.length(lower) >= 3, let(F.split(lower, ""), runs))
-    return F.array_distinct(F.coalesce(found, F.array().cast("array<bigint>")))
+    return F.udf(numbers, "array<long>")(_lower(text))
 
 
 def corpus_files(spark: SparkSession, corpus: str) -> DataFrame:
@@ -54,9 +76,9 @@ def corpus_files(spark: SparkSession, corpus: str) -> DataFrame:
 def update_text_index(spark: SparkSession, corpus: str, index: str) -> int:
     """Add the files of ``corpus`` that ``index`` does not know in their present state; how many there were.
 
-    A file has a bitmap of the three-character runs of all its articles. Articles give each run once, and
-    bitmaps are merged before the shuffle, so what is moved is at most 128 kB per file and task. Entries
-    are only added; those of changed and removed files no longer fit any file and are not used.
+    A file has a bitmap of the three-character runs of all its articles. A task marks the runs of its part of a
+    file in one bitmap, so what is moved is at most 128 kB per file and task. Entries are only added; those of
+    changed and removed files no longer fit any file and are not used.
     """
     listed = corpus_files(spark, corpus)
     known = _entries(spark, index)
@@ -69,19 +91,42 @@ def update_text_index(spark: SparkSession, corpus: str, index: str) -> int:
 
 
 def _bitmaps(articles: DataFrame) -> DataFrame:
-    # the path is a URI here, and a plain path in a listing
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    bits = F.concat(F.array(F.lit(0).cast("long")), trigram_bits(F.col("article")))
+    mark, bits, per_bucket = _marker(), BITS, 1 << 15
+
+    def entry(file: tuple[str, int, int], marks: np.ndarray) -> pa.RecordBatch:
+        maps = np.packbits(marks.reshape(-1, per_bucket), axis=1, bitorder="little")
+        held = np.flatnonzero(maps.any(axis=1))
+        # bit 0, in a bucket of its own, marks a file as known
+        rows = [b"\x01".ljust(per_bucket // 8, b"\0"), *(maps[i].tobytes() for i in held)]
+        same = [pa.array([value] * len(rows)) for value in file]
+        return pa.RecordBatch.from_arrays([*same, pa.array([0, *(held + 1)], pa.int32()), pa.array(rows)], names)
+
+    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, marks = None, np.zeros(bits, bool)
+        for batch in batches:
+            for *of, text in zip(*(column.to_pylist() for column in batch.columns)):
+                if of != file:
+                    if file:
+                        yield entry(file, marks)
+                    file = of
+                    marks[:] = False
+                mark(text, marks)
+        if file:
+            yield entry(file, marks)
+
+    names = ["path", "size", "changed", "bucket", "bitmap"]
     found = articles.select(
-        F.regexp_replace(path, "^file:/+", "file:/").alias("path"),
+        F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_size").alias("size"),
-        F.col("_metadata.file_modification_time").alias("changed"),
-        F.explode(bits).alias("bit"),
+        F.unix_micros("_metadata.file_modification_time").alias("changed"),
+        _lower(F.col("article")).alias("text"),
     )
-    # bit 0, in a bucket of its own, marks a file as known
-    of_bucket = [*_FILE, F.bitmap_bucket_number("bit").cast("int").alias("bucket")]
-    found = found.groupBy(*of_bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
-    return found.hint("rebalance", "bucket").select(*_FILE, "bitmap", "bucket")
+    found = found.mapInArrow(bitmaps, "path string, size long, changed long, bucket int, bitmap binary")
+    found = found.groupBy(*_FILE, "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    # the path is a URI here, and a plain path in a listing
+    path = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    found = found.select(path.alias("path"), "size", F.timestamp_micros("changed").alias("changed"), "bitmap", "bucket")
+    return found.hint("rebalance", "bucket")
 
 
 def _entries(spark: SparkSession, index: str) -> DataFrame | None:

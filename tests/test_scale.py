@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from broadsheet.checks import queries
 from broadsheet.functions.ranking import rank_by_frequency
 from broadsheet.operators import collocation, locations, ranks
 from broadsheet.operators.collocation import Options
@@ -86,3 +87,16 @@ def test_a_run_leaves_no_staged_folder(rows, tmp_path):
     articles = rows([("1", "1900-01-02", "p1", "gold rush and more"), ("2", "1900-02-02", "p1", "rush of gold")], "article_id string, date string, page string, article string")
     collocation_run(articles, str(tmp_path / "out"), "gold", time_bin="1 months")
     assert set(shared.iterdir()) == before
+
+
+def test_a_corpus_by_year_is_written_by_as_many_tasks_as_read_it(rows, tmp_path):
+    docs = rows([(i, f"text {i}", "src1") for i in range(60)], "doc_id long, text string, source string")
+    docs.repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        path = queries._yearly_corpus(spark, str(tmp_path), "by-year")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    parts = {f.name.split("-")[1] for f in Path(path.removeprefix("file:")).rglob("part-*.parquet")}
+    assert len(parts) >= 6 and spark.read.parquet(path).count() == 60

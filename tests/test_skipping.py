@@ -11,7 +11,7 @@ from broadsheet.operators.search import search
 from broadsheet.plans.runs import search_run
 from broadsheet.schemas import CORPUS
 from broadsheet.sources.corpus import read_corpus, stream_corpus, stream_files
-from broadsheet.sources.skipping import corpus_files, files_to_read, read_matching_corpus, trigram_bits, update_text_index
+from broadsheet.sources.skipping import _bitmaps, corpus_files, files_to_read, read_matching_corpus, trigram_bits, update_text_index
 from broadsheet.streaming.search import CappedSearch, read_capped, read_progress, stream_search, stream_search_capped
 
 TERMS = ["gold", "GOLD rush", "ö-ß", "new york", "xyz", "of", "", "a_b%", "rush\ngold"]
@@ -63,6 +63,18 @@ def test_trigrams(spark):
     assert all(0 < x <= 1 << 20 for b in bits for x in b)
 
 
+def test_runs_are_marked_in_arrays(spark, corpus, tmp_path):
+    """A task gives a file's bitmap, and not a row per run of an article."""
+    assert "Generate" not in _bitmaps(read_corpus(spark, corpus))._jdf.queryExecution().executedPlan().toString()
+    folder, index, piece = tmp_path / "long", str(tmp_path / "index"), 1 << 20
+    texts = ["a" * (piece - 2) + "zebra", "a" * piece + "okapi"]
+    for at, text in enumerate(texts):
+        put(spark, folder, f"{at}_1900.parquet", [article(at, "1900-01-01", text)])
+    update_text_index(spark, str(folder), index)
+    for at, term in enumerate(("azebra", "aokapi")):
+        assert [Path(p).name for p in files_to_read(spark, str(folder), index, term)] == [f"{at}_1900.parquet"]
+
+
 @pytest.mark.parametrize("term", TERMS)
 def test_same_matches_as_the_scan(spark, corpus, tmp_path, term):
     index = str(tmp_path / "index")
