@@ -747,9 +747,7 @@ def stream_search_early_stop(spark, sf):
 @query
 def stream_progress(spark, sf):
     """What the batches of a search have read and matched, added up."""
-    path, out = scratch_path(spark, "stream-corpus"), scratch_path(spark, "stream-out")
-    rows = views.articles(spark, sf).drop("newspaper_name").withColumn("year", F.substring("date", 1, 4).cast("int"))
-    rows.repartition(4).write.partitionBy("year").parquet(path)
+    path, out = _yearly_corpus(spark, sf, "stream-corpus"), scratch_path(spark, "stream-out")
     steps, state = scratch_path(spark, "stream-steps"), scratch_path(spark, "stream-state")
     run = stream_search(spark, path, out, state, WORD, START, END, files_per_batch=2, progress=steps)
     run.progress_table.finish(run)
