@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.checks import views
@@ -26,11 +26,11 @@ from broadsheet.sinks.results import (
 )
 from broadsheet.sources.corpus import available_years, read_corpus, year_ranges
 from broadsheet.sources.features import (
-    collection_crs,
     feature_rows,
     points,
     read_feature_collection,
     read_features,
+    stated_crs,
 )
 from broadsheet.sources.payloads import read_results, run_metadata
 from broadsheet.sources.tables import last_titles, read_locations, read_table, read_titles
@@ -646,7 +646,24 @@ def metrics_read_back(spark, sf):
 @query
 def collection_roundtrip(spark, sf):
     """Documents of up to ten features with numbers, lists, nested values and nulls; what is written again has them all."""
-    path, out = scratch_path(spark, "collections"), scratch_path(spark, "features")
+    path, out = _collections(spark, sf), scratch_path(spark, "features")
+    stated = Observation()
+    write_raw_features(feature_rows(read_feature_collection(spark, path, stated)), out)
+    part = lambda of: F.get_json_object("raw", of)
+    return read_features(spark, out).select(
+        part("$.id").cast("long").alias("id"),
+        part("$.properties.score").cast("double").alias("score"),
+        part("$.properties.places").alias("places"),
+        part("$.properties.when.sure").alias("sure"),
+        F.get("geometry.coordinates", F.lit(1)).cast("double").alias("lat"),
+        F.col("properties")["article_id"].alias("article_id"),
+        F.lit(stated_crs(stated)["properties"]["name"]).alias("crs"),
+    )
+
+
+def _collections(spark: SparkSession, sf: str) -> str:
+    """One file per ten articles. A file costs more than its few bytes, so the tasks are as many as a shuffle has and are not merged by size."""
+    path = scratch_path(spark, "collections")
     number = F.col("full_article_id")
     feature = F.struct(
         F.lit("Feature").alias("type"),
@@ -657,21 +674,13 @@ def collection_roundtrip(spark, sf):
         ).alias("properties"),
     )
     system = F.struct(F.lit("name").alias("type"), F.struct(F.lit("urn:x").alias("name")).alias("properties"))
-    docs = views.articles(spark, sf).groupBy(F.expr("full_article_id div 10")).agg(F.collect_list(feature).alias("features"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = views.articles(spark, sf).withColumn("document", F.expr("full_article_id div 10"))
+    docs = rows.repartition(tasks, "document").groupBy("document").agg(F.collect_list(feature).alias("features"))
     docs = docs.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), system.alias("crs"), "features")))
-    docs.write.option("maxRecordsPerFile", 1).text(path)
-    write_raw_features(feature_rows(read_feature_collection(spark, path)), out)
-    stated = collection_crs(spark, path)["properties"]["name"]
-    part = lambda of: F.get_json_object("raw", of)
-    return read_features(spark, out).select(
-        part("$.id").cast("long").alias("id"),
-        part("$.properties.score").cast("double").alias("score"),
-        part("$.properties.places").alias("places"),
-        part("$.properties.when.sure").alias("sure"),
-        F.get("geometry.coordinates", F.lit(1)).cast("double").alias("lat"),
-        F.col("properties")["article_id"].alias("article_id"),
-        F.lit(stated).alias("crs"),
-    )
+    # tasks put their files in place themselves; else the driver would move them one by one
+    docs.write.options(maxRecordsPerFile=1, **{"mapreduce.fileoutputcommitter.algorithm.version": 2}).text(path)
+    return path
 
 
 def _yearly_corpus(spark: SparkSession, sf: str, label: str, **options) -> str:

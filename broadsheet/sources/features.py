@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,15 +27,19 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.from_json("value", FEATURE).alias("f"), F.col("value").alias("raw")).select("f.*", "raw")
 
 
-def read_feature_collection(spark: SparkSession, path: str) -> DataFrame:
+def read_feature_collection(spark: SparkSession, path: str, stated: Observation | None = None) -> DataFrame:
     """Features of whole-document collections, as ``read_features`` gives them.
 
     ``raw`` holds each feature as a JSON text of its own, with its ids, numbers, lists and nested values.
     For many files of bounded size: each is one task, and Spark holds its features as one value, which
-    may not exceed 2 GB. Larger data belong in lines, see ``read_features``.
+    may not exceed 2 GB. Larger data belong in lines, see ``read_features``. With ``stated`` the pass that
+    reads the features also notes the coordinate systems, see ``stated_crs``.
     """
     # a value that is asked for as text is handed over as it stands in the document
-    docs = spark.read.schema("features array<string>").option("multiLine", True).json(path)
+    columns = "features array<string>" + (", crs string" if stated else "")
+    docs = spark.read.schema(columns).option("multiLine", True).json(path)
+    if stated:
+        docs = docs.observe(stated, F.min("crs").alias("first"), F.max("crs").alias("last"))
     # line ends stand between values only, as JSON writes those inside a string in another way
     one_line = F.translate(F.col("raw"), "\r\n", "  ").alias("raw")
     raw = docs.select(F.explode("features").alias("raw")).where("raw is not null").select(one_line)
@@ -49,9 +53,18 @@ def collection_crs(spark: SparkSession, path: str) -> dict | None:
     """
     docs = spark.read.schema("crs string").option("multiLine", True).json(path)
     stated = docs.where("crs is not null").distinct().limit(2).collect()
+    return _only_crs([row.crs for row in stated])
+
+
+def stated_crs(stated: Observation) -> dict | None:
+    """As ``collection_crs``, from what ``read_feature_collection`` noted; waits until its rows are written or collected."""
+    return _only_crs(sorted({crs for crs in stated.get.values() if crs is not None}))
+
+
+def _only_crs(stated: list[str]) -> dict | None:
     if len(stated) > 1:
         raise ValueError("the collections state different coordinate systems")
-    return json.loads(stated[0].crs) if stated else None
+    return json.loads(stated[0]) if stated else None
 
 
 def collection_metadata(spark: SparkSession, path: str) -> DataFrame:
