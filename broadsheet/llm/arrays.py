@@ -119,6 +119,28 @@ _BY_EIGHTS = 64
 _FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
+def unlike(data: np.ndarray, starts: np.ndarray, other: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether each range of ``data`` has other bytes than the equally long one of ``other``."""
+
+    def eights(raw: np.ndarray) -> np.ndarray:
+        # eight bytes at a time, from any position
+        return np.ndarray((len(raw) + 1,), "<u8", np.concatenate((raw, np.zeros(8, np.uint8))), strides=(1,))
+
+    ours = eights(data)
+    theirs = ours if other is data else eights(other)
+    out, check, mine, beside, left = np.zeros(len(starts), bool), np.arange(len(starts)), starts, others, sizes
+    for step in range(0, _BY_EIGHTS, 8):
+        differ = (ours[mine + step] ^ theirs[beside + step]) & _FIRST_BYTES[np.minimum(left - step, 8)]
+        out[check[differ != 0]] = True
+        more = left > step + 8
+        check, mine, beside, left = check[more], mine[more], beside[more], left[more]
+        if not len(check):
+            break
+    for i, a, b, n in zip(check.tolist(), mine.tolist(), beside.tolist(), left.tolist()):
+        out[i] = out[i] or not np.array_equal(data[a : a + n], other[b : b + n])
+    return out
+
+
 def distinct_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first of each kind of byte ranges, and for each range the number of its kind; equal bytes are one kind.
 
@@ -129,18 +151,7 @@ def distinct_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hash
     model, sizes = first[kind], ends - starts
     apart = sizes != sizes[model]
     check = np.flatnonzero(~apart & (model != np.arange(len(model))))
-    # eight bytes at a time, from any position
-    eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
-    mine, other, left = starts[check], starts[model[check]], sizes[check]
-    for step in range(0, _BY_EIGHTS, 8):
-        unlike = (eights[mine + step] ^ eights[other + step]) & _FIRST_BYTES[np.minimum(left - step, 8)]
-        apart[check[unlike != 0]] = True
-        more = left > step + 8
-        check, mine, other, left = check[more], mine[more], other[more], left[more]
-        if not len(check):
-            break
-    for i, a, b, n in zip(check.tolist(), mine.tolist(), other.tolist(), left.tolist()):
-        apart[i] = apart[i] or not np.array_equal(data[a : a + n], data[b : b + n])
+    apart[check] = unlike(data, starts[check], data, starts[model[check]], sizes[check])
     if apart.any():
         numbers: dict[bytes, int] = {}
         added = []

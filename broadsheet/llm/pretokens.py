@@ -9,10 +9,12 @@ there first.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from tokenizers import Tokenizer
 
-from broadsheet.llm.arrays import RangeHashes, Texts, distinct_ranges, text_of
+from broadsheet.llm.arrays import RangeHashes, Texts, distinct_ranges, text_of, unlike
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNKNOWN = range(5)
 #: A worker forgets its pre-tokens beyond this many, some 100 MB; they are then encoded again when met.
@@ -23,6 +25,15 @@ _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 _opened: dict[str, BytePairs] = {}
 
 
+class _Kinds(NamedTuple):
+    """Different pre-tokens of a slice: ranges of its bytes, and their hashes."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    hashes: np.ndarray
+
+
 def opened(path: str) -> BytePairs:
     """The encoder of a tokenizer file, one per worker process."""
     if path not in _opened:
@@ -55,7 +66,14 @@ class BytePairs:
         return [t.id for t in self.library.model.tokenize(piece.decode("latin-1").translate(self._letters))]
 
     def _forget(self) -> None:
-        self._numbers: dict[bytes, int] = {}
+        #: Hashes of the known pre-tokens in order, and which pre-token each one is of.
+        self._hashes = np.zeros(0, np.uint64)
+        self._of_hash = np.zeros(0, np.int64)
+        #: Pre-tokens whose hash another one has.
+        self._odd: dict[bytes, int] = {}
+        self._data = np.zeros(0, np.uint8)
+        self._starts = np.zeros(0, np.int64)
+        self._sizes = np.zeros(0, np.int64)
         self._first = np.zeros(0, np.int64)
         self._count = np.zeros(0, np.int64)
         self._ids = np.zeros(0, np.int32)
@@ -139,26 +157,69 @@ class BytePairs:
 
     # -- encoding ---------------------------------------------------------------------------
 
-    def _kinds(self, texts: Texts, begins: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    def _kinds(self, texts: Texts, begins: np.ndarray) -> tuple[_Kinds, np.ndarray]:
         """The different pre-tokens of a slice, and which of them each one is."""
         ends = np.append(begins[1:], len(texts.data))
-        first, kind = distinct_ranges(texts.data, begins, ends, RangeHashes(texts.data)(begins, ends))
-        raw = texts.data.tobytes()
-        return [raw[b:e] for b, e in zip(begins[first].tolist(), ends[first].tolist())], kind
+        hashes = RangeHashes(texts.data)(begins, ends)
+        first, kind = distinct_ranges(texts.data, begins, ends, hashes)
+        return _Kinds(texts.data, begins[first], ends[first] - begins[first], hashes[first]), kind
+
+    def _known(self, kinds: _Kinds) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each pre-token in the worker's list, -1 if it is not found by its hash; and whether its hash is known."""
+        found = np.full(len(kinds.hashes), -1, np.int64)
+        if not len(self._hashes):
+            return found, np.zeros(len(found), bool)
+        place = np.minimum(np.searchsorted(self._hashes, kinds.hashes), len(self._hashes) - 1)
+        taken, index = self._hashes[place] == kinds.hashes, self._of_hash[place]
+        alike = np.flatnonzero(taken & (self._sizes[index] == kinds.sizes))
+        of = index[alike]
+        other = unlike(kinds.data, kinds.starts[alike], self._data, self._starts[of], kinds.sizes[alike])
+        found[alike[~other]] = of[~other]
+        return found, taken
 
-    def _pieces(self, kinds: list[bytes]) -> np.ndarray:
-        """Index of each pre-token in the worker's list; new ones are encoded by the library."""
-        if len(self._numbers) + len(kinds) > CACHE_PIECES:
+    def _pieces(self, kinds: _Kinds, whole: frozenset[bytes] = frozenset()) -> np.ndarray:
+        """Index of each pre-token in the worker's list; new ones are encoded by the library, those in ``whole`` unmerged."""
+        found, taken = self._known(kinds)
+        new = np.flatnonzero(found < 0)
+        if len(new) and len(self._count) + len(new) > CACHE_PIECES:
             self._forget()
-        new = [piece for piece in kinds if piece not in self._numbers]
-        if new:
-            ids = [self.merged(piece) for piece in new]
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._numbers.update(zip(new, range(len(self._count), len(self._count) + len(new))))
-            self._first = np.append(self._first, len(self._ids) + np.cumsum(counts) - counts)
-            self._count = np.append(self._count, counts)
-            self._ids = np.append(self._ids, np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum())))
-        return np.fromiter(map(self._numbers.__getitem__, kinds), np.int64, len(kinds))
+            found, taken = self._known(kinds)
+            new = np.flatnonzero(found < 0)
+        if not len(new):
+            return found
+        raw, begins = kinds.data.tobytes(), kinds.starts[new]
+        pieces = [raw[b:e] for b, e in zip(begins.tolist(), (begins + kinds.sizes[new]).tolist())]
+        lone = np.zeros(len(new), bool)
+        lone[np.unique(kinds.hashes[new], return_index=True)[1]] = True
+        lone &= ~taken[new]
+        number, ids, kept = len(self._count), [], []
+        for i in range(len(new)):
+            if not lone[i] and pieces[i] in self._odd:
+                found[new[i]] = self._odd[pieces[i]]
+                continue
+            ids.append(self._unmerged(pieces[i]) if pieces[i] in whole else self.merged(pieces[i]))
+            kept.append(i)
+            found[new[i]] = number
+            if not lone[i]:
+                self._odd[pieces[i]] = number
+            number += 1
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        sizes = kinds.sizes[new[kept]]
+        self._starts = np.append(self._starts, len(self._data) + np.cumsum(sizes) - sizes)
+        self._sizes = np.append(self._sizes, sizes)
+        self._data = np.append(self._data, np.frombuffer(b"".join([pieces[i] for i in kept]), np.uint8))
+        self._first = np.append(self._first, len(self._ids) + np.cumsum(counts) - counts)
+        self._count = np.append(self._count, counts)
+        self._ids = np.append(self._ids, np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum())))
+        added = new[lone]
+        added = added[np.argsort(kinds.hashes[added], kind="stable")]
+        place = np.searchsorted(self._hashes, kinds.hashes[added])
+        self._hashes = np.insert(self._hashes, place, kinds.hashes[added])
+        self._of_hash = np.insert(self._of_hash, place, found[added])
+        return found
+
+    def _unmerged(self, piece: bytes) -> list[int]:
+        return [self.library.token_to_id(piece.decode("latin-1").translate(self._letters))]
 
     def _special(self, texts: Texts) -> list[int]:
         """Texts that contain a special string."""
@@ -178,11 +239,8 @@ class BytePairs:
         if not len(begins):
             return np.zeros(len(texts.at) - 1, np.int64)
         kinds, kind = self._kinds(texts, begins)
-        rest = [i for i, piece in enumerate(kinds) if piece not in whole]
-        of_kind = np.ones(len(kinds), np.int64)
-        pieces = self._pieces([kinds[i] for i in rest])
-        of_kind[rest] = self._count[pieces]
-        each = of_kind[kind]
+        pieces = self._pieces(kinds, whole)[kind]
+        each = self._count[pieces]
         sums = np.concatenate(([0], np.cumsum(each)))
         out = np.diff(sums[np.searchsorted(begins, texts.at)])
         for i in self._special(texts):

@@ -54,6 +54,14 @@ def test_a_full_cache_is_forgotten(monkeypatch):
     assert got == [ids_of(t) for t in texts]
 
 
+def test_what_was_counted_is_not_merged_again(monkeypatch):
+    encoder, text = BytePairs(PATH), "plain words, qzxvvk words 123 and plain ones"
+    part = next(slices(pa.array([text])))
+    assert encoder.counts(part, encoder.whole_tokens()).tolist() == [len(LIBRARY.encode(text, add_special_tokens=False).ids)]
+    monkeypatch.setattr(encoder, "merged", lambda piece: pytest.fail(f"{piece} is merged again"))
+    assert encoder.encode(part)[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 def test_whole_tokens_are_most_of_the_vocabulary():
     assert 40_000 < len(BytePairs(PATH).whole_tokens()) <= LIBRARY.get_vocab_size()
 
