@@ -18,7 +18,9 @@ from broadsheet.llm.arrays import RangeHashes, Texts, distinct_ranges, text_of,
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNKNOWN = range(5)
 #: A worker forgets its pre-tokens beyond this many, some 100 MB; they are then encoded again when met.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 1_000_000
+#: New pre-tokens go to a small table that is merged into the large one beyond this many.
+LATEST_PIECES = 1 << 16
 #: The endings that the pre-tokenizer splits off after an apostrophe.
 _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -41,6 +43,33 @@ def opened(path: str) -> BytePairs:
     return _opened[path]
 
 
+class _Grown:
+    """An array that values are added to."""
+
+    def __init__(self, kind: type):
+        self._all, self._size = np.zeros(1024, kind), 0
+
+    @property
+    def values(self) -> np.ndarray:
+        return self._all[: self._size]
+
+    def add(self, values: np.ndarray) -> None:
+        size = self._size + len(values)
+        if size > len(self._all):
+            grown = np.empty(max(size, len(self._all) * 3 // 2), self._all.dtype)
+            grown[: self._size] = self.values
+            self._all = grown
+        self._all[self._size : size] = values
+        self._size = size
+
+
+def _inserted(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, of_hash: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The table with hashes that it does not have, in order."""
+    order = np.argsort(hashes, kind="stable")
+    place = np.searchsorted(table[0], hashes[order])
+    return np.insert(table[0], place, hashes[order]), np.insert(table[1], place, of_hash[order])
+
+
 class BytePairs:
     """Encode slices of texts with a byte-level BPE file of the tokenizers library."""
 
@@ -66,17 +95,13 @@ class BytePairs:
         return [t.id for t in self.library.model.tokenize(piece.decode("latin-1").translate(self._letters))]
 
     def _forget(self) -> None:
-        #: Hashes of the known pre-tokens in order, and which pre-token each one is of.
-        self._hashes = np.zeros(0, np.uint64)
-        self._of_hash = np.zeros(0, np.int64)
+        #: Hashes of the known pre-tokens in order, and which pre-token each one is of: the many, and the latest.
+        self._tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2
         #: Pre-tokens whose hash another one has.
         self._odd: dict[bytes, int] = {}
-        self._data = np.zeros(0, np.uint8)
-        self._starts = np.zeros(0, np.int64)
-        self._sizes = np.zeros(0, np.int64)
-        self._first = np.zeros(0, np.int64)
-        self._count = np.zeros(0, np.int64)
-        self._ids = np.zeros(0, np.int32)
+        self._data = _Grown(np.uint8)
+        self._starts, self._sizes, self._first, self._count = (_Grown(np.int64) for _ in range(4))
+        self._ids = _Grown(np.int32)
 
     # -- classes of code points -------------------------------------------------------------
 
@@ -166,22 +191,26 @@ class BytePairs:
 
     def _known(self, kinds: _Kinds) -> tuple[np.ndarray, np.ndarray]:
         """Index of each pre-token in the worker's list, -1 if it is not found by its hash; and whether its hash is known."""
-        found = np.full(len(kinds.hashes), -1, np.int64)
-        if not len(self._hashes):
-            return found, np.zeros(len(found), bool)
-        place = np.minimum(np.searchsorted(self._hashes, kinds.hashes), len(self._hashes) - 1)
-        taken, index = self._hashes[place] == kinds.hashes, self._of_hash[place]
-        alike = np.flatnonzero(taken & (self._sizes[index] == kinds.sizes))
-        of = index[alike]
-        other = unlike(kinds.data, kinds.starts[alike], self._data, self._starts[of], kinds.sizes[alike])
-        found[alike[~other]] = of[~other]
+        found, taken = np.full(len(kinds.hashes), -1, np.int64), np.zeros(len(kinds.hashes), bool)
+        for hashes, of_hash in self._tables:
+            if len(hashes):
+                place = np.minimum(np.searchsorted(hashes, kinds.hashes), len(hashes) - 1)
+                here = np.flatnonzero(hashes[place] == kinds.hashes)
+                taken[here] = True
+                found[here] = of_hash[place[here]]
+        alike = np.flatnonzero(taken)
+        of, sizes = found[alike], kinds.sizes[alike]
+        other = self._sizes.values[of] != sizes
+        same = np.flatnonzero(~other)
+        other[same] = unlike(kinds.data, kinds.starts[alike[same]], self._data.values, self._starts.values[of[same]], sizes[same])
+        found[alike[other]] = -1
         return found, taken
 
     def _pieces(self, kinds: _Kinds, whole: frozenset[bytes] = frozenset()) -> np.ndarray:
         """Index of each pre-token in the worker's list; new ones are encoded by the library, those in ``whole`` unmerged."""
         found, taken = self._known(kinds)
         new = np.flatnonzero(found < 0)
-        if len(new) and len(self._count) + len(new) > CACHE_PIECES:
+        if len(new) and len(self._count.values) + len(new) > CACHE_PIECES:
             self._forget()
             found, taken = self._known(kinds)
             new = np.flatnonzero(found < 0)
@@ -192,7 +221,7 @@ class BytePairs:
         lone = np.zeros(len(new), bool)
         lone[np.unique(kinds.hashes[new], return_index=True)[1]] = True
         lone &= ~taken[new]
-        number, ids, kept = len(self._count), [], []
+        number, ids, kept = len(self._count.values), [], []
         for i in range(len(new)):
             if not lone[i] and pieces[i] in self._odd:
                 found[new[i]] = self._odd[pieces[i]]
@@ -205,17 +234,18 @@ class BytePairs:
             number += 1
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         sizes = kinds.sizes[new[kept]]
-        self._starts = np.append(self._starts, len(self._data) + np.cumsum(sizes) - sizes)
-        self._sizes = np.append(self._sizes, sizes)
-        self._data = np.append(self._data, np.frombuffer(b"".join([pieces[i] for i in kept]), np.uint8))
-        self._first = np.append(self._first, len(self._ids) + np.cumsum(counts) - counts)
-        self._count = np.append(self._count, counts)
-        self._ids = np.append(self._ids, np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum())))
+        self._starts.add(len(self._data.values) + np.cumsum(sizes) - sizes)
+        self._sizes.add(sizes)
+        self._data.add(np.frombuffer(b"".join([pieces[i] for i in kept]), np.uint8))
+        self._first.add(len(self._ids.values) + np.cumsum(counts) - counts)
+        self._count.add(counts)
+        self._ids.add(np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum())))
         added = new[lone]
-        added = added[np.argsort(kinds.hashes[added], kind="stable")]
-        place = np.searchsorted(self._hashes, kinds.hashes[added])
-        self._hashes = np.insert(self._hashes, place, kinds.hashes[added])
-        self._of_hash = np.insert(self._of_hash, place, found[added])
+        most, latest = self._tables
+        latest = _inserted(latest, kinds.hashes[added], found[added])
+        if len(latest[0]) > LATEST_PIECES:
+            most, latest = _inserted(most, *latest), (latest[0][:0], latest[1][:0])
+        self._tables = [most, latest]
         return found
 
     def _unmerged(self, piece: bytes) -> list[int]:
@@ -240,7 +270,7 @@ class BytePairs:
             return np.zeros(len(texts.at) - 1, np.int64)
         kinds, kind = self._kinds(texts, begins)
         pieces = self._pieces(kinds, whole)[kind]
-        each = self._count[pieces]
+        each = self._count.values[pieces]
         sums = np.concatenate(([0], np.cumsum(each)))
         out = np.diff(sums[np.searchsorted(begins, texts.at)])
         for i in self._special(texts):
@@ -258,9 +288,9 @@ class BytePairs:
             return np.zeros(0, np.int32), np.zeros(len(texts.at), np.int64)
         kinds, kind = self._kinds(texts, begins)
         pieces = self._pieces(kinds)[kind]
-        counts = self._count[pieces]
+        counts = self._count.values[pieces]
         sums = np.concatenate(([0], np.cumsum(counts)))
-        ids = self._ids[np.repeat(self._first[pieces] - sums[:-1], counts) + np.arange(sums[-1])]
+        ids = self._ids.values[np.repeat(self._first.values[pieces] - sums[:-1], counts) + np.arange(sums[-1])]
         at = sums[np.searchsorted(begins, texts.at)]
         special = self._special(texts)
         if special:
