@@ -119,15 +119,21 @@ _BY_EIGHTS = 64
 _FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
+def eights(padded: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number; the last eight of ``padded`` are no position."""
+    return np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+
+
 def unlike(data: np.ndarray, starts: np.ndarray, other: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether each range of ``data`` has other bytes than the equally long one of ``other``."""
+    spare = np.zeros(8, np.uint8)
+    ours = np.concatenate((data, spare))
+    return unlike_padded(ours, starts, ours if other is data else np.concatenate((other, spare)), others, sizes)
 
-    def eights(raw: np.ndarray) -> np.ndarray:
-        # eight bytes at a time, from any position
-        return np.ndarray((len(raw) + 1,), "<u8", np.concatenate((raw, np.zeros(8, np.uint8))), strides=(1,))
 
-    ours = eights(data)
-    theirs = ours if other is data else eights(other)
+def unlike_padded(data: np.ndarray, starts: np.ndarray, other: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``unlike`` for arrays that have eight bytes more than ranges reach to."""
+    ours, theirs = eights(data), eights(other)
     out, check, mine, beside, left = np.zeros(len(starts), bool), np.arange(len(starts)), starts, others, sizes
     for step in range(0, _BY_EIGHTS, 8):
         differ = (ours[mine + step] ^ theirs[beside + step]) & _FIRST_BYTES[np.minimum(left - step, 8)]
@@ -141,6 +147,29 @@ def unlike(data: np.ndarray, starts: np.ndarray, other: np.ndarray, others: np.n
     return out
 
 
+def first_eights(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each range of a padded array, zeros beyond its end."""
+    return eights(data)[starts] & _FIRST_BYTES[np.minimum(sizes, 8)]
+
+
+def sparse_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges of a padded array with their first eight bytes; only the ranges' bytes are looked at.
+
+    Equal bytes give equal hashes in one process. Different ones may share a hash, so compare the bytes.
+    """
+    out = mix(heads + sizes.astype(np.uint64) * np.uint64(_PRIME))
+    more = np.flatnonzero(sizes > 8)
+    for step in range(8, _BY_EIGHTS, 8):
+        if not len(more):
+            return out
+        rest = first_eights(data, starts[more] + step, sizes[more] - step)
+        out[more] = mix(out[more] * np.uint64(_PRIME) + rest)
+        more = more[sizes[more] > step + 8]
+    for i in more.tolist():
+        out[i] = hash(data[starts[i] : starts[i] + sizes[i]].tobytes()) & 0xFFFFFFFFFFFFFFFF
+    return out
+
+
 def distinct_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first of each kind of byte ranges, and for each range the number of its kind; equal bytes are one kind.
 

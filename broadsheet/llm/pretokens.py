@@ -14,27 +14,29 @@ from typing import NamedTuple
 import numpy as np
 from tokenizers import Tokenizer
 
-from broadsheet.llm.arrays import RangeHashes, Texts, distinct_ranges, text_of, unlike
+from broadsheet.llm.arrays import Texts, distinct_ranges, first_eights, sparse_hashes, text_of, unlike_padded
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNKNOWN = range(5)
 #: A worker forgets its pre-tokens beyond this many, some 100 MB; they are then encoded again when met.
 CACHE_PIECES = 1_000_000
-#: New pre-tokens go to a small table that is merged into the large one beyond this many.
-LATEST_PIECES = 1 << 16
 #: The endings that the pre-tokenizer splits off after an apostrophe.
 _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 _opened: dict[str, BytePairs] = {}
 
 
-class _Kinds(NamedTuple):
-    """Different pre-tokens of a slice: ranges of its bytes, and their hashes."""
+class _Pieces(NamedTuple):
+    """Pre-tokens of a slice: ranges of its bytes, which eight zeros follow, their first eight bytes, and their hashes."""
 
     data: np.ndarray
     starts: np.ndarray
     sizes: np.ndarray
+    heads: np.ndarray
     hashes: np.ndarray
 
+    def some(self, which: np.ndarray) -> _Pieces:
+        return _Pieces(self.data, *(column[which] for column in self[1:]))
+
 
 def opened(path: str) -> BytePairs:
     """The encoder of a tokenizer file, one per worker process."""
@@ -62,12 +64,11 @@ class _Grown:
         self._all[self._size : size] = values
         self._size = size
 
-
-def _inserted(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, of_hash: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The table with hashes that it does not have, in order."""
-    order = np.argsort(hashes, kind="stable")
-    place = np.searchsorted(table[0], hashes[order])
-    return np.insert(table[0], place, hashes[order]), np.insert(table[1], place, of_hash[order])
+    def padded(self) -> np.ndarray:
+        """The values, and eight more of any kind."""
+        if self._size + 8 > len(self._all):
+            self._all = np.concatenate((self._all, np.zeros(1024, self._all.dtype)))
+        return self._all[: self._size + 8]
 
 
 class BytePairs:
@@ -80,6 +81,7 @@ class BytePairs:
         self._specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self._classes = np.full(0x110000, _UNKNOWN, np.uint8)
         self._letters = self._byte_letters()
+        self._model = self.library.model
         self._forget()
 
     def _byte_letters(self) -> dict[int, str]:
@@ -92,14 +94,15 @@ class BytePairs:
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        return [t.id for t in self.library.model.tokenize(piece.decode("latin-1").translate(self._letters))]
+        return [t.id for t in self._model.tokenize(piece.decode("latin-1").translate(self._letters))]
 
     def _forget(self) -> None:
-        #: Hashes of the known pre-tokens in order, and which pre-token each one is of: the many, and the latest.
-        self._tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2
-        #: Pre-tokens whose hash another one has.
+        #: Known pre-tokens by the leading bits of their hash, each in the first slot from there that was free, and -1.
+        self._slots = np.full(1 << 12, -1, np.int32)
+        #: Pre-tokens whose hash another one has. They have no slot.
         self._odd: dict[bytes, int] = {}
         self._data = _Grown(np.uint8)
+        self._hashes, self._heads = _Grown(np.uint64), _Grown(np.uint64)
         self._starts, self._sizes, self._first, self._count = (_Grown(np.int64) for _ in range(4))
         self._ids = _Grown(np.int32)
 
@@ -182,70 +185,97 @@ class BytePairs:
 
     # -- encoding ---------------------------------------------------------------------------
 
-    def _kinds(self, texts: Texts, begins: np.ndarray) -> tuple[_Kinds, np.ndarray]:
-        """The different pre-tokens of a slice, and which of them each one is."""
-        ends = np.append(begins[1:], len(texts.data))
-        hashes = RangeHashes(texts.data)(begins, ends)
-        first, kind = distinct_ranges(texts.data, begins, ends, hashes)
-        return _Kinds(texts.data, begins[first], ends[first] - begins[first], hashes[first]), kind
+    def _cut(self, texts: Texts, begins: np.ndarray) -> _Pieces:
+        data = np.concatenate((texts.data, np.zeros(8, np.uint8)))
+        sizes = np.diff(begins, append=len(texts.data))
+        heads = first_eights(data, begins, sizes)
+        return _Pieces(data, begins, sizes, heads, sparse_hashes(data, begins, sizes, heads))
 
-    def _known(self, kinds: _Kinds) -> tuple[np.ndarray, np.ndarray]:
+    def _home(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(65 - len(self._slots).bit_length())).astype(np.int64)
+
+    def _known(self, pieces: _Pieces) -> tuple[np.ndarray, np.ndarray]:
         """Index of each pre-token in the worker's list, -1 if it is not found by its hash; and whether its hash is known."""
-        found, taken = np.full(len(kinds.hashes), -1, np.int64), np.zeros(len(kinds.hashes), bool)
-        for hashes, of_hash in self._tables:
-            if len(hashes):
-                place = np.minimum(np.searchsorted(hashes, kinds.hashes), len(hashes) - 1)
-                here = np.flatnonzero(hashes[place] == kinds.hashes)
-                taken[here] = True
-                found[here] = of_hash[place[here]]
-        alike = np.flatnonzero(taken)
-        of, sizes = found[alike], kinds.sizes[alike]
-        other = self._sizes.values[of] != sizes
-        same = np.flatnonzero(~other)
-        other[same] = unlike(kinds.data, kinds.starts[alike[same]], self._data.values, self._starts.values[of[same]], sizes[same])
-        found[alike[other]] = -1
+        if not len(self._hashes.values):
+            return np.full(len(pieces.starts), -1, np.int64), np.zeros(len(pieces.starts), bool)
+        place = self._home(pieces.hashes)
+        found = self._slots[place].astype(np.int64)
+        beside = np.flatnonzero((self._hashes.values[found] != pieces.hashes) & (found >= 0))
+        while len(beside):
+            place[beside] = (place[beside] + 1) & (len(self._slots) - 1)
+            found[beside] = here = self._slots[place[beside]]
+            beside = beside[(self._hashes.values[here] != pieces.hashes[beside]) & (here >= 0)]
+        taken = found >= 0
+        same = taken & (self._heads.values[found] == pieces.heads) & (self._sizes.values[found] == pieces.sizes)
+        long = np.flatnonzero(same & (pieces.sizes > 8))
+        of = self._starts.values[found[long]]
+        same[long] = ~unlike_padded(pieces.data, pieces.starts[long] + 8, self._data.padded(), of + 8, pieces.sizes[long] - 8)
+        found[~same] = -1
         return found, taken
 
-    def _pieces(self, kinds: _Kinds, whole: frozenset[bytes] = frozenset()) -> np.ndarray:
+    def _keep(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Slots for pre-tokens of the list whose hashes no other one has; half of all slots stay free at least."""
+        known = len(self._hashes.values)
+        if 2 * known > len(self._slots):
+            self._slots = np.full(2 << known.bit_length(), -1, np.int32)
+            odd = np.fromiter(self._odd.values(), np.int64, len(self._odd))
+            numbers = np.delete(np.arange(known), odd)
+            hashes = self._hashes.values[numbers]
+        place = self._home(hashes)
+        while len(numbers):
+            free = self._slots[place] < 0
+            self._slots[place[free]] = numbers[free]
+            left = self._slots[place] != numbers
+            place, numbers = (place[left] + 1) & (len(self._slots) - 1), numbers[left]
+
+    def _indexes(self, pieces: _Pieces, whole: frozenset[bytes] = frozenset()) -> np.ndarray:
         """Index of each pre-token in the worker's list; new ones are encoded by the library, those in ``whole`` unmerged."""
-        found, taken = self._known(kinds)
+        found, taken = self._known(pieces)
         new = np.flatnonzero(found < 0)
-        if len(new) and len(self._count.values) + len(new) > CACHE_PIECES:
-            self._forget()
-            found, taken = self._known(kinds)
-            new = np.flatnonzero(found < 0)
         if not len(new):
             return found
-        raw, begins = kinds.data.tobytes(), kinds.starts[new]
-        pieces = [raw[b:e] for b, e in zip(begins.tolist(), (begins + kinds.sizes[new]).tolist())]
-        lone = np.zeros(len(new), bool)
-        lone[np.unique(kinds.hashes[new], return_index=True)[1]] = True
-        lone &= ~taken[new]
-        number, ids, kept = len(self._count.values), [], []
-        for i in range(len(new)):
-            if not lone[i] and pieces[i] in self._odd:
-                found[new[i]] = self._odd[pieces[i]]
-                continue
-            ids.append(self._unmerged(pieces[i]) if pieces[i] in whole else self.merged(pieces[i]))
-            kept.append(i)
-            found[new[i]] = number
-            if not lone[i]:
-                self._odd[pieces[i]] = number
-            number += 1
+        first, kind = self._kinds(pieces, new)
+        if len(self._count.values) + len(first) > CACHE_PIECES:
+            self._forget()
+            found, taken = self._known(pieces)
+            new = np.arange(len(found))
+            first, kind = self._kinds(pieces, new)
+        found[new] = self._added(pieces.some(new[first]), taken[new[first]], whole)[kind]
+        return found
+
+    def _kinds(self, pieces: _Pieces, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = pieces.starts[which]
+        return distinct_ranges(pieces.data, starts, starts + pieces.sizes[which], pieces.hashes[which])
+
+    def _added(self, pieces: _Pieces, taken: np.ndarray, whole: frozenset[bytes]) -> np.ndarray:
+        """Index in the worker's list of different pre-tokens that were not found; ``taken``: their hash is another one's."""
+        raw, size = pieces.data.tobytes(), len(pieces.starts)
+        strings = [raw[b:e] for b, e in zip(pieces.starts.tolist(), (pieces.starts + pieces.sizes).tolist())]
+        lone = np.zeros(size, bool)
+        lone[np.unique(pieces.hashes, return_index=True)[1]] = True
+        lone &= ~taken
+        found, kept = np.empty(size, np.int64), np.ones(size, bool)
+        number = len(self._count.values)
+        for i in np.flatnonzero(~lone).tolist():
+            if strings[i] in self._odd:
+                found[i], kept[i] = self._odd[strings[i]], False
+        kept = np.flatnonzero(kept)
+        found[kept] = number + np.arange(len(kept))
+        for i in kept[~lone[kept]].tolist():
+            self._odd[strings[i]] = int(found[i])
+        strings = [strings[i] for i in kept.tolist()]
+        ids = [self._unmerged(s) if s in whole else self.merged(s) for s in strings]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        sizes = kinds.sizes[new[kept]]
+        sizes = pieces.sizes[kept]
         self._starts.add(len(self._data.values) + np.cumsum(sizes) - sizes)
         self._sizes.add(sizes)
-        self._data.add(np.frombuffer(b"".join([pieces[i] for i in kept]), np.uint8))
+        self._data.add(np.frombuffer(b"".join(strings), np.uint8))
+        self._heads.add(pieces.heads[kept])
+        self._hashes.add(pieces.hashes[kept])
         self._first.add(len(self._ids.values) + np.cumsum(counts) - counts)
         self._count.add(counts)
         self._ids.add(np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum())))
-        added = new[lone]
-        most, latest = self._tables
-        latest = _inserted(latest, kinds.hashes[added], found[added])
-        if len(latest[0]) > LATEST_PIECES:
-            most, latest = _inserted(most, *latest), (latest[0][:0], latest[1][:0])
-        self._tables = [most, latest]
+        self._keep(pieces.hashes[lone], found[lone])
         return found
 
     def _unmerged(self, piece: bytes) -> list[int]:
@@ -268,8 +298,7 @@ class BytePairs:
         begins = self.boundaries(texts)
         if not len(begins):
             return np.zeros(len(texts.at) - 1, np.int64)
-        kinds, kind = self._kinds(texts, begins)
-        pieces = self._pieces(kinds, whole)[kind]
+        pieces = self._indexes(self._cut(texts, begins), whole)
         each = self._count.values[pieces]
         sums = np.concatenate(([0], np.cumsum(each)))
         out = np.diff(sums[np.searchsorted(begins, texts.at)])
@@ -286,8 +315,7 @@ class BytePairs:
         begins = self.boundaries(texts)
         if not len(begins):
             return np.zeros(0, np.int32), np.zeros(len(texts.at), np.int64)
-        kinds, kind = self._kinds(texts, begins)
-        pieces = self._pieces(kinds)[kind]
+        pieces = self._indexes(self._cut(texts, begins))
         counts = self._count.values[pieces]
         sums = np.concatenate(([0], np.cumsum(counts)))
         ids = self._ids.values[np.repeat(self._first.values[pieces] - sums[:-1], counts) + np.arange(sums[-1])]

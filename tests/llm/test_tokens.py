@@ -62,6 +62,31 @@ def test_what_was_counted_is_not_merged_again(monkeypatch):
     assert encoder.encode(part)[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_known_pretokens_are_not_sorted_again(monkeypatch):
+    encoder, texts = BytePairs(PATH), ["plain words, qzxvvk words 123", "123 qzxvvk and", None, "words" * 40, " and words" * 3]
+    part = next(slices(pa.array(texts)))
+    encoder.encode(part)
+    monkeypatch.setattr("broadsheet.llm.pretokens.distinct_ranges", lambda *_: pytest.fail("known pre-tokens are brought together"))
+    ids, at = encoder.encode(part)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [ids_of(t) for t in texts]
+    assert encoder.counts(part, frozenset()).tolist() == [len(ids_of(t)) for t in texts]
+
+
+@pytest.mark.parametrize("kinds", [1, 3, 1 << 40])
+def test_pretokens_that_share_hashes_stay_apart(monkeypatch, kinds):
+    from broadsheet.llm import pretokens
+
+    true = pretokens.sparse_hashes
+    monkeypatch.setattr(pretokens, "sparse_hashes", lambda *ranges: true(*ranges) % np.uint64(kinds))  # and all begin at slot 0
+    encoder, texts = BytePairs(PATH), random_texts(11, 300) + ["w" * n for n in range(1, 140)] + ["w" * n + "x" for n in range(1, 140)]
+    got = []
+    for _ in range(2):
+        for part in slices(pa.array(texts), 700):
+            ids, at = encoder.encode(part)
+            got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+    assert got == [ids_of(t) for t in texts] * 2
+
+
 def test_whole_tokens_are_most_of_the_vocabulary():
     assert 40_000 < len(BytePairs(PATH).whole_tokens()) <= LIBRARY.get_vocab_size()
 
