@@ -60,7 +60,9 @@ def collocations(
     across shards first; shards then go on only through pairs that are frequent everywhere taken together, which every
     frequent longer phrase is made of. No count is estimated and nothing is cut off by a cap.
 
-    A shard sends each phrase once, so the rows of one phrase are no more than shards, however often it occurs.
+    A shard sends each word and pair once, so the rows of one are no more than shards, however often it occurs. Of longer
+    phrases it sends runs: where one of three words begins, the longest phrase there, equal ones together with their number.
+    A phrase occurs where a run begins with it. So these rows are at most one per word, and no more than those of pairs.
     Texts longer than a shard are cut between words; the words behind a cut that phrases before it need are
     counted with both neighbours and subtracted once.
 
@@ -90,12 +92,10 @@ def collocations(
     def longer(indexes: pa.Table, places: pa.Table) -> pa.Table:
         found: list[pa.RecordBatch] = []
         if indexes.num_rows and places.num_rows:
-            index = _Index(indexes)
-            for phrases in index.grown(places.column("place").to_numpy(), longest):
-                found += index.rows(phrases)
-        return pa.Table.from_batches(found, _ROWS).select(["phrase", "count"])
+            found += _Index(indexes).runs(places.column("place").to_numpy(), longest)
+        return pa.Table.from_batches(found, _RUNS)
 
-    with staging(spark) as put:
+    with staging(spark, keep_shuffles=False) as put:
         indexes = put(chosen.mapInArrow(build, _INDEX), "phrase-index")
         counted = indexes.select(*_INDEX_COLUMNS).mapInArrow(pairs, _ROWS_DDL)
         same = Window.partitionBy("phrase")
@@ -106,9 +106,11 @@ def collocations(
             place = F.col("at") % _PLACES
             marks = short.where(place < _PLACES - 1).select((F.col("at") - place).alias("shard"), place.alias("place"))
             grown = indexes.select(*_INDEX_COLUMNS).groupBy("shard").cogroup(marks.groupBy("shard"))
-            grown = grown.applyInArrow(longer, "phrase string, count long")
-            grown = grown.groupBy("phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
-            totals = totals.union(grown)
+            runs = grown.applyInArrow(longer, _RUNS_DDL)
+            # a phrase is no more frequent than its first three words, so only runs behind frequent ones are taken apart
+            runs = runs.withColumn("f", F.sum("count").over(same)).where(F.col("f") >= least)
+            runs = _without_rare_ends(runs, least, longest).select(F.explode(_beginnings()).alias("phrase"), "count")
+            totals = totals.union(runs.groupBy("phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least))
         words = F.substring_index("phrase", "\n", 1)
         lang = F.substr("phrase", F.length(words) + 2)
         totals = put(totals.select(lang.alias("lang"), words.alias("phrase"), "f"), "phrase-totals")
@@ -122,6 +124,29 @@ def collocations(
         return stage(ranked.select(*out), "collocations")
 
 
+def _without_rare_ends(runs: DataFrame, least: int, longest: int) -> DataFrame:
+    """Runs up to the last word with which they still begin ``least`` times, equal ones in one row. Stays dealt by ``phrase``."""
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("phrase", "more").agg(F.sum("count").alias("count"))
+
+    more = F.when(F.col("more") != "", F.split("more", " ", -1)).otherwise(F.array().cast("array<string>"))
+    runs = summed(runs.select("phrase", more.alias("more"), "count"))
+    for k in range(1, longest - 2):
+        f = F.sum("count").over(Window.partitionBy("phrase", F.slice("more", 1, k)))
+        rare = (F.size("more") >= k) & (F.col("f") < least)
+        runs = runs.withColumn("f", f).withColumn("more", F.when(rare, F.slice("more", 1, k - 1)).otherwise(F.col("more")))
+    return summed(runs)
+
+
+def _beginnings() -> Column:
+    """What a run begins with, from three words on."""
+    words = F.substring_index("phrase", "\n", 1)
+    lang = F.substr("phrase", F.length(words) + 1)
+    first = lambda k: F.array_join(F.concat(F.array(words), F.slice("more", F.lit(1), k)), " ")
+    return F.transform(F.sequence(F.lit(0), F.size("more")), lambda k: F.concat(first(k), lang))
+
+
 def _words() -> Column:
     return F.split("phrase", " ", -1)
 
@@ -310,6 +335,9 @@ _INDEX_COLUMNS = ["shard", "size", "left_words", "right_words", "weights", "grou
 #: A phrase and, after a line end, its language; the shard's number plus the place among its pairs, or the last place for words.
 _ROWS = pa.schema([("phrase", pa.string()), ("at", pa.int64()), ("count", pa.int64())])
 _ROWS_DDL = "phrase string, at long, count long"
+#: The first three words of a run and the language, the other words, and how often the run is there.
+_RUNS = pa.schema([("phrase", pa.string()), ("more", pa.string()), ("count", pa.int64())])
+_RUNS_DDL = "phrase string, more string, count long"
 _PLACES = 1 << 24
 #: Rows of a batch, and rows of a transform that are looked at together.
 _BATCH = 1 << 17
@@ -363,6 +391,44 @@ class _Index:
             phrases = _Phrases([i[allowed] for i in phrases.ids], *(c[allowed] for c in phrases[1:]))
             yield phrases
 
+    def runs(self, places: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
+        """The longest of the ``grown`` phrases at each place where one begins, equal ones in one row."""
+        phrases = None
+        for longer in self.grown(places, longest):
+            if phrases:
+                yield from self._ended(phrases, longer)
+            phrases = longer
+        if phrases:
+            yield from self._ended(phrases, None)
+
+    def _ended(self, phrases: _Phrases, longer: _Phrases | None) -> Iterator[pa.RecordBatch]:
+        """The phrases by how often none of the ``longer`` ones, whose intervals are inside theirs, begins with them."""
+        counts = self._counts(phrases)
+        if longer:
+            begun = np.zeros(len(self._texts["left"]) + 1, np.int64)
+            begun[longer.left + 1] = self._counts(longer)
+            begun = np.cumsum(begun)
+            counts = counts - (begun[phrases.left + phrases.size] - begun[phrases.left])
+        ended = np.flatnonzero(counts)
+        for first in range(0, len(ended), _BATCH):
+            there = ended[first : first + _BATCH]
+            text = self._text(phrases.ids[:3], there)
+            more = [self._words.take(pa.array(i[there] - 1)) for i in phrases.ids[3:]]
+            more = pc.binary_join_element_wise(*more, " ") if more else pa.array([""] * len(there), pa.string())
+            yield pa.RecordBatch.from_arrays([text, more, pa.array(counts[there], pa.int64())], schema=_RUNS)
+
+    def _counts(self, phrases: _Phrases) -> np.ndarray:
+        if self._weights is None:
+            return phrases.size
+        return self._weights[phrases.left + phrases.size] - self._weights[phrases.left]
+
+    def _text(self, ids: list[np.ndarray], there: np.ndarray) -> pa.Array:
+        """Words and language of some phrases."""
+        words = [self._words.take(pa.array(i[there] - 1)) for i in ids]
+        lang = self._groups.take(self._group_of.take(pa.array(ids[0][there] - 1)))
+        text = pc.binary_join_element_wise(*words, " ") if len(words) > 1 else words[0]
+        return pc.binary_join_element_wise(text, lang, "\n")
+
     def extended(self, phrases: _Phrases, side: str) -> _Phrases:
         """All phrases one word longer on one side.
 
@@ -400,21 +466,15 @@ class _Index:
         both = (new_here, new_there) if side == "left" else (new_there, new_here)
         return _Phrases(ids, *(c[real].astype(np.int32) for c in (*both, sizes)))
 
-    def rows(self, phrases: _Phrases, at: bool = False) -> Iterator[pa.RecordBatch]:
-        counts = phrases.size
-        if self._weights is not None:
-            counts = self._weights[phrases.left + phrases.size] - self._weights[phrases.left]
+    def rows(self, phrases: _Phrases, at: bool) -> Iterator[pa.RecordBatch]:
+        counts = self._counts(phrases)
         for first in range(0, len(counts), _BATCH):
-            some = slice(first, first + _BATCH)
             # a pair that counts nothing here may still stand in a longer phrase over a cut, so its place is sent
             there = np.arange(first, min(first + _BATCH, len(counts)))
-            there = there if at else there[counts[some] != 0]
-            words = [self._words.take(pa.array(i[there] - 1)) for i in phrases.ids]
-            lang = self._groups.take(self._group_of.take(pa.array(phrases.ids[0][there] - 1)))
-            text = pc.binary_join_element_wise(*words, " ") if len(words) > 1 else words[0]
-            text = pc.binary_join_element_wise(text, lang, "\n")
+            there = there if at else there[counts[there] != 0]
             place = self.shard + (there if at else np.full(len(there), _PLACES - 1))
-            yield pa.RecordBatch.from_arrays([text, pa.array(place, pa.int64()), pa.array(counts[there], pa.int64())], schema=_ROWS)
+            columns = [self._text(phrases.ids, there), pa.array(place, pa.int64()), pa.array(counts[there], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=_ROWS)
 
 
 def _places(ids: np.ndarray) -> np.ndarray:

@@ -6,13 +6,14 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SCRATCH = "spark.checkpoint.dir"
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_scratch: dict[str, str] = {}
 
 
@@ -54,13 +55,31 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
 
 
 @contextmanager
-def staging(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """``stage`` for the length of a run: its folders are removed, by Spark's own file system, when it ends."""
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries inside remove their shuffle files when they end; else these wait for a garbage collection of the driver."""
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(_SHUFFLE_CLEANUP, before)
+
+
+@contextmanager
+def staging(spark: SparkSession, *, keep_shuffles: bool = True) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """``stage`` for the length of a run: its folders are removed, by Spark's own file system, when it ends.
+
+    Without ``keep_shuffles`` the shuffle files behind a staged table go as soon as it is written.
+    """
     paths: list[str] = []
 
     def put(df: DataFrame, label: str) -> DataFrame:
         paths.append(scratch_path(spark, label))
-        df.write.parquet(paths[-1])
+        with nullcontext() if keep_shuffles else _shuffles_removed(spark):
+            df.write.parquet(paths[-1])
         return spark.read.schema(df.schema).parquet(paths[-1])
 
     try:

@@ -6,6 +6,8 @@ import re
 import string
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from broadsheet.llm import collocations, registry
@@ -65,6 +67,28 @@ def test_against_counting(spark, shard_words, least, longest, top):
     assert sorted(tuple(r) for r in found.collect()) == brute(rows, least, longest, top)
 
 
+@pytest.mark.parametrize("shard_words", [30, 1 << 19])
+def test_longer_phrases_are_a_row_per_word_at_most(shard_words):
+    rows = drawn(3, 80) + [("en", "new york new york the new of " * 9)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] or "und" for r in rows]), pa.array([r[1] for r in rows])], ["lang", "text"])
+    found, want = collections.Counter(), collections.Counter()
+    for shard in collocations._shards(iter([batch]), shard_words, 5):
+        index = collocations._Index(collocations._index_row(0, shard, 5))
+        sent = list(index.runs(np.arange(len(index.pairs().size)), 5))
+        assert 0 < sum(b.num_rows for b in sent) <= len(shard.words.ends)
+        assert len({(r["phrase"], r["more"]) for b in sent for r in b.to_pylist()}) == sum(b.num_rows for b in sent)
+        for r in (r for b in sent for r in b.to_pylist()):
+            words, lang = r["phrase"].split("\n")
+            more = r["more"].split(" ") if r["more"] else []
+            for k in range(len(more) + 1):
+                found[lang, tuple([*words.split(" "), *more[:k]])] += r["count"]
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            want.update((lang or "und", tuple(words[i : i + k])) for k in (3, 4, 5) for i in range(len(words) - k + 1))
+    assert {k: v for k, v in found.items() if v} == want
+
+
 def test_share_of_a_longer_phrase(spark):
     rows = [("en", "in spite of, in spite of, in spite of, in spite")] * 3
     for absorbed in (100, 75, 70):
