@@ -20,6 +20,11 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df`` is counted to have few enough rows to be broadcast."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to be small; else as it is, for Spark to shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if is_small(df) else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.columns import free_names, small_side
+from broadsheet.llm.columns import free_names, is_small, small_side
 from broadsheet.runtime import stage
 
 #: Fixed seeds over seven words at most: a hash takes the words at 1 and ignores those at 0. Together they meet
@@ -19,6 +19,8 @@ SHARE = 0.8
 #: The stretch: so many consecutive words of the passage, or all of a shorter one.
 STRETCH = 20
 _BREAKS = r"[^\p{L}\p{N}]+"
+#: The filter of a large benchmark: some 32 bits per seed, of which it sets three, in up to 65,536 blocks (32 MB).
+_BLOCK_BITS, _SEED_BITS, _MOST_BLOCKS = 4096, 32, 1 << 16
 
 
 def _word_hashes(text: Column) -> Column:
@@ -57,6 +59,49 @@ def _passages(benchmark: DataFrame, text: str) -> DataFrame:
     return distinct.withColumn("passage", F.xxhash64("h"))
 
 
+def _block(key: Column, blocks: int) -> Column:
+    """The block of the filter that a seed hash falls into, by its lowest bits."""
+    return key.bitwiseAND(F.lit(blocks - 1).cast("long"))
+
+
+def _places(key: Column) -> list[Column]:
+    """The three bits of its block that a seed hash sets, by the bits above those of the largest block number."""
+    return [F.shiftrightunsigned(key, 16 + 12 * i).bitwiseAND(F.lit(_BLOCK_BITS - 1).cast("long")).cast("int") for i in range(3)]
+
+
+def _seed_filter(seeds: DataFrame, blocks: int) -> DataFrame:
+    """One row per block that has a seed: its number and its bits as 64 longs."""
+    bits = seeds.select(_block(F.col("key"), blocks).alias("block"), F.explode(F.array(*_places(F.col("key")))).alias("bit"))
+    mask = F.bit_or(F.expr("shiftleft(1L, bit % 64)")).alias("mask")
+    masks = bits.groupBy("block", F.shiftright("bit", 6).alias("word")).agg(mask)
+    held = masks.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("held"))
+    every = F.sequence(F.lit(0), F.lit(_BLOCK_BITS // 64 - 1))
+    return held.select("block", F.transform(every, lambda w: F.coalesce(F.col("held")[w], F.lit(0).cast("long"))).alias("masks"))
+
+
+def _likely(keyed: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose hash may be that of a seed: all that are, and few others, so that few rows are shuffled."""
+    wanted, blocks = seeds.count() * _SEED_BITS // _BLOCK_BITS, 1
+    while blocks < min(wanted, _MOST_BLOCKS):
+        blocks *= 2
+    near = keyed.withColumn("block", _block(F.col("key"), blocks)).join(F.broadcast(_seed_filter(seeds, blocks)), "block")
+    for place in _places(F.col("key")):
+        mask = F.get("masks", F.shiftright(place, 6))
+        near = near.where(F.getbit(mask, place.bitwiseAND(F.lit(63))) == 1)
+    return near.select(keyed.columns)
+
+
+def _hits(texts: DataFrame, seeds: DataFrame, exact: list[int]) -> DataFrame:
+    """Where seeds meet texts: one row per ``digest`` with ``hits``, the distinct (passage, position, n).
+
+    Spark keeps all rows that one text gives in memory until they are joined or shuffled, so they hold numbers alone.
+    """
+    keyed = _seeded(texts, exact).select("digest", "at", "key")
+    met = keyed.join(F.broadcast(seeds), "key") if is_small(seeds) else _likely(keyed, seeds).join(seeds, "key")
+    merged = met.select("digest", "passage", (F.col("at") - F.col("item_at")).alias("position"), "n").distinct()
+    return merged.groupBy("digest").agg(F.collect_list(F.struct("passage", "position", "n")).alias("hits"))
+
+
 def overlaps(
     docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", benchmark_text: str = "text"
 ) -> DataFrame:
@@ -70,22 +115,28 @@ def overlaps(
     starts, negative if its beginning is cut off), item_words, matched (agreeing words), overlap
     (matched / item_words); of several places the one with most matches, then the first.
 
-    The narrow seeds are broadcast if they are counted to be few, else shuffled by Spark; passages are written once,
-    so that Spark joins them by their measured size. Hits of a text are merged in the task that reads it. A null text has no words; rows with equal keys are merged;
-    null keys and null item_ids are kept; an empty table on either side gives no rows; other columns are not read.
+    The narrow seeds are broadcast if they are counted to be few; else a filter of their bits is, at most 32 MB, and
+    only hashes that pass it are shuffled. Hits hold a hash of the text and not its words. They are merged, written
+    once and joined to the texts that have some, for which the texts are read again; texts that share a hash are each
+    compared at the places of both. Passages are written once, so that Spark joins them by their measured size. A null
+    text has no words; rows with equal keys are merged; null keys and null item_ids are kept; an empty table on either
+    side gives no rows; other columns are not read.
     """
     passages = stage(_passages(benchmark, benchmark_text), "passages")
     short = passages.where(F.size("h") < _WIDEST).select(F.size("h").alias("n")).distinct()
     exact = sorted(row.n for row in short.collect())  # two lengths at most
     sides = passages.select("passage", "h").withColumn("n", F.size("h"))
     seeds = _seeded(sides, exact).select("key", "passage", F.col("at").alias("item_at"), "n")
-    seeds = small_side(seeds.distinct())
-
-    texts = docs.select(F.col(key).alias("doc"), _word_hashes(F.col(text)).alias("h"))
-    hits = _seeded(texts, exact).join(seeds, "key")
-    start = F.col("at") - F.col("item_at")
-    shared = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get(F.col("h"), start + i))
-    placed = hits.select("doc", "passage", start.alias("position"), shared.alias("words")).distinct()
+    seeds = stage(seeds.distinct(), "seeds")
+
+    digest = F.xxhash64(F.col(text)).alias("digest")
+    hits = stage(_hits(docs.select(digest, _word_hashes(F.col(text)).alias("h")), seeds, exact), "hits")
+    texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), digest)
+    texts = texts.join(small_side(hits.select("digest")), "digest", "left_semi").join(hits, "digest")
+    hashed = texts.select("doc", _word_hashes(F.col("text")).alias("h"), "hits")
+    words = lambda hit: F.transform(F.sequence(F.lit(0), hit["n"] - 1), lambda i: F.get("h", hit["position"] + i))
+    cut = F.transform("hits", lambda hit: F.struct(hit["passage"].alias("passage"), hit["position"].alias("position"), words(hit).alias("words")))
+    placed = hashed.select("doc", F.explode_outer(cut).alias("hit")).select("doc", "hit.*").distinct()
 
     compared = placed.join(passages, "passage")
     same = F.zip_with("words", "h", lambda a, b: F.when(a == b, 1).otherwise(0))

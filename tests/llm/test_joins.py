@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from broadsheet.llm import decontamination, registry, sharding
+from broadsheet.llm import columns, decontamination, registry, sharding
 from fixtures_llm import awkward, sentence, with_clashes
 
 BENCH = "item_id long, text string"
@@ -209,3 +209,39 @@ def test_passages_without_id_are_found(spark):
     got = decontamination.overlaps(docs, bench).collect()
     assert sorted((r.doc_id, r.item_id, r.item_words) for r in got) == [(0, None, 21), (1, None, 5)]
     assert [r.doc_id for r in decontamination.without_leaks(docs, bench).collect()] == [2]
+
+
+def test_overlaps_with_a_benchmark_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(columns, "BROADCAST_ROWS", 5)
+    items = ITEMS + [(100 + p, " ".join(f"w{p}x{i}" for i in range(30))) for p in range(20)]  # seeds for several blocks
+    texts = CASES + [f"left {changed(items[p][1], *places)} right" for p, places in ((7, ()), (9, (3, 8, 15)), (26, (1, 2, 3, 4, 29)), (12, range(0, 30, 2)))]
+    docs = list(enumerate(texts))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id): (r.matched, r.position) for r in decontamination.overlaps(frame, spark.createDataFrame(items, BENCH)).collect()}
+    assert got == brute_overlaps(docs, items)
+    assert {(17, 100), (18, 102), (19, 119)} <= got.keys() and not any(d == 20 for d, _ in got)
+
+
+def test_no_seed_fails_the_filter(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
+    others = spark.range(5000, 105_000).select(F.xxhash64("id").alias("key"))
+    assert decontamination._likely(keys, keys).count() == 5000
+    assert decontamination._likely(others, keys).count() < 1000
+
+
+@pytest.mark.parametrize("most", [columns.BROADCAST_ROWS, 5])
+def test_a_long_text_with_many_hits(spark, monkeypatch, most):
+    """A row per hit, or per seed that is shuffled, must not hold the words of the text: here they came to ten gigabytes."""
+    monkeypatch.setattr(columns, "BROADCAST_ROWS", most)
+    docs = spark.createDataFrame([(0, " ".join([PASSAGE] * 1000)), (1, PASSAGE)], "doc_id long, text string")
+    got = decontamination.overlaps(docs, spark.createDataFrame(ITEMS[:1], BENCH)).collect()
+    assert sorted((r.doc_id, r.item_id, r.position, r.matched) for r in got) == [(0, 1, 0, 21), (1, 1, 0, 21)]
+
+
+@pytest.mark.parametrize("most", [columns.BROADCAST_ROWS, 0])
+def test_equal_keys_and_texts_are_merged(spark, monkeypatch, most):
+    monkeypatch.setattr(columns, "BROADCAST_ROWS", most)
+    five = "one two three four five"
+    docs = spark.createDataFrame([(1, PASSAGE), (1, PASSAGE), (1, f"x {five}"), (2, PASSAGE), (None, PASSAGE), (None, None)], "doc_id long, text string")
+    got = decontamination.overlaps(docs, spark.createDataFrame([(1, PASSAGE), (2, five)], BENCH)).collect()
+    assert sorted(((r.doc_id, r.item_id, r.position) for r in got), key=str) == [(1, 1, 0), (1, 2, 1), (2, 1, 0), (None, 1, 0)]
